@@ -10,6 +10,7 @@ from tessel.operators import graph as G
 from tessel.operators import links as L
 from tessel.operators import relational as R
 from tessel.plans.inputs import load, with_inputs
+from tessel.session import materialise
 
 DAY = "2024-01-30"
 QUERIES: dict = {}
@@ -75,7 +76,7 @@ def g08_lookback_count(spark, sf):
 
 @query(with_inputs("activity") + OBS + "SELECT uid1, uid2, round(weight, 6) AS weight FROM clean")
 def g09_merge_clean(spark, sf):
-    pairs = _pairs(spark, sf)
+    pairs = materialise(_pairs(spark, sf))
     return G.merge_clean([G.lookback(pairs, DAY), G.lookback_count(pairs, DAY).where("weight >= 3")]).withColumn("weight", F.round("weight", 6))
 
 
@@ -127,14 +128,14 @@ def _job1(spark, sf):
 
 
 def _aligned(spark, sf):
-    job1, c = _job1(spark, sf), load(spark, sf, "claims_c")
+    job1, c = materialise(_job1(spark, sf)), load(spark, sf, "claims_c")
     return G.output_alignment(c, job1, G.align(c, job1), suffix="C")
 
 
 def _flow(spark, sf):
-    aligned, edges = _aligned(spark, sf), _edges(spark, sf)
+    aligned, edges = materialise(_aligned(spark, sf)), materialise(_edges(spark, sf))
     seeds = G.seeds(aligned, edges)
-    one = G.propagate(seeds, edges)
+    one = materialise(G.propagate(seeds, edges))
     two = G.propagate(seeds.unionByName(one), edges)
     return aligned, edges, seeds, one, two
 
@@ -166,17 +167,17 @@ def g15_propagate(spark, sf):
     return one.select(F.lit(1).alias("round"), "*").unionByName(two.select(F.lit(2).alias("round"), "*"))
 
 
-@query(FLOW + """, done AS (SELECT uid FROM aligned UNION SELECT uid FROM spread1 UNION SELECT uid FROM spread2)
+@query(with_inputs("claims_b", "claims_c", "geo", "activity") + OBS + """, done AS (SELECT uid FROM claims_b UNION SELECT uid FROM claims_c), edges AS (SELECT * FROM often WHERE weight >= 3)
 SELECT e.uid1, e.uid2, e.weight, g.geo FROM edges e JOIN geo g ON e.uid1 = g.uid JOIN geo h ON e.uid2 = h.uid AND h.geo = g.geo WHERE e.uid1 NOT IN (SELECT uid FROM done) AND e.uid2 NOT IN (SELECT uid FROM done)""")
 def g16_remainder(spark, sf):
-    aligned, edges, _, one, two = _flow(spark, sf)
-    return G.remainder(edges, R.union_all([aligned, one, two]), load(spark, sf, "geo"))
+    _, b, c = _claims(spark, sf)
+    return G.remainder(materialise(_edges(spark, sf)), b.unionByName(c), load(spark, sf, "geo"))
 
 
 @query(with_inputs("activity") + OBS + """, e AS (SELECT 'd' || cast(length(uid1) + cast(substr(uid1, 2) AS int) % 9 AS string) AS a, 'd' || cast(length(uid2) + cast(substr(uid2, 2) AS int) % 9 AS string) AS b, weight, cast(weight AS int) % 5 = 0 AS c FROM often WHERE weight >= 3)
 SELECT least(a, b) AS node1, greatest(a, b) AS node2, CASE WHEN a = b THEN 0.00001::double ELSE sum(weight) END AS weight, bool_or(c AND a <> b) AS conflict FROM e GROUP BY least(a, b), greatest(a, b), a = b""")
 def g18_collapse(spark, sf):
-    edges = _edges(spark, sf).withColumn("conflict", F.pmod(F.col("weight").cast("int"), F.lit(5)) == 0)
+    edges = materialise(_edges(spark, sf)).withColumn("conflict", F.pmod(F.col("weight").cast("int"), F.lit(5)) == 0)
     uids = edges.select(F.col("uid1").alias("uid")).union(edges.select("uid2")).distinct()
     return G.collapse(edges, uids.select("uid", F.concat(F.lit("d"), (F.length("uid") + F.pmod(F.substring("uid", 2, 9).cast("int"), F.lit(9))).cast("string")).alias("node")))
 
@@ -231,12 +232,12 @@ lc AS (SELECT x.source, x.email, x.npi, x.d FROM ld x JOIN conf c ON x.source =
 
 
 def _links(spark, sf):
-    return L.links(load(spark, sf, "observations"))
+    return materialise(L.links(load(spark, sf, "observations")))
 
 
 def _conflicts(spark, sf):
     linked = _links(spark, sf)
-    return L.link_conflicts(linked, L.email_linkage(linked))
+    return materialise(L.link_conflicts(linked, L.email_linkage(linked)))
 
 
 @query(LINKS + """SELECT source, email, npi, coalesce(array_to_string(ds, '|'), '') AS observed_days, first_seen_day, last_seen_day, observation_count, undated AS undated_observation_count,

@@ -1,9 +1,20 @@
 """Session defaults."""
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str = "local[*]", partitions: int = 8, **more: str) -> SparkSession:
     """Adaptive execution on, UTC, null-free settings that results do not depend on."""
     conf = {"spark.sql.shuffle.partitions": str(partitions), "spark.sql.adaptive.enabled": "true", "spark.sql.session.timeZone": "UTC", "spark.ui.enabled": "false"} | more
     return SparkSession.builder.master(master).config(map=conf).getOrCreate()
+
+
+def materialise(frame: DataFrame) -> DataFrame:
+    """Store a frame that several branches read in the shared checkpoint folder, so that none computes it again. The folder is that of
+    spark.checkpoint.dir; one is set here only where there is none, as in tests."""
+    spark = frame.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessel-"))
+    return frame.checkpoint(eager=True)
