@@ -106,6 +106,27 @@ def fit_platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(a, 0.0)), float(b)
 
 
+class Sample:
+    """Rows on the driver: all feature hashes in one array, row by row, and the other columns. Python objects would take ten times as much."""
+
+    def __init__(self, flat: np.ndarray, ends: np.ndarray, measures: np.ndarray, source: list, lang: list, y: np.ndarray):
+        self.flat, self.ends, self.measures, self.source, self.lang, self.y = flat, ends, measures, source, lang, y
+
+    def __len__(self) -> int:
+        return len(self.source)
+
+    def owner(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self), dtype=np.int32), np.diff(self.ends))
+
+    def rows(self, features: np.ndarray) -> list[np.ndarray]:
+        """Columns of each row among sorted features."""
+        if not len(features):
+            return [np.zeros(0, np.int64)] * len(self)
+        at = np.minimum(np.searchsorted(features, self.flat), len(features) - 1)
+        hit = features[at] == self.flat
+        return np.split(at[hit], np.cumsum(np.bincount(self.owner()[hit], minlength=len(self)))[:-1])
+
+
 class Model:
     """Two calibrated views and their combination, for one label. `score` gives the probability that a document is good."""
 
@@ -123,33 +144,32 @@ class Model:
             out.append(base + len(self.sources) + self.langs[lang])
         return np.array(out)
 
-    def fit(self, rows: list[tuple], y: np.ndarray, pool: list[tuple], rounds: int = ROUNDS) -> Model:
-        """rows and pool: (feature hashes, measures, source, lang). A fifth of the labelled rows only calibrates."""
+    def fit(self, rows: Sample, y: np.ndarray, pool: Sample, rounds: int = ROUNDS) -> Model:
+        """Fit on labelled rows and a pool without labels. A fifth of the labelled rows only calibrates."""
         if not len(y) or y.min() == y.max():
             self.constant = float(y.mean()) if len(y) else 1.0
             return self
-        seen, good = Counter(), Counter()
-        for r, t in zip(rows, y):
-            seen.update(r[0])
-            if t:
-                good.update(r[0])
-        n, n_good = len(y), int(y.sum())
-        usual = n_good / n
-        z = {f: (good[f] - c * usual) / np.sqrt(c * usual * (1 - usual)) for f, c in seen.items() if c >= MIN_ROWS}
+        features, inverse = np.unique(rows.flat, return_inverse=True)
+        seen = np.bincount(inverse, minlength=len(features))
+        good = np.bincount(inverse, y[rows.owner()], len(features))
+        del inverse
+        n, usual = len(y), float(y.mean())
+        z = (good - seen * usual) / np.sqrt(seen * usual * (1 - usual))
         odds = np.log(usual / (1 - usual))
-        strong = lambda f: abs(np.log((good[f] + 0.5) / (seen[f] - good[f] + 0.5)) - odds) >= MIN_LOG_ODDS
-        chosen = sorted((f for f in z if abs(z[f]) >= MIN_Z and strong(f)), key=lambda f: (-abs(z[f]), f))[:MAX_FEATURES]
-        self.columns = {f: k for k, f in enumerate(sorted(chosen))}
-        x = np.array([r[1] for r in rows])
+        strong = np.abs(np.log((good + 0.5) / (seen - good + 0.5)) - odds) >= MIN_LOG_ODDS
+        may = np.flatnonzero((seen >= MIN_ROWS) & (np.abs(z) >= MIN_Z) & strong)
+        chosen = np.sort(features[may[np.lexsort((features[may], -np.abs(z[may])))[:MAX_FEATURES]]])
+        self.columns = {f: k for k, f in enumerate(chosen.tolist())}
+        x = rows.measures
         self.edges = [np.unique(np.quantile(x[:, k], QUANTILES)) for k in range(x.shape[1])]
-        self.sources = {s: k for k, (s, _) in enumerate(Counter(r[2] for r in rows).most_common(200))}
-        self.langs = {s: k for k, (s, _) in enumerate(Counter(r[3] for r in rows).most_common(200))}
+        self.sources = {s: k for k, (s, _) in enumerate(Counter(rows.source).most_common(200))}
+        self.langs = {s: k for k, (s, _) in enumerate(Counter(rows.lang).most_common(200))}
         self.widths = (len(self.columns), x.shape[1] * BINS + len(self.sources) + len(self.langs))
-        everything = rows + pool
-        views = [
-            [np.array(sorted(self.columns[f] for f in r[0] if f in self.columns), np.int64) for r in everything],
-            [self.metadata_row(r[1], r[2], r[3]) for r in everything],
-        ]
+        views = [[], []]
+        for part in (rows, pool):
+            views[0] += part.rows(chosen)
+            views[1] += [self.metadata_row(m, s, lang) for m, s, lang in zip(part.measures, part.source, part.lang)]
+        everything = views[0]
         held = np.arange(n) % 5 == 4
         train = np.flatnonzero(~held)
         sets = [{int(i): (float(y[i]), 1.0) for i in train} for _ in views]
@@ -206,7 +226,7 @@ class Classifier:
         return tuple(map(min, zip(*found)))
 
 
-def _features(docs: DataFrame) -> list[tuple]:
+def _features(docs: DataFrame) -> Sample:
     """Features of a bounded sample, on the driver."""
 
     def run(batches):
@@ -219,11 +239,15 @@ def _features(docs: DataFrame) -> list[tuple]:
             )
 
     found = docs.select("h", "text", "source", "lang", "y").mapInArrow(run, "h long, features array<long>, measures array<double>, source string, lang string, y int").orderBy("h").toArrow()
-    out = []
-    for batch in found.to_batches(max_chunksize=500):
-        f, ends = np.asarray(batch.column(1).flatten()), np.cumsum([0, *map(len, batch.column(1))])
-        for k, (m, s, lang, y) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4, 5)))):
-            out.append((f[ends[k] : ends[k + 1]].tolist(), m, s, lang, y))
+    column = lambda k: found.column(k).combine_chunks()
+    lists = column("features")
+    sizes = np.asarray(lists.value_lengths()) if len(lists) else np.zeros(0, np.int64)
+    flat = np.array(lists.flatten(), np.int64)
+    measured = np.array(column("measures").flatten(), np.float64).reshape(-1, len(MEASURES))
+    y = np.array(column("y").fill_null(0), np.int64)
+    out = Sample(flat, np.concatenate(([0], np.cumsum(sizes))), measured, column("source").to_pylist(), column("lang").to_pylist(), y)
+    del found, lists
+    pa.default_memory_pool().release_unused()
     return out
 
 
@@ -238,9 +262,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, source
     labelled = _features(base.join(F.broadcast(some.withColumnRenamed(id_col, "id")), "id"))
     ids = docs.select(F.col(id_col).alias("id")).where("id is not null").join(marks.select(F.col(id_col).alias("id")), "id", "left_anti")
     pool_ids = ids.select("id", F.xxhash64(F.lit("pool"), "id").alias("h")).orderBy("h").limit(max_pool).distinct()
-    pool = _features(base.join(F.broadcast(pool_ids), "id").withColumn("y", F.lit(None).cast("int"))) if labelled else []
-    y = np.array([r[4] for r in labelled], int)
-    return Classifier([r[:4] for r in labelled], (y & 1).astype(float), (y >> 1).astype(float), [r[:4] for r in pool], rounds)
+    pool = _features(base.join(F.broadcast(pool_ids), "id").withColumn("y", F.lit(None).cast("int")))
+    return Classifier(labelled, (labelled.y & 1).astype(float), (labelled.y >> 1).astype(float), pool, rounds)
 
 
 def _scorer(shared, names, text_col, source_col, lang_col):
