@@ -188,10 +188,9 @@ def signed(x: int) -> int:
 
 def link_edges(distinct: DataFrame, radius: int, n: int, chunk: int = CHUNK) -> DataFrame:
     """Edges (a, b) that connect the distinct fingerprints `fp` exactly as all links within the radius do."""
-    masks = block_masks(radius, n)
-    keyed = distinct.select(
-        "fp", F.explode(F.array(*[F.struct(F.lit(k).cast("short").alias("k"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for k, m in enumerate(masks)])).alias("x")
-    ).select("fp", "x.k", "x.key")
+    # the masks are one folded literal, so that the plan and its code stay small for any number of them
+    masks = F.split(F.lit(",".join(str(signed(m)) for m in block_masks(radius, n))), ",").cast("array<bigint>")
+    keyed = distinct.select("fp", F.posexplode(masks).alias("k", "mask")).select("fp", F.col("k").cast("short").alias("k"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
     large = (
         keyed.groupBy("k", "key").count().where(F.col("count") > chunk)
         .select("k", "key", F.ceil(F.col("count") / chunk).cast("int").alias("parts"))
