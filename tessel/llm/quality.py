@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -226,29 +228,47 @@ class Classifier:
         return tuple(map(min, zip(*found)))
 
 
-def _features(docs: DataFrame) -> Sample:
-    """Features of a bounded sample, on the driver."""
+def _features(docs: DataFrame) -> DataFrame:
+    """Features of the rows of a sample: part (0 labelled, 1 pool), h, features, measures, source, lang, y."""
 
     def run(batches):
         reader = Reader()
         for batch in batches:
-            read = [reader.read(t) for t in raw_texts(batch.column(1))]
+            read = [reader.read(t) for t in raw_texts(batch.column(2))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([sorted(f) for f, _ in read], pa.list_(pa.int64())), pa.array([m for _, m in read], pa.list_(pa.float64())), batch.column(2), batch.column(3), batch.column(4)],
-                names=["h", "features", "measures", "source", "lang", "y"],
+                [batch.column(0), batch.column(1), pa.array([sorted(f) for f, _ in read], pa.list_(pa.int64())), pa.array([m for _, m in read], pa.list_(pa.float64())), *batch.columns[3:]],
+                names=["part", "h", "features", "measures", "source", "lang", "y"],
             )
 
-    found = docs.select("h", "text", "source", "lang", "y").mapInArrow(run, "h long, features array<long>, measures array<double>, source string, lang string, y int").orderBy("h").toArrow()
-    column = lambda k: found.column(k).combine_chunks()
+    return docs.select("part", "h", "text", "source", "lang", "y").mapInArrow(run, "part int, h long, features array<long>, measures array<double>, source string, lang string, y int")
+
+
+def _sample(table: pa.Table) -> Sample:
+    table = table.combine_chunks()
+    column = lambda k: table.column(k).combine_chunks()
     lists = column("features")
     sizes = np.asarray(lists.value_lengths()) if len(lists) else np.zeros(0, np.int64)
-    flat = np.array(lists.flatten(), np.int64)
     measured = np.array(column("measures").flatten(), np.float64).reshape(-1, len(MEASURES))
-    y = np.array(column("y").fill_null(0), np.int64)
-    out = Sample(flat, np.concatenate(([0], np.cumsum(sizes))), measured, column("source").to_pylist(), column("lang").to_pylist(), y)
-    del found, lists
-    pa.default_memory_pool().release_unused()
-    return out
+    return Sample(np.array(lists.flatten(), np.int64), np.concatenate(([0], np.cumsum(sizes))), measured, column("source").to_pylist(), column("lang").to_pylist(), np.array(column("y").fill_null(0), np.int64))
+
+
+def fit_sample(features: DataFrame, rounds: int) -> Classifier:
+    """Fit on a sample of bounded size in one task, so that the driver gets the model alone."""
+
+    def run(batches):
+        table = pa.Table.from_batches(list(batches), schema=schema)
+        labelled, pool = (_sample(table.filter(pyarrow.compute.equal(table.column("part"), k))) for k in (0, 1))
+        model = Classifier(labelled, (labelled.y & 1).astype(float), (labelled.y >> 1).astype(float), pool, rounds)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    schema = pa.schema([("part", pa.int32()), ("h", pa.int64()), ("features", pa.list_(pa.int64())), ("measures", pa.list_(pa.float64())), ("source", pa.string()), ("lang", pa.string()), ("y", pa.int32())])
+    found = features.repartition(1).sortWithinPartitions("part", "h").mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0].model) if found else Classifier(*_nothing(), rounds)
+
+
+def _nothing():
+    empty = Sample(np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros((0, len(MEASURES))), [], [], np.zeros(0, np.int64))
+    return empty, np.zeros(0), np.zeros(0), empty
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, max_labelled: int, max_pool: int, rounds: int) -> Classifier:
@@ -259,11 +279,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, source
     h = F.xxhash64(F.lit("quality"), F.col(id_col))
     some = marks.withColumn("h", h).orderBy("h").limit(max_labelled)
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"))
-    labelled = _features(base.join(F.broadcast(some.withColumnRenamed(id_col, "id")), "id"))
+    labelled = base.join(F.broadcast(some.withColumnRenamed(id_col, "id")), "id").withColumn("part", F.lit(0))
     ids = docs.select(F.col(id_col).alias("id")).where("id is not null").join(marks.select(F.col(id_col).alias("id")), "id", "left_anti")
     pool_ids = ids.select("id", F.xxhash64(F.lit("pool"), "id").alias("h")).orderBy("h").limit(max_pool).distinct()
-    pool = _features(base.join(F.broadcast(pool_ids), "id").withColumn("y", F.lit(None).cast("int")))
-    return Classifier(labelled, (labelled.y & 1).astype(float), (labelled.y >> 1).astype(float), pool, rounds)
+    pool = base.join(F.broadcast(pool_ids), "id").withColumn("part", F.lit(1)).withColumn("y", F.lit(0))
+    return fit_sample(_features(labelled.unionByName(pool)), rounds)
 
 
 def _scorer(shared, names, text_col, source_col, lang_col):
