@@ -51,6 +51,15 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def store(frame: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """A frame written as a table in the shared folder and read again, and its path. For loops: unlike a checkpoint, the table does not
+    carry over the constraints of the plan before it, which would pile up on the driver from round to round, and it can be dropped."""
+    spark = frame.sparkSession
+    path = new_path(spark, name)
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path), path
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

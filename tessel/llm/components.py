@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import cut
+from tessel.llm.common import drop_path, store
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -16,9 +16,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     minima combine on the map side and meet the edges in a join, which adaptive execution can split
     where one node has very many neighbours. Self edges, repeated edges and nulls do not matter.
     """
-    stars = cut(
-        edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct()
-    )
+    spark = edges.sparkSession
+    stars, path = store(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct(), "stars")
     last = None
     while True:
         signature = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -32,6 +31,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         pulled = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        stars = cut(pulled.unionAll(low.select("a", F.col("m").alias("b"))).distinct())
+        before = path
+        stars, path = store(pulled.unionAll(low.select("a", F.col("m").alias("b"))).distinct(), "stars")
+        drop_path(spark, before)
     roots = stars.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(roots)

@@ -1,4 +1,4 @@
-"""Near-duplicate removal: SimHash finds groups, exact shingle similarity decides."""
+"""Near-duplicate removal: SimHash finds groups, exact shingle similarity decides within them."""
 
 from __future__ import annotations
 
@@ -7,14 +7,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import cut, raw_texts, words
+from tessel.llm.common import cut, drop_path, raw_texts, store, words
 from tessel.llm.components import connected_components
-from tessel.llm.simhash import link_edges, shingle_hashes, simhash
+from tessel.llm.simhash import SEED, link_edges, shingle_hashes, simhash
 
 WIDTH, SIMILARITY = 5, 0.8
 #: Fingerprints of pairs of words differ less than those of five words when a text is edited; within 7 bits of 64 lie nearly all texts
 #: of similarity 0.9, and most of 0.8 (README).
 PROBE_WIDTH, RADIUS = 2, 7
+#: Rounds of comparison within a group; a pair of similarity 0.8 is missed by one in 390,000.
+ROUNDS = 8
 
 
 def _probe(docs: DataFrame, text_col: str, probe: int) -> DataFrame:
@@ -28,24 +30,29 @@ def _probe(docs: DataFrame, text_col: str, probe: int) -> DataFrame:
     return docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).dropDuplicates(["h"]).mapInArrow(run, "h long, fp long")
 
 
-def _shingles(texts: DataFrame, width: int) -> DataFrame:
-    """(h, root, shingles): the distinct shingle hashes of each text, in order; empty without words."""
+def _sets(texts: DataFrame, width: int, rounds: int) -> DataFrame:
+    """(h, root, keys, shingles): the distinct shingle hashes of each text, in order (none without words), and a MinHash for each round."""
 
     def run(batches):
+        turns = np.random.default_rng(SEED).integers(0, 1 << 63, rounds, np.uint64) * np.uint64(2) + np.uint64(1)
         for batch in batches:
-            found = [np.unique(shingle_hashes(words(t or b""), width)).view(np.int64) for t in raw_texts(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["h", "root", "shingles"])
+            found = [np.unique(shingle_hashes(words(t or b""), width)) for t in raw_texts(batch.column(2))]
+            keys = [[int((s * turn).min()) >> 1 if len(s) else 0 for turn in turns] for s in found]
+            shingles = pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64())), shingles], names=["h", "root", "keys", "shingles"])
 
-    return texts.mapInArrow(run, "h long, root long, shingles array<long>")
+    return texts.mapInArrow(run, "h long, root long, keys array<long>, shingles array<long>")
 
 
-def near_duplicate_texts(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float, probe: int, radius: int) -> DataFrame:
-    """(h): hashes of texts that have a near duplicate that stays.
+def near_duplicate_texts(docs: DataFrame, text_col: str, width: int, similarity: float, probe: int, radius: int, rounds: int) -> DataFrame:
+    """(h): hashes of texts that go because a near duplicate of them stays, or went for another that stays.
 
-    Texts whose fingerprints a chain of links connects make a group. In each group the text with the smallest hash leads; texts as
-    similar to it as asked go, the others form the group of the next round. So each dropped text is
-    verified against one that stays, and a round compares every text once.
+    Texts whose fingerprints a chain of links connects make a group, which may hold many texts that are not alike. In each round the
+    texts of a group that agree on that round's MinHash are compared with one of them, which the round picks by a hash; those as similar as
+    asked go. So a round compares every text once at most, and a group of any size takes the same number of rounds. A
+    pair of similarity s agrees in a round with probability s, so that at 0.8 one in 0.2^-rounds gets no comparison.
     """
+    spark = docs.sparkSession
     fps = cut(_probe(docs, text_col, probe))
     distinct = fps.select("fp").distinct()
     roots = connected_components(link_edges(distinct, radius, distinct.count()))
@@ -53,33 +60,37 @@ def near_duplicate_texts(docs: DataFrame, id_col: str, text_col: str, width: int
     sizes = named.groupBy("root").count().where("count > 1").select("root")
     members = cut(named.join(sizes, "root", "left_semi"))
     texts = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).dropDuplicates(["h"]).join(members, "h").select("h", "root", "text")
-    open_, gone = cut(_shingles(texts, width)), []
-    while True:
-        leads = open_.groupBy("root").agg(F.min("h").alias("lead"))
-        lead_sets = open_.withColumnRenamed("h", "lead").join(leads, ["root", "lead"], "left_semi").select("root", "lead", F.col("shingles").alias("lead_shingles"))
-        judged = open_.join(lead_sets, "root").where("h <> lead")
+    sets, sets_path = store(_sets(texts, width, rounds), "sets")
+    shingles = sets.select("h", "shingles")
+    open_, open_path, out = sets.select("h", "root", "keys"), None, []
+    for k in range(rounds):
+        keyed = open_.select("h", "root", F.col("keys")[k].alias("key"))
+        leads = keyed.groupBy("root", "key").agg(F.min_by("h", F.xxhash64(F.lit(k), "h")).alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
+        pairs = keyed.join(leads, ["root", "key"]).where("h <> lead").select("h", "lead")
+        judged = pairs.join(shingles, "h").join(shingles.select(F.col("h").alias("lead"), F.col("shingles").alias("lead_shingles")), "lead")
         shared = F.size(F.array_intersect("shingles", "lead_shingles"))
         total = F.size("shingles") + F.size("lead_shingles") - shared
-        near = F.when(total == 0, True).otherwise(shared >= F.lit(similarity) * total)
-        judged = cut(judged.select("h", "root", "shingles", near.alias("near")))
-        gone.append(judged.where("near").select("h"))
-        open_ = judged.where("not near").drop("near")
-        if open_.isEmpty():
-            break
-    out = gone[0]
-    for g in gone[1:]:
-        out = out.unionAll(g)
-    return out
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY, probe: int = PROBE_WIDTH, radius: int = RADIUS) -> DataFrame:
-    """The rows of `docs`, all columns, without near duplicates: of equal texts the row with the smallest id stays, of near-duplicate
-    texts the row of one that was compared with all that went.
+        gone, gone_path = store(judged.where((total == 0) | (shared >= F.lit(similarity) * total)).select("h"), "gone")
+        out.append(gone_path)
+        if k + 1 < rounds:
+            before = open_path
+            open_, open_path = store(open_.join(gone, "h", "left_anti"), "open")
+            if before:
+                drop_path(spark, before)
+    for path in (sets_path, open_path):
+        if path:
+            drop_path(spark, path)
+    return spark.read.schema("h long").parquet(*out)
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY, probe: int = PROBE_WIDTH, radius: int = RADIUS, rounds: int = ROUNDS) -> DataFrame:
+    """The rows of `docs`, all columns, without near duplicates: of equal texts the row with the smallest id stays, and of texts
+    that a chain of near duplicates connects at least one: a text goes only for one that it was compared with, shingle by shingle.
 
     Texts without words (null, empty, white space) are near duplicates of each other. Rows that agree in id and text are one
     document. Null ids stand after all others.
     """
-    gone = near_duplicate_texts(docs, id_col, text_col, width, similarity, probe, radius)
+    gone = near_duplicate_texts(docs, text_col, width, similarity, probe, radius, rounds)
     keys = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_h"))
     first = keys.groupBy("_h").agg(F.min("_id").alias("_id")).join(gone.select(F.col("h").alias("_h")), "_h", "left_anti")
     kept = docs.withColumn("_hash", F.xxhash64(text_col))
