@@ -117,7 +117,8 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "pa
         return parts.select(id_col, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     longest = lambda keys: F.array_max(F.transform(keys, lambda k: F.struct(F.length(k), F.length(F.substring_index(k, "/", 1)), k.alias("key")))).getField("key")
     keyed = parts.withColumn("keys", candidates(F.col("host"), F.col("path"), shapes))
-    listed = spark.createDataFrame(sorted(verdicts.items()), "key string, verdict string")
+    entries = [F.struct(F.lit(k).alias("key"), F.lit(v).alias("verdict")) for k, v in sorted(verdicts.items())] if len(verdicts) <= max_listed else None
+    listed = spark.range(1).select(F.inline(F.array(*entries))) if entries else spark.createDataFrame(sorted(verdicts.items()), "key string, verdict string")
     if len(verdicts) > max_listed:
         one = keyed.select(F.explode("keys").alias("key")).distinct().join(listed, "key")
         distinct = keyed.select("keys").distinct().withColumn("key", F.explode("keys"))
