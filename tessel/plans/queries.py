@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessel.functions import text as T
+from tessel.operators import clustering as N
 from tessel.operators import coverage as C
 from tessel.operators import graph as G
 from tessel.operators import links as L
+from tessel.operators import lookups as K
 from tessel.operators import relational as R
 from tessel.plans.inputs import load, with_inputs
 from tessel.session import materialise
@@ -189,6 +191,52 @@ def g20_publish(spark, sf):
     return G.publish([aligned, one, two])
 
 
+@query(None)
+def g17_clusters(spark, sf):
+    """No SQL: clustering is iterative. The uid is its number; devices are pairs of numbers, and some other pairs are of different users."""
+    edges = G.remainder(materialise(_edges(spark, sf)), load(spark, sf, "claims_c"), load(spark, sf, "geo"))
+    number = lambda c: F.substring(c, 2, 18).cast("long")
+    edges = edges.select("geo", number("uid1").alias("uid1"), number("uid2").alias("uid2"), "weight")
+    same = F.floor(F.col("uid1") / 6) == F.floor(F.col("uid2") / 6)
+    return N.cluster_geos(edges.withColumn("same", same).withColumn("diff", ~same & (F.pmod(F.col("uid1") + F.col("uid2"), F.lit(5)) == 0)))
+
+
+PUBLISHED = FLOW + """, published AS (SELECT uid, CASE WHEN stable THEN 'S_' ELSE '' END || cast(group_id AS string) AS group_id, CASE WHEN household_id = 0 THEN '' ELSE CASE WHEN stable THEN 'S_' ELSE '' END || cast(household_id AS string) END AS household_id, reason
+FROM (SELECT * FROM aligned UNION ALL SELECT * FROM spread1 UNION ALL SELECT * FROM spread2) WHERE group_id <> 0)"""
+
+
+@query(with_inputs("claims_a", "claims_c") + """, c AS (SELECT x.group_id AS left_id, a.group_id AS right_id, count(*) AS n FROM claims_c x JOIN claims_a a ON a.uid = x.uid GROUP BY ALL),
+best AS (SELECT left_id, right_id FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY n DESC, right_id DESC) AS r FROM c) WHERE r = 1)
+SELECT uid, group_id FROM claims_a UNION ALL SELECT x.uid, coalesce(right_id, x.group_id) FROM claims_c x LEFT JOIN best ON left_id = x.group_id WHERE x.uid NOT IN (SELECT uid FROM claims_a)""")
+def g24_merge_residual(spark, sf):
+    return K.merge_residual(load(spark, sf, "claims_a"), load(spark, sf, "claims_c"))
+
+
+@query(with_inputs("claims_a") + "SELECT uid, group_id, household_id, reason, max(household_id) OVER w AS group_household_id, max(reason) OVER w AS group_reason FROM claims_a WINDOW w AS (PARTITION BY group_id)")
+def g25_group_metadata(spark, sf):
+    return K.group_metadata(load(spark, sf, "claims_a").select("uid", "group_id", "household_id", "reason"), ["household_id", "reason"])
+
+
+@query(PUBLISHED + """ SELECT 'NS_' || group_id AS graphid, array_to_string(list_sort(list(DISTINCT uid)), '|') AS uids FROM published WHERE group_id <> '' GROUP BY group_id HAVING count(*) BETWEEN 2 AND 49
+UNION ALL SELECT 'NSH_' || household_id, array_to_string(list_sort(list(DISTINCT uid)), '|') FROM published WHERE household_id <> '' GROUP BY household_id HAVING count(*) < 50""")
+def g26_lookups(spark, sf):
+    rows = materialise(g20_publish(spark, sf))
+    return K.match_lookup(rows).unionAll(K.household_lookup(rows)).select("graphid", joined("uids"))
+
+
+@query(PUBLISHED + """, g AS (SELECT uid, 'NS_' || group_id AS graphid FROM published UNION ALL SELECT uid, 'NSH_' || household_id FROM published)
+SELECT uid, array_to_string(list_sort(list(DISTINCT graphid)), '|') AS graphids FROM g WHERE length(graphid) > 7 GROUP BY uid""")
+def g26_uid_lookup(spark, sf):
+    return K.uid_lookup(g20_publish(spark, sf), 7).select("uid", joined("graphids"))
+
+
+@query(PUBLISHED + """, m AS (SELECT group_id FROM published WHERE group_id <> '' GROUP BY group_id HAVING count(*) BETWEEN 2 AND 49)
+SELECT DISTINCT NULL::VARCHAR AS userid, 'NPIIDN_' || key AS segment, 'NS_' || group_id AS graphid FROM activity JOIN published USING (uid) WHERE group_id IN (SELECT group_id FROM m) AND key IS NOT NULL""")
+def g27_segments(spark, sf):
+    segments = load(spark, sf, "activity").select("uid", F.concat(F.lit("NPIID_"), "key").alias("segment"))
+    return K.attach_segments(segments, K.exploded(K.match_lookup(g20_publish(spark, sf))), "NPIID_", "NPIIDN_")
+
+
 @query(with_inputs("claims_a", "claims_b") + """, c AS (SELECT b.group_id AS left_id, a.group_id AS right_id, count(*) AS cnt FROM claims_b b JOIN claims_a a ON a.uid = b.uid GROUP BY ALL)
 SELECT left_id, right_id, cnt FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY cnt DESC, right_id DESC) AS r FROM c) WHERE r = 1""")
 def g23_one_way_best(spark, sf):

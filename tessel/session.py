@@ -1,6 +1,7 @@
 """Session defaults."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,7 +15,28 @@ def session(master: str = "local[*]", partitions: int = 8, **more: str) -> Spark
 def materialise(frame: DataFrame) -> DataFrame:
     """Store a frame that several branches read in the shared checkpoint folder, so that none computes it again. The folder is that of
     spark.checkpoint.dir; one is set here only where there is none, as in tests."""
-    spark = frame.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessel-"))
+    shared_folder(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessel-"))
+    return context.getCheckpointDir()
+
+
+class Rounds:
+    """Tables of a loop: each frame kept replaces that of the round before. Unlike a checkpoint, a table read again carries no constraints of
+    the plan that made it, which would pile up on the driver from round to round."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, None
+
+    def keep(self, frame: DataFrame) -> DataFrame:
+        before, self.path = self.path, f"{shared_folder(self.spark)}/round-{uuid.uuid4().hex}"
+        frame.write.parquet(self.path)
+        if before:
+            target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(before)
+            target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        return self.spark.read.schema(frame.schema).parquet(self.path)
