@@ -11,6 +11,7 @@ from tessel.operators import graph as G
 from tessel.operators import links as L
 from tessel.operators import lookups as K
 from tessel.operators import relational as R
+from tessel.operators import statistics as S
 from tessel.plans.inputs import load, with_inputs
 from tessel.session import materialise
 
@@ -476,3 +477,73 @@ def m08_membership(spark, sf):
 @query(LINKS + """, c AS (SELECT source, observation_count AS v FROM l) SELECT source, quantile_disc(v, 0.5) AS p50, quantile_disc(v, 0.95) AS p95 FROM c GROUP BY source""")
 def a06_percentiles(spark, sf):
     return R.exact_percentiles(_links(spark, sf), ["source"], "observation_count", {"p50": 0.5, "p95": 0.95})
+
+
+# --- statistics and invariants --------------------------------------------------------------------------------------------------------
+
+
+def rounded(frame, *columns):
+    return frame.withColumns({c: F.round(c, 6) for c in columns})
+
+
+@query(LINKS + """, x AS (SELECT source, quantile_disc(observation_count, 0.5) AS p50, quantile_disc(observation_count, 0.95) AS p95 FROM l GROUP BY source)
+SELECT l.source, count(*) AS links, sum(observation_count)::bigint AS observations, max(observation_count) AS most, any_value(p50) AS p50, any_value(p95) AS p95 FROM l JOIN x ON l.source = x.source GROUP BY l.source""")
+def q01_observation_counts(spark, sf):
+    return S.observation_counts(_links(spark, sf))
+
+
+@query(LINKS + """, f AS (SELECT l.source, has_been_reassigned AS v FROM l JOIN linkage k ON l.source = k.source AND l.email = k.email)
+SELECT source, count(*) AS rows, count(*) FILTER (v) AS has_been_reassigned_true, count(*) FILTER (NOT v) AS has_been_reassigned_false, count(*) FILTER (v IS NULL) AS has_been_reassigned_unknown,
+round(100.0::double * count(*) FILTER (v) / count(*), 6) AS has_been_reassigned_true_pct FROM f GROUP BY source""")
+def q05_flag_rates(spark, sf):
+    return rounded(S.flag_rates(_conflicts(spark, sf), ["source"], ["has_been_reassigned"]), "has_been_reassigned_true_pct")
+
+
+@query(LINKS + """, c AS (SELECT source, split_part(email, '@', 2) AS domain, count(*) AS rows FROM l GROUP BY ALL)
+SELECT source, domain, rows, round(100.0::double * rows / sum(rows) OVER (PARTITION BY source), 6) AS pct FROM c""")
+def q04_class_shares(spark, sf):
+    return rounded(S.class_shares(_links(spark, sf).withColumn("domain", T.email_domain(F.col("email"))), ["source"], "domain"), "pct")
+
+
+@query(LINKS + ", e AS (SELECT source, email, count(*) AS links FROM l GROUP BY ALL) SELECT source, least(links, 5) AS npis, count(*) AS emails, sum(links)::bigint AS links FROM e GROUP BY source, least(links, 5)")
+def q08_multiplicity(spark, sf):
+    return S.multiplicity_histogram(_links(spark, sf))
+
+
+@query(LINKS + """, h AS (SELECT source, email, npi, count(*) AS n FROM lc GROUP BY ALL),
+r AS (SELECT l.source, l.email, k.has_been_reassigned AS v, CASE WHEN h.n > 0 THEN true WHEN email_npi_count = 1 THEN false WHEN undated > 0 THEN NULL ELSE false END AS c
+ FROM l JOIN linkage k ON l.source = k.source AND l.email = k.email LEFT JOIN h ON l.source = h.source AND l.email = h.email AND l.npi = h.npi),
+e AS (SELECT source, email, count(*) AS links, bool_or(v) AS reassigned, CASE WHEN count(*) FILTER (c) > 0 THEN true WHEN count(*) FILTER (c IS NULL) = 0 THEN false END AS conflict FROM r GROUP BY ALL)
+SELECT source, reassigned, conflict, count(*) AS emails, sum(links)::bigint AS links FROM e GROUP BY ALL""")
+def q09_linkage_outcomes(spark, sf):
+    return S.linkage_outcomes(_conflicts(spark, sf))
+
+
+@query(LINKS + """, s AS (SELECT source, max(last_seen_day) AS z FROM l GROUP BY source), g AS (SELECT l.source, date_diff('day', last_seen_day, z) AS lag FROM l JOIN s ON l.source = s.source)
+SELECT source, count(lag) AS dated, count(*) - count(lag) AS undated, max(lag)::int AS longest, quantile_disc(lag, 0.5)::int AS p50, quantile_disc(lag, 0.95)::int AS p95 FROM g GROUP BY source""")
+def q20_lags(spark, sf):
+    return S.lag_summary(L.link_freshness(_links(spark, sf), "2024-02-10"))
+
+
+@query(LINKS + """, e AS (SELECT source, email, count(*) AS n FROM daily GROUP BY ALL), h AS (SELECT source, email, npi, count(*) AS n FROM lc GROUP BY ALL),
+x AS (SELECT l.source, e.n AS days, CASE WHEN len(ds) > 0 THEN len(ds)::double / e.n END AS seen, CASE WHEN len(ds) > 0 THEN coalesce(h.n, 0)::double / len(ds) END AS shared, m.undated_link_count > 0 AS open
+ FROM l JOIN mult m ON l.source = m.source AND l.email = m.email LEFT JOIN e ON l.source = e.source AND l.email = e.email LEFT JOIN h ON l.source = h.source AND l.email = h.email AND l.npi = h.npi)
+SELECT source, count(*) AS links, count(seen) AS dated, count(*) FILTER (open) AS incomplete, count(*) FILTER (seen = 1) AS always, count(*) FILTER (shared = 0) AS apart, count(*) FILTER (shared > 0) AS overlapping,
+count(*) FILTER (shared = 1) AS all_overlapping, round(avg(seen), 6) AS mean_presence, round(avg(shared), 6) AS mean_overlap, max(days) AS most_days FROM x GROUP BY source""")
+def q21_stability(spark, sf):
+    return rounded(S.stability_summary(L.link_stability(_conflicts(spark, sf))), "mean_presence", "mean_overlap")
+
+
+@query(LINKS + """, o AS (SELECT DISTINCT a.source, a.email, a.npi, b.source AS other FROM l a JOIN l b ON a.email = b.email AND a.source <> b.source)
+SELECT o.source, o.other, count(b.npi) AS agree, count(*) - count(b.npi) AS disagree FROM o LEFT JOIN l b ON b.source = o.other AND b.email = o.email AND b.npi = o.npi GROUP BY ALL""")
+def q29_source_matrix(spark, sf):
+    return S.source_matrix(L.cross_source(_links(spark, sf)))
+
+
+@query("SELECT 'multiplicity' AS invariant, 0::bigint AS violations UNION ALL SELECT 'reassignment', 0 UNION ALL SELECT 'stability', 0")
+def i00_invariants(spark, sf):
+    """How many rows break each rule."""
+    linked, conflicts = _links(spark, sf), _conflicts(spark, sf)
+    wrong = {"multiplicity": S.wrong_multiplicity(linked, L.email_multiplicity(linked)), "reassignment": S.wrong_reassignment(load(spark, sf, "observations"), L.email_linkage(linked)),
+        "stability": S.wrong_stability(L.link_stability(conflicts))}
+    return R.union_all([f.agg(F.count("*").alias("violations")).select(F.lit(n).alias("invariant"), "violations") for n, f in wrong.items()])
