@@ -1,7 +1,10 @@
-"""Near-duplicate removal: SimHash finds groups, exact shingle similarity decides within them."""
+"""Near-duplicate removal: SimHash finds most groups at low cost, an exact search over shingle prefixes finds the pairs that are left, and
+exact shingle similarity decides."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,11 +15,18 @@ from tessel.llm.components import connected_components
 from tessel.llm.simhash import SEED, link_edges, shingle_hashes, simhash
 
 WIDTH, SIMILARITY = 5, 0.8
-#: Fingerprints of pairs of words differ less than those of five words when a text is edited; within 7 bits of 64 lie nearly all texts
-#: of similarity 0.9, and most of 0.8 (README).
+#: Fingerprints of pairs of words differ less than those of five words when a text is edited. How many pairs lie within 7 bits of 64
+#: depends on length and edit; those beyond are left to the search over prefixes.
 PROBE_WIDTH, RADIUS = 2, 7
-#: Rounds of comparison within a group; a pair of similarity 0.8 is missed by one in 390,000.
+#: Rounds of comparison within a group.
 ROUNDS = 8
+#: Members of a shared shingle that one work item compares at once; more are dealt out as pairs of such chunks.
+BLOCK = 256
+#: Texts in the sample that tells common shingles, where they are at most 1 / LEAST_PART of all; otherwise one text in LEAST_PART.
+SAMPLE, LEAST_PART = 8192, 64
+#: Common shingles and candidate texts that are broadcast, at most. More shingles count as rare, more texts go through a shuffle: neither
+#: changes the result.
+COMMON, BROADCAST = 1 << 18, 200_000
 
 
 def _probe(docs: DataFrame, text_col: str, probe: int) -> DataFrame:
@@ -44,13 +54,161 @@ def _sets(texts: DataFrame, width: int, rounds: int) -> DataFrame:
     return texts.mapInArrow(run, "h long, root long, keys array<long>, shingles array<long>")
 
 
+def _common(texts: DataFrame, n: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many texts share, in order, and in how many of a sample they are. Only the cost of the search depends on it."""
+
+    def run(batches):
+        for batch in batches:
+            found = [np.unique(shingle_hashes(words(t or b""), width)) for t in raw_texts(batch.column(1))]
+            keys, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(times.astype(np.int64))], names=["key", "n"])
+
+    part = max(1, min(LEAST_PART, n // SAMPLE))
+    sample = texts.where(F.pmod(F.xxhash64(F.lit(SEED), "h"), F.lit(part)) == 0).dropDuplicates(["h"])
+    counts, path = store(sample.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 2"), "common")
+    least, room = 3, COMMON
+    for r in sorted(counts.groupBy("n").count().collect(), key=lambda r: -r.n):
+        room -= r["count"]
+        if room < 0:
+            least = r.n + 1
+            break
+    found = counts.where(F.col("n") >= least).toPandas()
+    drop_path(texts.sparkSession, path)
+    keys, times = found.key.to_numpy(np.int64).view(np.uint64), found.n.to_numpy(np.int64)
+    order = np.argsort(keys)
+    return keys[order], times[order]
+
+
+def similar_pairs(docs: DataFrame, text_col: str, gone: DataFrame, n: int, width: int, similarity: float) -> tuple[DataFrame, str]:
+    """(a, b) as a stored table, and its path: hashes of all pairs of distinct texts, without those gone, that are as similar as asked.
+
+    Each text's shingles are put in one order of all shingles, common ones last. A set of m shingles shares at least s * m with a set of
+    similarity s, so that the two have a shingle in common among their first m - s * m + 1. At the first such shingle the rest of both
+    sets must still suffice; a pair that is similar passes there. This finds every pair; what it proposes is compared shingle by shingle.
+    """
+    spark = docs.sparkSession
+    texts = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    common = spark.sparkContext.broadcast(_common(texts, n, width))
+    slack = 1e-6
+
+    def prefixes(batches):
+        late, times = common.value
+        for batch in batches:
+            keys, hs, ats, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+            for h, t in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1))):
+                found = np.unique(shingle_hashes(words(t or b""), width))
+                m = len(found)
+                if not m:
+                    found = np.zeros(1, np.uint64)  # texts without words meet in one bucket
+                elif len(late):
+                    at = np.minimum(np.searchsorted(late, found), len(late) - 1)
+                    found = found[np.argsort(np.where(late[at] == found, times[at], 0), kind="stable")]
+                found = found[: m - math.ceil(similarity * m - slack) + 1]
+                keys.append(found)
+                hs.append(np.full(len(found), h))
+                ats.append(np.arange(len(found), dtype=np.int32))
+                sizes.append(np.full(len(found), m, np.int32))
+            columns = [np.concatenate(keys).view(np.int64), *map(np.concatenate, (hs, ats, sizes))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "h", "at", "m"])
+
+    def blocks(batches):
+        """The members of each shared key as pairs of chunks; `own`: both are the same chunk."""
+        rest = None
+        for batch in batches:
+            part = [np.asarray(batch.column(i)) for i in range(4)]
+            if rest is not None:
+                part = [np.concatenate(x) for x in zip(rest, part)]
+            change = np.flatnonzero(part[0][1:] != part[0][:-1]) + 1
+            end = int(change[-1]) if len(change) else 0
+            rest = [x[end:] for x in part]
+            if end:
+                yield from dealt([x[:end] for x in part], np.r_[0, change])
+        if rest is not None and len(rest[0]):
+            yield from dealt(rest, np.array([0, len(rest[0])]))
+
+    def dealt(part, edges):
+        rows = []
+        for x, y in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            if y - x < 2:
+                continue
+            chunks = [[c[k : min(k + BLOCK, y)] for c in part[1:]] for k in range(x, y, BLOCK)]
+            for i, left in enumerate(chunks):
+                for right in chunks[i:]:
+                    rows.append((right is left, *left, *right))
+                    if len(rows) >= 512:
+                        yield block_batch(rows)
+                        rows = []
+        if rows:
+            yield block_batch(rows)
+
+    def block_batch(rows):
+        kinds = [pa.bool_(), *[pa.list_(k) for k in (pa.int64(), pa.int32(), pa.int32())] * 2]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=["own", "h", "at", "m", "h2", "at2", "m2"])
+
+    def pairs(batches):
+        for batch in batches:
+            columns = [[np.asarray(v.values) for v in batch.column(i)] for i in range(1, 7)]
+            found = [np.zeros((0, 2), np.int64)]
+            for own, h, at, m, h2, at2, m2 in zip(batch.column(0).to_pylist(), *columns):
+                most = np.minimum(np.minimum((m - at)[:, None], (m2 - at2)[None, :]), np.minimum(m[:, None], m2[None, :]))
+                ok = most * (1 + similarity) >= similarity * (m[:, None].astype(np.int64) + m2[None, :]) - slack
+                ok &= h[:, None] != h2[None, :]
+                if own:
+                    ok = np.triu(ok, 1)
+                i, j = np.nonzero(ok)
+                if len(i):
+                    found.append(np.stack([np.minimum(h[i], h2[j]), np.maximum(h[i], h2[j])], 1))
+            found = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+    left = texts.dropDuplicates(["h"]).join(gone.select("h").distinct(), "h", "left_anti").select("h", "text")
+    keyed = left.mapInArrow(prefixes, "key long, h long, at int, m int").repartition("key").sortWithinPartitions("key")
+    dealt_out = keyed.mapInArrow(blocks, "own boolean, h array<long>, at array<int>, m array<int>, h2 array<long>, at2 array<int>, m2 array<int>")
+    items, items_path = store(dealt_out, "items")
+    proposed, proposed_path = store(items.repartition(F.xxhash64("h", "h2")).mapInArrow(pairs, "a long, b long").distinct(), "proposed")
+    drop_path(spark, items_path)
+    ends = proposed.select(F.col("a").alias("h")).unionAll(proposed.select(F.col("b").alias("h"))).distinct()
+    if ends.count() <= BROADCAST:
+        members = texts.join(F.broadcast(ends), "h", "left_semi").dropDuplicates(["h"])
+    else:
+        members = texts.dropDuplicates(["h"]).join(ends, "h", "left_semi")
+    sets, sets_path = store(_sets(members.select("h", F.lit(0).cast("long").alias("root"), "text"), width, 0).select("h", "shingles"), "sets")
+    judged = proposed.join(sets.select(F.col("h").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("h").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    total = F.size("x") + F.size("y") - shared
+    out, path = store(judged.where((total == 0) | (shared >= F.lit(similarity) * total)).select("a", "b"), "similar")
+    for done in (proposed_path, sets_path):
+        drop_path(spark, done)
+    return out, path
+
+
+def _surplus(pairs: DataFrame) -> list[str]:
+    """Paths of tables (h): all ends of `pairs` but a maximal set of which no two are a pair, so that each has a partner that stays.
+
+    In each round the ends below all their partners stay and their partners go; the h are hashes, so that few rounds are needed.
+    """
+    spark = pairs.sparkSession
+    edges, path = store(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"))), "edges")
+    out = []
+    while not edges.isEmpty():
+        stay = edges.groupBy("u").agg(F.min("v").alias("m")).where("u < m").select("u")
+        gone, gone_path = store(edges.join(stay, "u", "left_semi").select(F.col("v").alias("h")).distinct(), "gone")
+        out.append(gone_path)
+        before = path
+        edges, path = store(edges.join(gone, edges.u == gone.h, "left_anti").join(gone, edges.v == gone.h, "left_anti"), "edges")
+        drop_path(spark, before)
+    drop_path(spark, path)
+    return out
+
+
 def near_duplicate_texts(docs: DataFrame, text_col: str, width: int, similarity: float, probe: int, radius: int, rounds: int) -> DataFrame:
     """(h): hashes of texts that go because a near duplicate of them stays, or went for another that stays.
 
-    Texts whose fingerprints a chain of links connects make a group, which may hold many texts that are not alike. In each round the
+    First, texts whose fingerprints a chain of links connects make a group, which may hold many texts that are not alike. In each round the
     texts of a group that agree on that round's MinHash are compared with one of them, which the round picks by a hash; those as similar as
     asked go. So a round compares every text once at most, and a group of any size takes the same number of rounds. A
-    pair of similarity s agrees in a round with probability s, so that at 0.8 one in 0.2^-rounds gets no comparison.
+    pair of similarity s agrees in a round with probability s. Then similar_pairs() finds all pairs among what is left, whatever their
+    fingerprints and MinHashes, and of these texts all but a maximal set without a similar pair go.
     """
     spark = docs.sparkSession
     fps = cut(_probe(docs, text_col, probe))
@@ -80,12 +238,16 @@ def near_duplicate_texts(docs: DataFrame, text_col: str, width: int, similarity:
     for path in (sets_path, open_path):
         if path:
             drop_path(spark, path)
+    pairs, pairs_path = similar_pairs(docs, text_col, spark.read.schema("h long").parquet(*out), fps.count(), width, similarity)
+    out += _surplus(pairs)
+    drop_path(spark, pairs_path)
     return spark.read.schema("h long").parquet(*out)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY, probe: int = PROBE_WIDTH, radius: int = RADIUS, rounds: int = ROUNDS) -> DataFrame:
     """The rows of `docs`, all columns, without near duplicates: of equal texts the row with the smallest id stays, and of texts
     that a chain of near duplicates connects at least one: a text goes only for one that it was compared with, shingle by shingle.
+    No two texts that stay are as similar as asked.
 
     Texts without words (null, empty, white space) are near duplicates of each other. Rows that agree in id and text are one
     document. Null ids stand after all others.

@@ -111,6 +111,47 @@ def test_near_duplicates_keep_one_of_each_group(docs, texts):
     assert not left
 
 
+def shingle_set(text, width=5):
+    w = text.encode().lower().split()
+    return {b" ".join(w[k : k + width]) for k in range(max(1, len(w) - width + 1))}
+
+
+def similar(a, b, similarity=0.8):
+    return len(a & b) >= similarity * len(a | b)
+
+
+def remaining_pairs(spark, rows, **more):
+    """Kept ids, and which pairs of them are still near duplicates; every text that went has a near duplicate in the input."""
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    kept = {r.doc_id for r in near_dedup.drop_near_duplicates(frame, **more).select("doc_id").collect()}
+    sets = [shingle_set(t) for t in rows]
+    assert all(any(k != i and similar(sets[i], sets[k]) for k in range(len(rows))) for i in range(len(rows)) if i not in kept)
+    return kept, [(a, b) for a in kept for b in kept if a < b and similar(sets[a], sets[b])]
+
+
+def test_near_duplicates_beyond_the_fingerprint_radius(spark):
+    """Appended, cut, edited and short copies of similarity 0.8 or more, many of whose fingerprints differ in more bits than the radius."""
+    rng, rows, far, pairs = np.random.default_rng(5), [], 0, 0
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 50_000, n)]
+    for n, edit in [(n, e) for n in (8, 20, 60, 200, 1000) for e in ("append", "cut", "one") for _ in range(8)]:
+        text = word(n)
+        shingles, last = n - 4, None
+        if edit == "append":
+            last = text + word(max(1, int(0.22 * shingles)))
+        elif edit == "cut":
+            last = text[: n - max(1, int(0.18 * shingles))]
+        else:
+            last = text[:-1] + word(1)
+        pair = " ".join(text), " ".join(last)
+        if similar(shingle_set(pair[0]), shingle_set(pair[1])):
+            pairs += 1
+            far += (plain_simhash(pair[0], 2) ^ plain_simhash(pair[1], 2)).bit_count() > near_dedup.RADIUS
+            rows += pair
+    assert far > 20
+    kept, left = remaining_pairs(spark, rows)
+    assert not left and len(kept) == pairs
+
+
 # --- 2 ---
 
 
