@@ -18,7 +18,8 @@ WIDTH, SIMILARITY = 5, 0.8
 #: Fingerprints of pairs of words differ less than those of five words when a text is edited. How many pairs lie within 7 bits of 64
 #: depends on length and edit; those beyond are left to the search over prefixes.
 PROBE_WIDTH, RADIUS = 2, 7
-#: Rounds of comparison within a group.
+#: Rounds of comparison within a group. They save work and decide nothing for good: where other texts lead, a pair may get no comparison, and
+#: similar_pairs() then finds it.
 ROUNDS = 8
 #: Members of a shared shingle that one work item compares at once; more are dealt out as pairs of such chunks.
 BLOCK = 256

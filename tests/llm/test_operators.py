@@ -152,6 +152,20 @@ def test_near_duplicates_beyond_the_fingerprint_radius(spark):
     assert not left and len(kept) == pairs
 
 
+def test_near_duplicates_in_a_crowd_of_one_template(spark):
+    """Texts that share 85 % of their shingles, not similar enough themselves, among them 30 pairs that are: others lead the groups."""
+    rng = np.random.default_rng(6)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 50_000, n)]
+    template, rows = word(300), [" ".join(word(40))]
+    for k in range(150):
+        more = word(25)
+        rows += [" ".join(template + more + word(25)) for _ in range(2 if k < 30 else 1)]
+    sets = [shingle_set(t) for t in rows]
+    assert sum(similar(sets[a], sets[b]) for a in range(len(rows)) for b in range(a)) == 30
+    kept, left = remaining_pairs(spark, rows)
+    assert not left and len(kept) == len(rows) - 30
+
+
 # --- 2 ---
 
 
