@@ -14,8 +14,8 @@ from tessel.llm.common import raw_texts
 DEPTH = 3
 #: Least share of equal tokens at which a line joins a template.
 SIMILARITY = 0.8
-#: Shorter lines are never dropped: they recur by chance.
-MIN_TOKENS = 5
+#: Shorter lines recur by chance, and so must stand in more texts.
+MIN_TOKENS, SHORT_TEXTS = 5, 5
 REMEMBERED = 500_000
 WILD = b"<*>"
 _DIGITS = bytes.maketrans(b"123456789", b"000000000")
@@ -27,6 +27,12 @@ def masked(line: bytes) -> list[bytes]:
     return [WILD if b"0" in t.translate(_DIGITS) else t for t in tokens] if b"0" in line.translate(_DIGITS) else tokens
 
 
+def parsed(line: bytes, min_tokens: int = MIN_TOKENS) -> list[bytes]:
+    """The masked line; a short one with no fixed token as it stands, else all short lines of numbers would be one."""
+    tokens = masked(line)
+    return line.split() if len(tokens) < min_tokens and all(t == WILD for t in tokens) else tokens
+
+
 def signed64(data: bytes) -> int:
     x = xxhash.xxh64_intdigest(data, 42)
     return x - (1 << 64) if x >> 63 else x
@@ -62,15 +68,19 @@ def templates(lines: list[list[bytes]], similarity: float = SIMILARITY) -> tuple
     return out, [[names[c] for c in row] for row in made[:used].tolist()]
 
 
-def recurring_lines(docs: DataFrame, text_col: str = "text", min_tokens: int = MIN_TOKENS, similarity: float = SIMILARITY) -> DataFrame:
-    """(sig, template): signatures of lines whose template occurs in at least two different texts.
+def recurring_lines(docs: DataFrame, text_col: str = "text", min_tokens: int = MIN_TOKENS, similarity: float = SIMILARITY, short_texts: int = SHORT_TEXTS) -> DataFrame:
+    """(sig, template): signatures of lines whose template occurs in at least two different texts, or `short_texts` if it has fewer than
+    `min_tokens` tokens.
 
-    Each task sends a line on with at most two of the texts that hold it, so a line that very many documents share
+    Each task sends a line on with at most so many of the texts that hold it, so a line that very many documents share
     stays small. A leaf is read as a sorted stream; only its templates are kept, not its lines.
     """
 
+    def needed(tokens):
+        return 2 if len(tokens) >= min_tokens else short_texts
+
     def send(batches):
-        seen: dict[int, int | None] = {}  # signature -> the one text sent so far; None: two were sent
+        seen: dict[int, tuple[int, ...]] = {}  # signature -> the texts sent so far
         for batch in batches:
             out = []
             for raw in raw_texts(batch.column(0)):
@@ -78,14 +88,14 @@ def recurring_lines(docs: DataFrame, text_col: str = "text", min_tokens: int = M
                     continue
                 text = signed64(raw)
                 for line in raw.split(b"\n"):
-                    tokens = masked(line)
-                    if len(tokens) < min_tokens:
+                    tokens = parsed(line, min_tokens)
+                    if not tokens:
                         continue
                     leaf, sig = paths(tokens)
-                    before = seen.get(sig, sig)
-                    if before is None or before == text and sig in seen:
+                    before = seen.get(sig, ())
+                    if len(before) >= needed(tokens) or text in before:
                         continue
-                    seen[sig] = None if sig in seen else text
+                    seen[sig] = (*before, text)
                     out.append((leaf, sig, text, b" ".join(tokens)))
             if len(seen) > REMEMBERED:
                 seen.clear()
@@ -97,14 +107,16 @@ def recurring_lines(docs: DataFrame, text_col: str = "text", min_tokens: int = M
         leaf, lines, sigs, docs_of = None, [], [], []
 
         def close():
-            if len(sigs) == 1 and docs_of[0][0] == docs_of[0][1]:
+            need = needed(lines[0])  # the lines of a leaf are of one length
+            if len(sigs) == 1 and len(docs_of[0]) < need:
                 return
             number, made = templates(lines, similarity) if len(lines) > 1 else ([0], lines)
-            low, high = {}, {}
-            for k, (a, b) in zip(number, docs_of):
-                low[k], high[k] = min(a, low.get(k, a)), max(b, high.get(k, b))
+            held = {}
+            for k, some in zip(number, docs_of):
+                if len(mine := held.setdefault(k, set())) < need:
+                    mine.update(some)
             for k, sig in zip(number, sigs):
-                if low[k] != high[k]:
+                if len(held[k]) >= need:
                     yield sig, b" ".join(made[k]).decode("utf-8", "replace")
 
         for batch in batches:
@@ -115,11 +127,12 @@ def recurring_lines(docs: DataFrame, text_col: str = "text", min_tokens: int = M
                         found += close()
                     leaf, lines, sigs, docs_of = x, [], [], []
                 if sigs and sigs[-1] == sig:
-                    docs_of[-1] = (min(docs_of[-1][0], doc), max(docs_of[-1][1], doc))
+                    if docs_of[-1][-1] != doc and len(docs_of[-1]) < needed(lines[-1]):  # sorted by text
+                        docs_of[-1] += (doc,)
                 else:
                     lines.append(line.split(b" "))
                     sigs.append(sig)
-                    docs_of.append((doc, doc))
+                    docs_of.append((doc,))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found])], names=["sig", "template"])
         found = list(close()) if lines else []
@@ -130,11 +143,12 @@ def recurring_lines(docs: DataFrame, text_col: str = "text", min_tokens: int = M
     return sent.repartition("leaf").sortWithinPartitions("leaf", "sig", "doc").mapInArrow(grow, "sig long, template string")
 
 
-def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_tokens: int = MIN_TOKENS, similarity: float = SIMILARITY) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_tokens: int = MIN_TOKENS, similarity: float = SIMILARITY, short_texts: int = SHORT_TEXTS) -> DataFrame:
     """Documents without the lines whose template recurs: id, text, n_lines, n_dropped, dropped (line numbers from 0).
 
     A template recurs if its lines stand in two different texts or more; every such line goes. Copies of one whole text count
-    once: they are for document deduplication. Lines of fewer than `min_tokens` tokens stay. Every row gives one row; a
+    once: they are for document deduplication. A line of fewer than `min_tokens` tokens must stand in `short_texts` different texts, as it
+    may recur by chance; blank lines stay. Every row gives one row; a
     null text stays null with no lines, an empty text has one empty line. Other columns are not read.
     """
 
@@ -143,14 +157,14 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
             text, at, sigs = [], [], []
             for h, raw in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1))):
                 for k, line in enumerate((raw or b"").split(b"\n")):
-                    tokens = masked(line)
-                    if len(tokens) >= min_tokens:
+                    tokens = parsed(line, min_tokens)
+                    if tokens:
                         text.append(h)
                         at.append(k)
                         sigs.append(paths(tokens)[1])
             yield pa.RecordBatch.from_arrays([pa.array(text, pa.int64()), pa.array(at, pa.int32()), pa.array(sigs, pa.int64())], names=["h", "at", "sig"])
 
-    recurring = recurring_lines(docs, text_col, min_tokens, similarity).select("sig")
+    recurring = recurring_lines(docs, text_col, min_tokens, similarity, short_texts).select("sig")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("h"))
     lines = rows.select("h", "text").mapInArrow(number, "h long, at int, sig long").distinct()
     hit = lines.join(recurring, "sig", "left_semi").groupBy("h").agg(F.array_sort(F.collect_set("at")).alias("dropped"))

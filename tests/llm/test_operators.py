@@ -379,6 +379,16 @@ def test_line_templates(spark):
     assert all(r.n_dropped == 1 and r.text == "" for r in line_dedup.drop_recurring_lines(frame).collect())
 
 
+def test_short_lines_that_many_texts_share(spark):
+    footer = lambda k: f"All rights reserved.\npage {k} of 9\n{k}\n\nonly text number{'x' * k} says this"
+    many = [(k, footer(k)) for k in range(1, line_dedup.SHORT_TEXTS + 1)]
+    frame = spark.createDataFrame([*many, (90, "by chance\nonly here"), (91, "by chance\nonly there")], "doc_id long, text string")
+    got = {r.doc_id: r.dropped for r in line_dedup.drop_recurring_lines(frame).collect()}
+    assert all(got[k][:2] == [0, 1] and 2 not in got[k] and 3 not in got[k] for k, _ in many) and got[90] == got[91] == []
+    fewer = {r.doc_id: r.n_dropped for r in line_dedup.drop_recurring_lines(frame.where(f"doc_id < {line_dedup.SHORT_TEXTS} or doc_id > 89")).collect()}
+    assert set(fewer.values()) == {0}  # below the count the footer stays
+
+
 # --- 9 ---
 
 
