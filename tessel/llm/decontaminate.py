@@ -1,4 +1,4 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact shingle similarity."""
+"""Benchmark decontamination: an inverted index of the items' shingles names windows of an item's size, exact shingle similarity decides."""
 
 from __future__ import annotations
 
@@ -11,11 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessel.llm.common import raw_texts, words
-from tessel.llm.simhash import bit_counts
 
 WIDTH, SIMILARITY = 5, 0.8
-#: Largest number of differing bits of a window and an item; at a similarity of 0.8 over five-word shingles about 10 differ, and 14 at most were measured.
-RADIUS = 20
 #: Bytes of benchmark text that one pass over the documents compares; a larger benchmark is compared in several passes.
 BLOCK_BYTES = 16 << 20
 REMEMBERED = 400_000
@@ -35,10 +32,6 @@ def shingle_codes(word_hashes: np.ndarray, width: int) -> np.ndarray:
     return code
 
 
-def fingerprint(codes: np.ndarray) -> int:
-    return int(np.packbits(bit_counts(codes) * 2 > len(codes), bitorder="little").view(np.uint64)[0])
-
-
 class WordHashes:
     def __init__(self):
         self.known: dict[bytes, int] = {}
@@ -56,32 +49,13 @@ class WordHashes:
             return np.array([known[w] for w in tokens], np.uint64)
 
 
-class MultiIndex:
-    """Fingerprints by the values of radius + 1 blocks of bits: one within the radius of a query equals it in one block at least."""
-
-    def __init__(self, prints: list[int], radius: int):
-        self.prints, self.radius = prints, radius
-        edges = [64 * k // (radius + 1) for k in range(radius + 2)]
-        self.cuts = [(a, (1 << b - a) - 1) for a, b in zip(edges, edges[1:])]
-        self.blocks = [defaultdict(set) for _ in self.cuts]
-        for i, p in enumerate(prints):
-            for block, (shift, mask) in zip(self.blocks, self.cuts):
-                block[p >> shift & mask].add(i)
-
-    def near(self, query: int, among: set[int]) -> list[int]:
-        found = set()
-        for block, (shift, mask) in zip(self.blocks, self.cuts):
-            found |= block.get(query >> shift & mask, set()) & among
-        return sorted(i for i in found if (self.prints[i] ^ query).bit_count() <= self.radius)
-
-
 class Benchmark:
     """Items prepared for comparison. Items without words match nothing."""
 
-    def __init__(self, items: list[tuple[object, bytes]], width: int, similarity: float, radius: int):
+    def __init__(self, items: list[tuple[object, bytes]], width: int, similarity: float):
         self.width, self.similarity = width, similarity
         hashes = WordHashes()
-        self.ids, self.sizes, self.counts, prints = [], [], [], []
+        self.ids, self.sizes, self.counts = [], [], []
         where = defaultdict(dict)  # shingle width -> code -> {item: times}
         for item, text in items:
             tokens = words(text)
@@ -92,10 +66,8 @@ class Benchmark:
             self.ids.append(item)
             self.sizes.append(len(tokens))
             self.counts.append(Counter(codes.tolist()))
-            prints.append(fingerprint(codes))
             for c in self.counts[k]:
                 where[min(width, len(tokens))].setdefault(c, []).append(k)
-        self.index = MultiIndex(prints, radius)
         self.where = dict(where)
         self.filters = {}
         for w, codes in self.where.items():
@@ -108,7 +80,7 @@ class Benchmark:
 
         Window and item have equally many shingles, m. Their similarity (shared over all shingles, with repeats) reaches the
         threshold t only if at least 2 t m / (1 + t) of the window's shingles are among the item's; only such
-        windows are fingerprinted, which loses none. A text shorter than an item has one window, all of it.
+        windows are compared, which loses none. A text shorter than an item has one window, all of it.
         """
         best: dict[int, tuple[float, int]] = {}
         n = len(word_hashes)
@@ -132,8 +104,6 @@ class Benchmark:
                 total = np.cumsum(flags)
                 for start in np.flatnonzero(total[span:] - total[: len(total) - span] >= least).tolist():
                     window = codes[start : start + span]
-                    if item not in self.index.near(fingerprint(window), {item}):
-                        continue
                     own, mine = self.counts[item], Counter(window.tolist())
                     shared = sum(min(v, own[c]) for c, v in mine.items() if c in own)
                     score = shared / (m + span - shared)
@@ -156,18 +126,18 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes:
         yield held
 
 
-def _prepared(docs, block, width, similarity, radius):
-    return docs.sparkSession.sparkContext.broadcast(Benchmark(block, width, similarity, radius))
+def _prepared(docs, block, width, similarity):
+    return docs.sparkSession.sparkContext.broadcast(Benchmark(block, width, similarity))
 
 
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-    width: int = WIDTH, similarity: float = SIMILARITY, radius: int = RADIUS, block_bytes: int = BLOCK_BYTES,
+    width: int = WIDTH, similarity: float = SIMILARITY, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """(id, item, similarity, start_word, n_words): documents with a passage like a benchmark item, one row for each such pair.
 
-    Words are separated by ASCII white space, A-Z lower-cased. Every window of an item's length is compared: SimHash
-    within `radius`, then the exact similarity of five-word shingles with repeats, at least `similarity`. Items of fewer words
+    Words are separated by ASCII white space, A-Z lower-cased. Windows of an item's length are compared by
+    the exact similarity of five-word shingles with repeats, at least `similarity`; all that can reach it are. Items of fewer words
     are one shingle. Null and empty texts and items match nothing; rows that repeat an id give their own rows; an empty
     benchmark gives none. Extra columns are not read.
     """
@@ -175,7 +145,7 @@ def find_leaks(
     schema = f"id {kind}, item {item_kind}, similarity double, start_word long, n_words long"
     narrow, out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), None
     for block in item_blocks(benchmark, item_col, item_text, block_bytes):
-        shared = _prepared(docs, block, width, similarity, radius)
+        shared = _prepared(docs, block, width, similarity)
 
         def run(batches, shared=shared):
             bench, hashes = shared.value, WordHashes()
@@ -196,10 +166,10 @@ def find_leaks(
     return out.withColumnsRenamed({"id": id_col, "item": item_col})
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY, radius: int = RADIUS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of `docs`, all columns, without those that find_leaks would name. Nothing is shuffled."""
     for block in item_blocks(benchmark, item_col, item_text, block_bytes):
-        shared = _prepared(docs, block, width, similarity, radius)
+        shared = _prepared(docs, block, width, similarity)
 
         def run(batches, shared=shared):
             bench, hashes = shared.value, WordHashes()

@@ -412,6 +412,15 @@ def test_decontaminate(docs, texts, benchmark):
     assert clean == set(texts) - {i for i, _ in want}
 
 
+def test_decontaminate_finds_short_windows_whatever_their_fingerprints(spark):
+    rng = np.random.default_rng(9)
+    items = [[f"w{x}" for x in rng.choice(100_000, 9, replace=False)] for _ in range(3000)]
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    frame = spark.createDataFrame([(k, " ".join(w[:8])) for k, w in enumerate(items)], "doc_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(frame, bench).collect()}  # 4 of 5 shingles: a similarity of 0.8
+    assert found == {(k, k) for k in range(3000)}
+
+
 # --- 10 ---
 
 
