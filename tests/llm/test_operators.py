@@ -289,33 +289,40 @@ def test_quality(docs, labels):
 # --- 6 ---
 
 
-def test_lm_scores(docs, texts):
+@pytest.mark.parametrize("head_runs", [ppm.HEAD_RUNS, 20_000, 0])
+def test_lm_scores(docs, texts, head_runs):
+    """Whatever part of the model is broadcast, the score is that of the whole trie."""
     small = docs.where("length(text) < 800")
     mine = {r.doc_id: texts[r.doc_id].encode().lower() for r in small.collect()}
     train = [i for i in mine if zlib.crc32(str(i).encode()) % 5 != 1]
-    words, trie, seen = Counter(), ppm.Trie(), Counter()
+    words, trie = Counter(), ppm.Trie()
     for i in train:
         words.update([*mine[i].split(), b""])
         data = bytes([ppm.END]) * ppm.ORDER + mine[i] + bytes([ppm.END])
         for k in range(ppm.ORDER, len(data)):
             trie.learn(data[k - ppm.ORDER : k], data[k])
-            seen.update(data[k - j : k] for j in range(2, ppm.ORDER + 1))
-            seen[b""] += 1
-    keep = lambda c: len(c) < 2 or seen[c] >= ppm.CONTEXT_SHARE * seen[b""]
-    n, v = words.total(), len(words)
-    for r in ppm.score_documents(small, queries.fold() == 1).collect():
+    n, v, rows = words.total(), len(words), ppm.score_documents(small, queries.fold() == 1, head_runs=head_runs).collect()
+    assert len(rows) == len(mine) and len(train) < len(mine)
+    for r in rows:
         tokens = [*mine[r.doc_id].split(), b""]
         base = sum(math.log10((words[t] + 0.5) / (n + 0.5 * (v + 1))) for t in tokens)
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (r.doc_id not in train, len(tokens), sum(t in words for t in tokens), n)
-        assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(trie.score(mine[r.doc_id], keep=keep), rel=1e-4)
-
-
-def test_probabilities_sum_to_one():
-    trie = ppm.Trie(2)
-    for k, c in enumerate(b"abracadabra"):
-        trie.learn(b"abracadabra"[max(0, k - 2) : k].rjust(2, b"\xff"), c)
-    for context in (b"ab", b"zz", b"ra", b"\xff\xff"):
-        assert sum(trie.probability(context, s) for s in range(256)) == pytest.approx(1.0, abs=0.5)
+        assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(trie.score(mine[r.doc_id]), rel=1e-5)
+
+
+def test_trie_probabilities_by_hand():
+    """After "abracadabra", a context gives n / (n + t) to a symbol it knows; an escape leaves the others to shorter contexts without its symbols."""
+    trie, data = ppm.Trie(2), b"\xff\xffabracadabra"
+    for k in range(2, len(data)):
+        trie.learn(data[k - 2 : k], data[k])
+    p = lambda context, symbol: trie.probability(context, ord(symbol))
+    assert p(b"ab", "r") == pytest.approx(2 / 3)  # ab is followed by r twice: 2 / (2 + 1)
+    assert p(b"ra", "c") == pytest.approx(1 / 2)
+    # escape from ra (1 / 2); after a: b 2, d 1, without c, and two kinds: b has 2 / 5
+    assert p(b"ra", "b") == pytest.approx(1 / 2 * 2 / 5)
+    assert p(b"ra", "z") == pytest.approx(1 / 2 * 2 / 5 * (2 / 9) / 251)  # then of a 5, r 2 and two kinds an escape, to 251 other bytes
+    for context in (b"zz", b"\xff\xff", b"ab"):
+        assert 0.5 < sum(trie.probability(context, s) for s in range(256)) <= 1 + 1e-9  # an escape that no symbol is left for is lost
     assert ppm.Trie(2).score(b"aaaaaaaaaaaaaaaa", adapt=True) > ppm.Trie(2).score(b"qwertzuiopasdfgh", adapt=True)
 
 
