@@ -2,25 +2,27 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
-#: Longer words are cut into parts of so many characters, each segmented by itself.
-LONGEST = 24
-#: Labelled rows that the model is fitted on, about.
-MAX_TRAIN = 20_000
+#: Words of more characters are summed as logarithms, in blocks of BLOCK positions: their probabilities would fall below what a float can hold.
+LONGEST, BLOCK = 24, 1 << 14
+#: Labelled rows of each language that its model is fitted on, at most about.
+MAX_TRAIN = 5_000
+#: Longer words are left out of the fit (not of the prediction).
+TRAIN_LONGEST = 4_096
 #: Probability of a character that is no piece, and the count added to each piece.
 STRANGE, ADDED = 1e-9, 0.1
 REMEMBERED = 600_000
-_LETTER = re.compile(r"[^\W\d_]")
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTER = regex.compile(r"\p{L}")
+_LETTERS = regex.compile(r"\p{L}+")
 _MARK = "▁"
 
 
@@ -84,21 +86,49 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def parts(token: str) -> list[str]:
-    """The runs of letters in a white-space-separated token, each with the mark of a word's beginning, cut so that none is longer than LONGEST."""
-    runs = [_MARK + token] if token.isalpha() else [_MARK + run for run in _LETTERS.findall(token)]
-    return [run[k : k + LONGEST] for run in runs for k in range(0, len(run), LONGEST)]
+    """The runs of letters in a white-space-separated token, each with the mark of a word's beginning. Numerals are no letters."""
+    return [_MARK + token] if token.isalpha() else [_MARK + run for run in _LETTERS.findall(token)]
 
 
 def forward(words: list[str], vocab: Vocabulary, p: np.ndarray) -> np.ndarray:
     """log probability of each word under each column of p (pieces x languages): the sum over all segmentations."""
-    if not words:
-        return np.zeros((0, p.shape[1]))
-    w, i, j, k, n = vocab.lattice(words)
-    alpha = np.zeros((LONGEST + 1, len(words), p.shape[1]))
-    alpha[0] = 1.0
-    for a, b in _ends(j):
-        _add(alpha[j[a]], w[a:b], alpha[i[a:b], w[a:b]] * p[k[a:b]])
-    return np.log(alpha[n, np.arange(len(words))])
+    out, short = np.zeros((len(words), p.shape[1])), [k for k, w in enumerate(words) if len(w) <= LONGEST]
+    if short:
+        w, i, j, k, n = vocab.lattice([words[x] for x in short])
+        alpha = np.zeros((LONGEST + 1, len(short), p.shape[1]))
+        alpha[0] = 1.0
+        for a, b in _ends(j):
+            _add(alpha[j[a]], w[a:b], alpha[i[a:b], w[a:b]] * p[k[a:b]])
+        out[short] = np.log(alpha[n, np.arange(len(short))])
+    if len(short) < len(words):
+        logs = np.log(p)
+        for x, word in enumerate(words):
+            if len(word) > LONGEST:
+                out[x] = _forward_long(word, vocab, logs)[-1]
+    return out
+
+
+def _arcs(word: str, vocab: Vocabulary, first: int):
+    """Arcs (from, to, piece) of a word that begin in the block of BLOCK positions from `first` on, by end."""
+    _, i, j, k, _ = vocab.lattice([word[first : first + BLOCK + vocab.longest]])
+    keep = i < BLOCK
+    return i[keep] + first, j[keep] + first, k[keep]
+
+
+def _forward_long(word: str, vocab: Vocabulary, logs: np.ndarray, keep: bool = False) -> np.ndarray:
+    """log forward sums of one word, per position; only the last ones if `keep` is false, in memory that does not grow with the word."""
+    n, reach = len(word), vocab.longest
+    alpha, start = np.full(((n if keep else min(n, BLOCK)) + reach + 1, logs.shape[1]), -np.inf), 0
+    alpha[0] = 0.0
+    for first in range(0, n, BLOCK):
+        if first and not keep:
+            held = alpha[BLOCK : BLOCK + reach + 1].copy()
+            alpha[:] = -np.inf
+            alpha[: len(held)], start = held, first
+        i, j, k = _arcs(word, vocab, first)
+        for a, b in _ends(j):
+            alpha[j[a] - start] = np.logaddexp.reduce(np.concatenate((alpha[j[a] - start][None], alpha[i[a:b] - start] + logs[k[a:b]])), axis=0)
+    return alpha[: n - start + 1]
 
 
 class WordScores:
@@ -124,8 +154,9 @@ class WordScores:
             self.clear()
         cut = [(t, parts(t)) for t in tokens if t not in self.known]
         fresh = list({x for _, xs in cut for x in xs if x not in self.runs})
-        for a in range(0, len(fresh), 20_000):
-            some = fresh[a : a + 20_000]
+        step = max(500, 400_000 // max(1, self.p.shape[1]))
+        for a in range(0, len(fresh), step):
+            some = fresh[a : a + step]
             self.runs.update(zip(some, self._store(forward(some, self.vocab, self.p))))
         many = [(t, xs) for t, xs in cut if len(xs) > 1]
         self.known.update((t, self.runs[xs[0]] if xs else 0) for t, xs in cut if len(xs) < 2)
@@ -139,6 +170,12 @@ class WordScores:
 
 def expected_counts(words: list[str], times: np.ndarray, vocab: Vocabulary, p: np.ndarray) -> np.ndarray:
     """Expected number of uses of each piece, by forward and backward sums under p (one column)."""
+    long = [k for k, w in enumerate(words) if len(w) > LONGEST]
+    out = sum((_expected_long(words[k], vocab, np.log(p)) * times[k] for k in long), np.zeros(vocab.size))
+    short = [k for k, w in enumerate(words) if len(w) <= LONGEST]
+    if not short:
+        return out
+    words, times = [words[k] for k in short], times[short]
     w, i, j, k, n = vocab.lattice(words)
     alpha, beta = np.zeros((2, LONGEST + 1, len(words)))
     alpha[0] = 1.0
@@ -152,7 +189,21 @@ def expected_counts(words: list[str], times: np.ndarray, vocab: Vocabulary, p: n
         x = back[a:b]
         _add(beta[i[x[0]]], w[x], beta[j[x], w[x]] * q[x])
     uses = alpha[i, w] * q * beta[j, w] / alpha[n[w], w] * times[w]
-    return np.bincount(k, uses, vocab.size)
+    return out + np.bincount(k, uses, vocab.size)
+
+
+def _expected_long(word: str, vocab: Vocabulary, logs: np.ndarray) -> np.ndarray:
+    alpha = _forward_long(word, vocab, logs[:, None], keep=True)[:, 0]
+    beta, out = np.full(len(word) + 1, -np.inf), np.zeros(vocab.size)
+    beta[-1] = 0.0
+    for first in reversed(range(0, len(word), BLOCK)):
+        i, j, k = _arcs(word, vocab, first)
+        back = np.argsort(-i, kind="stable")
+        for a, b in _ends(-i[back]):
+            x = back[a:b]
+            beta[i[x[0]]] = np.logaddexp.reduce(logs[k[x]] + beta[j[x]])
+        out += np.bincount(k, np.exp(alpha[i] + logs[k] + beta[j] - alpha[-1]), vocab.size)
+    return out
 
 
 def _ends(sorted_: np.ndarray) -> list[tuple[int, int]]:
@@ -181,7 +232,8 @@ def piece_counts(training: DataFrame, path: str) -> DataFrame:
                 seen = Counter()
                 for word, n in counts.items():
                     for part in parts(word):
-                        seen[part] += n
+                        if len(part) <= TRAIN_LONGEST:
+                            seen[part] += n
                 keys = list(seen)
                 for a in range(0, len(keys), 20_000):
                     some = keys[a : a + 20_000]
@@ -209,15 +261,19 @@ def identify_language(
 ) -> DataFrame:
     """(id, lang_pred, score): the language of every text, by models of the rows for which `learn` (a Column) is true.
 
-    A language's model is a probability for each piece of a fixed public vocabulary (lower-cased), learnt from a sample of
-    about `max_train` labelled rows, chosen by their ids' hash (all, where there are no more); a text's probability is the product over its words of the sum over all segmentations. Score is the share of the
-    winner among the languages, which weigh alike; the first in code-point order wins a tie. Texts that are null or have
-    no letter, and all texts if nothing could be learnt, are `und` with score 0. Rows with a null lang teach nothing. Every
-    row gives one row. The model has (languages x pieces) numbers, whatever the size of the corpus.
+    A language's model is a probability for each piece of a fixed public vocabulary (lower-cased), learnt from a sample of about
+    `max_train` labelled rows of that language, chosen by a hash of id and text (all, where there are no more), so that a rare language has as
+    good a model as a common one. A text's probability is the product over its words of the sum over all segmentations; words are
+    runs of letters of any length. Score is the share of the winner among the languages, which weigh alike; the first in code-point
+    order wins a tie. Texts that are null or have no letter (numerals such as a half or Roman eight are none), and all texts if
+    nothing could be learnt, are `und` with score 0. Rows with a null lang teach nothing. Every row gives one row. The model has
+    (languages x pieces) numbers, whatever the size of the corpus.
     """
-    usable = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    chosen = usable.where(F.pmod(F.xxhash64(F.lit("train"), F.col(id_col)), F.lit(max(1, usable.count()))) < max_train)
-    counts = piece_counts(chosen.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")), vocabulary_path).toPandas()
+    usable = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    shares = usable.groupBy("lang").agg(F.count("*").alias("rows"))
+    draw = F.pmod(F.xxhash64(F.lit("train"), "id", "text"), F.lit(1 << 40)) * F.col("rows") < F.lit(max_train).cast("decimal(20,0)") * (1 << 40)
+    chosen = usable.join(F.broadcast(shares), "lang").where(draw)
+    counts = piece_counts(chosen.select("lang", "text"), vocabulary_path).toPandas()
     langs = sorted(counts.lang.unique())
     size = vocabulary(vocabulary_path).size
     table = np.zeros((size, len(langs)))

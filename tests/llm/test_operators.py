@@ -445,6 +445,46 @@ def test_forward_sums_all_segmentations():
         assert language_id.forward(words, vocab, p)[n] == pytest.approx(np.log([total(0, 0), total(0, 1)]))
 
 
+def plain_log(word, vocab, p, lang):
+    """All segmentations of a word by a plain sum over positions, as logarithms; an independent reading of the vocabulary's pieces."""
+    value = dict(zip(vocab.keys.tolist(), vocab.values.tolist()))
+    alpha = [0.0] + [-math.inf] * len(word)
+    for i in range(len(word)):
+        h = 0
+        for j in range(i + 1, min(len(word), i + vocab.longest) + 1):
+            h = vocab._step(h, ord(word[j - 1]))
+            piece = value.get(h, 0)
+            if piece or j == i + 1:
+                alpha[j] = np.logaddexp(alpha[j], alpha[i] + math.log(p[piece, lang]))
+            if h not in value:
+                break
+    return alpha[-1]
+
+
+def test_words_of_any_length_are_summed_whole(monkeypatch):
+    vocab = language_id.vocabulary(queries.tokenizer_path("piece_bpe_32k.model"))
+    p = np.random.default_rng(3).random((vocab.size, 2)) / vocab.size
+    words = ["▁donaudampfschifffahrtsgesellschaft", "▁" + "x漢" * 60, "▁there", "▁" + "the" * 400, "a" * 25, "b" * 24]
+    for block in (language_id.BLOCK, 40):
+        monkeypatch.setattr(language_id, "BLOCK", block)
+        got = language_id.forward(words, vocab, p)
+        assert got == pytest.approx(np.array([[plain_log(w, vocab, p, k) for k in (0, 1)] for w in words]))
+    monkeypatch.setattr(language_id, "LONGEST", 60)
+    few = ["▁donaudampfschifffahrtsgesellschaft", "▁unbelievably"]
+    whole = language_id.expected_counts(few, np.array([2.0, 3.0]), vocab, p[:, 0])
+    monkeypatch.setattr(language_id, "LONGEST", 10)
+    monkeypatch.setattr(language_id, "BLOCK", 7)
+    assert language_id.expected_counts(few, np.array([2.0, 3.0]), vocab, p[:, 0]) == pytest.approx(whole)
+
+
+def test_numerals_are_no_letters(spark):
+    pieces = queries.tokenizer_path("piece_bpe_32k.model")
+    rows = [(1, "the cat sat on the mat", "en"), (2, "le chat est sur la table", "fr"), (3, "½ Ⅷ ①  ²", None), (4, "12 % !", None), (5, "½ cat", None), (6, "le" * 3000 + " chat est la", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify_language(frame, F.lit(True), pieces).collect()}
+    assert got[3] == got[4] == ("und", 0.0) and got[5][0] == "en" and got[6][0] == "fr"
+
+
 def test_language_id(docs, spark):
     out = queries.op10_language_id(spark, SF).join(docs.select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in out if r.held_out]
