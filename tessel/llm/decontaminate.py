@@ -1,4 +1,5 @@
-"""Benchmark decontamination: an inverted index of the items' shingles names windows of an item's size, exact shingle similarity decides."""
+"""Benchmark decontamination: SimHash fingerprints of windows of an item's size, a multi-index of Hamming blocks that loses no similar window,
+and exact shingle similarity, which decides."""
 
 from __future__ import annotations
 
@@ -16,6 +17,8 @@ WIDTH, SIMILARITY = 5, 0.8
 #: Bytes of benchmark text that one pass over the documents compares; a larger benchmark is compared in several passes.
 BLOCK_BYTES = 16 << 20
 REMEMBERED = 400_000
+#: Places of a text whose windows' fingerprints are taken at once; a longer text is read in parts.
+WINDOWS = 4096
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -49,6 +52,46 @@ class WordHashes:
             return np.array([known[w] for w in tokens], np.uint64)
 
 
+class Votes:
+    """Bits of shingle codes as votes of -1 and 1, summed over windows of a text."""
+
+    def __init__(self, codes: np.ndarray):
+        bits = np.unpackbits(np.ascontiguousarray(codes).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        self.sums = np.concatenate((np.zeros((1, 64), np.int32), np.cumsum(bits, axis=0, dtype=np.int32)))
+
+    def of(self, starts: np.ndarray, span: int) -> np.ndarray:
+        return 2 * (self.sums[starts + span] - self.sums[starts]) - span
+
+
+class MultiIndex:
+    """Items of one size by their fingerprints, a bit per majority of votes.
+
+    A window as similar as asked differs from an item in at most `moved` shingles, out and in together, each of which moves a vote sum by one.
+    So a bit of the item whose sum lies farther than that from the turn is the same in every such window; the others are the radius within
+    which the window's fingerprint must lie. The 64 bits are cut into 8 blocks. For each block and each of its 256 values a bitset
+    names the items whose firm bits agree; the items named by all blocks are the candidates. None that is similar is missing.
+    """
+
+    def __init__(self, votes: np.ndarray, moved: int):
+        n = len(votes)
+        bits, firm = votes > 0, (votes > moved) | (votes <= -moved)
+        pack = lambda x: np.packbits(x, axis=1, bitorder="little")
+        value, mask = pack(bits), pack(firm)
+        self.size, self.radius = n, int((~firm).sum(1).max())
+        agree = ((np.arange(256, dtype=np.uint8)[None, None, :] ^ value[:, :, None]) & mask[:, :, None]) == 0  # item, block, value
+        padded = np.zeros((8, 256, -(-n // 64) * 64), np.uint8)
+        padded[:, :, :n] = agree.transpose(1, 2, 0)
+        self.blocks = np.packbits(padded, axis=2, bitorder="little").view(np.uint64)
+
+    def candidates(self, votes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) pairs within the radius."""
+        prints = np.packbits(votes > 0, axis=1, bitorder="little")
+        held = self.blocks[0][prints[:, 0]]
+        for k in range(1, 8):
+            held = held & self.blocks[k][prints[:, k]]
+        return np.nonzero(np.unpackbits(held.view(np.uint8), axis=1, bitorder="little")[:, : self.size])
+
+
 class Benchmark:
     """Items prepared for comparison. Items without words match nothing."""
 
@@ -56,61 +99,70 @@ class Benchmark:
         self.width, self.similarity = width, similarity
         hashes = WordHashes()
         self.ids, self.sizes, self.counts = [], [], []
-        where = defaultdict(dict)  # shingle width -> code -> {item: times}
+        by_size, codes_of, known = defaultdict(list), [], defaultdict(set)
         for item, text in items:
             tokens = words(text)
             if not tokens:
                 continue
             codes = shingle_codes(hashes.of(tokens), width)
-            k = len(self.ids)
+            by_size[min(width, len(tokens)), len(codes)].append(len(self.ids))
+            known[min(width, len(tokens))].update(codes.tolist())
+            codes_of.append(codes)
             self.ids.append(item)
             self.sizes.append(len(tokens))
             self.counts.append(Counter(codes.tolist()))
-            for c in self.counts[k]:
-                where[min(width, len(tokens))].setdefault(c, []).append(k)
-        self.where = dict(where)
+        self.codes = {w: np.array(sorted(codes), np.uint64) for w, codes in known.items()}
         self.filters = {}
-        for w, codes in self.where.items():
-            bits = np.zeros(1 << 20, bool)
-            bits[np.array(list(codes), np.uint64) >> np.uint64(44)] = True
-            self.filters[w] = bits
+        for w, codes in self.codes.items():
+            self.filters[w] = bits = np.zeros(1 << 20, bool)
+            bits[codes >> np.uint64(44)] = True
+        self.groups = defaultdict(list)  # shingle width -> (shingles of an item, its items, their index)
+        for (w, m), mine in sorted(by_size.items()):
+            votes = np.concatenate([Votes(codes_of[k]).of(np.zeros(1, np.int64), m) for k in mine])
+            self.groups[w].append((m, np.array(mine), MultiIndex(votes, int(2 * m * (1 - similarity) / (1 + similarity) + 1e-9))))
 
     def search(self, word_hashes: np.ndarray) -> dict[int, tuple[float, int]]:
         """Item -> (similarity, first word) of the most similar window of the item's size, if at least the threshold.
 
-        Window and item have equally many shingles, m. Their similarity (shared over all shingles, with repeats) reaches the
-        threshold t only if at least 2 t m / (1 + t) of the window's shingles are among the item's; only such
-        windows are compared, which loses none. A text shorter than an item has one window, all of it.
+        Window and item of m shingles reach the threshold t only if 2 t m / (1 + t) of the window's shingles are shared, so windows with fewer
+        shingles of any item have no fingerprint taken. A text shorter than an item has one window, all of it.
         """
         best: dict[int, tuple[float, int]] = {}
         n = len(word_hashes)
-        for width, known in self.where.items():
+        for width, groups in self.groups.items():
             if n < width:
                 continue
             codes = shingle_codes(word_hashes, width)
             maybe = np.flatnonzero(self.filters[width][codes >> np.uint64(44)])
-            hits = defaultdict(list)
-            for at, c in zip(maybe.tolist(), codes[maybe].tolist()):
-                for item in known.get(c, ()):
-                    hits[item].append(at)
-            for item, places in hits.items():
-                m = self.sizes[item] - width + 1
+            own = self.codes[width]
+            at = np.minimum(np.searchsorted(own, codes[maybe]), len(own) - 1)
+            flags = np.zeros(len(codes) + 1, np.int64)
+            flags[maybe[own[at] == codes[maybe]] + 1] = 1
+            total = np.cumsum(flags)
+            if not total[-1]:
+                continue
+            for m, mine, index in groups:
                 span = min(m, len(codes))
                 least = int(np.ceil(self.similarity * (m + span) / (1 + self.similarity) - 1e-9))
-                if len(places) < least:
+                if span < least:
                     continue
-                flags = np.zeros(len(codes) + 1, np.int64)
-                flags[np.array(places) + 1] = 1
-                total = np.cumsum(flags)
-                for start in np.flatnonzero(total[span:] - total[: len(total) - span] >= least).tolist():
-                    window = codes[start : start + span]
-                    own, mine = self.counts[item], Counter(window.tolist())
-                    shared = sum(min(v, own[c]) for c, v in mine.items() if c in own)
-                    score = shared / (m + span - shared)
-                    if score >= self.similarity and score > best.get(item, (0.0, 0))[0]:
-                        best[item] = (score, start)
+                starts = np.flatnonzero(total[span:] - total[: len(total) - span] >= least)
+                for some in np.split(starts, np.flatnonzero(np.diff(starts // WINDOWS)) + 1):
+                    if len(some):
+                        self._judge(codes, some, span, m, mine, index, best)
         return best
 
+    def _judge(self, codes, starts, span, m, mine, index, best) -> None:
+        first = starts[0]
+        votes = Votes(codes[first : starts[-1] + span]).of(starts - first, span)
+        for w, k in zip(*index.candidates(votes)):
+            start, item = int(starts[w]), int(mine[k])
+            own, window = self.counts[item], Counter(codes[start : start + span].tolist())
+            shared = sum(min(v, own[c]) for c, v in window.items() if c in own)
+            score = shared / (m + span - shared)
+            if score >= self.similarity and score > best.get(item, (0.0, 0))[0]:
+                best[item] = (score, start)
+
 
 def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int):
     """The benchmark's items in lists of bounded size, one at a time."""
@@ -136,8 +188,8 @@ def find_leaks(
 ) -> DataFrame:
     """(id, item, similarity, start_word, n_words): documents with a passage like a benchmark item, one row for each such pair.
 
-    Words are separated by ASCII white space, A-Z lower-cased. Windows of an item's length are compared by
-    the exact similarity of five-word shingles with repeats, at least `similarity`; all that can reach it are. Items of fewer words
+    Words are separated by ASCII white space, A-Z lower-cased. Windows of an item's length are found by their SimHash fingerprints (see
+    MultiIndex, which loses none) and judged by the exact similarity of five-word shingles with repeats, at least `similarity`. Items of fewer words
     are one shingle. Null and empty texts and items match nothing; rows that repeat an id give their own rows; an empty
     benchmark gives none. Extra columns are not read.
     """

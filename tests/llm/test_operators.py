@@ -426,6 +426,23 @@ def test_decontaminate_finds_short_windows_whatever_their_fingerprints(spark):
     frame = spark.createDataFrame([(k, " ".join(w[:8])) for k, w in enumerate(items)], "doc_id long, text string")
     found = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(frame, bench).collect()}  # 4 of 5 shingles: a similarity of 0.8
     assert found == {(k, k) for k in range(3000)}
+    assert decontaminate.find_leaks(frame.withColumn("text", F.expr("substring_index(text, ' ', 7)")), bench).count() == 0  # 3 of 5
+
+
+def test_multi_index_names_every_similar_window():
+    """Windows that share just enough shingles with an item, with repeats, are always within its radius; most others are not named."""
+    rng = np.random.default_rng(4)
+    for m in (5, 9, 30, 90):
+        items = rng.integers(0, 2**63, (40, m), dtype=np.uint64)
+        items[:, : m // 4] = items[:, :1]  # repeats
+        one = np.zeros(1, np.int64)
+        index = decontaminate.MultiIndex(np.concatenate([decontaminate.Votes(x).of(one, m) for x in items]), int(2 * m * 0.2 / 1.8 + 1e-9))
+        moved, windows = m - math.ceil(0.8 * 2 * m / 1.8 - 1e-9), items.copy()
+        for w in windows:
+            w[rng.choice(m, moved, replace=False)] = rng.integers(0, 2**63, moved, dtype=np.uint64)
+        votes = np.concatenate([decontaminate.Votes(x).of(one, m) for x in windows])
+        found = set(zip(*(x.tolist() for x in index.candidates(votes))))
+        assert {(k, k) for k in range(40)} <= found and len(found) < 40 * 8
 
 
 # --- 10 ---
