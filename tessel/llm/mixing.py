@@ -12,6 +12,10 @@ from tessel.llm.common import cut, word_count
 FAN = 64
 #: Most sources whose table is broadcast; more are joined by a shuffle.
 MAX_BROADCAST_SOURCES = 10_000
+#: Repeated rows that one record stands for while they are told apart; more are dealt out in such chunks.
+CHUNK = 4096
+#: Repeated rows that are numbered in one place.
+NUMBERED = 100_000
 
 
 def source_targets(sizes: DataFrame, weights: list[float], share: float, cap: float) -> DataFrame:
@@ -113,41 +117,67 @@ def round_units(units: DataFrame, fan: int = FAN, seed: int = 0) -> DataFrame:
     return out
 
 
+def one_by_one(groups: DataFrame) -> DataFrame:
+    """A row for each of the `rows` that a group stands for, with its `occurrence`. Large groups are dealt out in chunks."""
+    few = groups.where(F.col("rows") <= CHUNK).withColumn("occurrence", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)))
+    chunks = groups.where(F.col("rows") > CHUNK).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / CHUNK))))
+    last = F.least(F.col("rows"), (F.col("chunk") + 1) * CHUNK) - 1
+    many = chunks.repartition("h", "chunk").withColumn("occurrence", F.explode(F.sequence(F.col("chunk") * CHUNK, last))).drop("chunk")
+    return few.unionByName(many)
+
+
+def _decided(docs: DataFrame, weights: list[float], share: float, cap: float, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
+    """(id, source, h, size, source_size, target, copies): a row for each row of `docs`."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("h"), word_count(F.col(text_col)).alias("size"))
+    groups = cut(rows.groupBy("id", "source", "h").agg(F.min("size").alias("size"), F.count("*").alias("rows")))
+    sizes = groups.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"))
+    targets = cut(source_targets(sizes, list(weights), share, cap).withColumn("stratum", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last()))))
+    few = targets.count() <= MAX_BROADCAST_SOURCES
+    units = one_by_one(groups)
+    joined = units.alias("u").join((F.broadcast(targets) if few else targets).alias("t"), F.expr("u.source <=> t.source")).select("id", "u.source", "h", "occurrence", "size", "stratum", "source_size", "target")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    split = joined.withColumn("whole", F.floor(rate)).withColumn("p", rate - F.floor(rate))
+    open_ = (F.col("size") > 0) & (F.col("p") > 0)
+    extra = ["size", "whole", "source", "source_size", "target"]
+    chosen = round_units(
+        split.where(open_).select("stratum", F.struct("id", "h", "occurrence").alias("id"), F.col("size").cast("double").alias("w"), "p", F.struct(*extra).alias("extra")), seed=seed
+    ).select(F.col("id.id").alias("id"), F.col("id.h").alias("h"), "extra.*", "take")
+    fixed = split.where(~open_).select("id", "h", *extra, F.lit(0).alias("take"))
+    return chosen.unionByName(fixed).withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + F.col("take")).otherwise(F.lit(0)).cast("long"))
+
+
 def mix_sources(
     docs: DataFrame, weights: list[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0,
-    keep_source: bool = False,
 ) -> DataFrame:
     """How often the mix takes each document: id, size, source_size, target, copies, taken (= copies * size).
 
     Size is the number of words, 0 for null and empty texts, which are never taken. The copies of a document are
     target / source_size rounded down or up, by chance, but so that a source's taken words differ from its target
-    by less than one document's size; no document is taken more than `cap` times (rounded up). Rows that agree in
-    id, source and size share one decision and stay as many rows. A null source is a source of its own, a null id an
-    id. The decision depends on ids, sources and sizes only: reruns agree, at any partitioning. An empty table gives
-    no rows.
+    by less than one document's size; no document is taken more than `cap` times (rounded up). Every row is a document with a
+    decision of its own, rows that repeat an id, a text or both too. A null source is a source of its own, a null id an
+    id. The decisions depend on ids, sources and texts only: reruns agree, at any partitioning. An empty table gives
+    no rows. The sources' own table, a row each, is ordered in one place.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    units = cut(rows.groupBy("id", "source", "size").agg(F.count("*").alias("rows")))
-    sizes = units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"))
-    targets = cut(source_targets(sizes, list(weights), share, cap).withColumn("stratum", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last()))))
-    few = targets.count() <= MAX_BROADCAST_SOURCES
-    joined = units.alias("u").join((F.broadcast(targets) if few else targets).alias("t"), F.expr("u.source <=> t.source")).select("id", "u.source", "size", "rows", "stratum", "source_size", "target")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    split = joined.withColumn("whole", F.floor(rate)).withColumn("p", rate - F.floor(rate))
-    open_ = (F.col("size") > 0) & (F.col("p") > 0)
-    chosen = round_units(
-        split.where(open_).select("stratum", F.struct("id", "size").alias("id"), (F.col("size") * F.col("rows")).cast("double").alias("w"), "p", F.struct("size", "rows", "whole", "source", "source_size", "target").alias("extra")), seed=seed
-    ).select(F.col("id.id").alias("id"), "extra.*", "take")
-    fixed = split.where(~open_).select("id", "size", "rows", "whole", "source", "source_size", "target", F.lit(0).alias("take"))
-    out = chosen.unionByName(fixed).withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + F.col("take")).otherwise(F.lit(0)).cast("long"))
-    return out.select(F.col("id").alias(id_col), *(["source"] if keep_source else []), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int"))).alias("_")).drop("_")
+    out = _decided(docs, weights, share, cap, id_col, text_col, source_col, seed)
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def apply_mix(docs: DataFrame, weights: list[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
-    """The mix itself: each row of `docs`, all columns, as often as mix_sources takes it. Rows that agree in id, source and size share
-    a decision."""
-    plan = mix_sources(docs, weights, share, cap, id_col, text_col, source_col, seed, keep_source=True).where("copies > 0")
-    plan = plan.groupBy(F.col(id_col).alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.max("copies").alias("_copies"))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (word_count(F.col(text_col)) == F.col("_size"))
-    joined = docs.join(plan, same)
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*docs.columns)
+    """The mix itself: each row of `docs`, all columns, as often as mix_sources takes it. Of rows that agree in id, source and text as many
+    copies are taken as was decided for them together, spread evenly; which of them are taken once more than others is not defined."""
+    plan = _decided(docs, weights, share, cap, id_col, text_col, source_col, seed)
+    plan = cut(plan.groupBy(F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("h").alias("_h")).agg(F.sum("copies").alias("_total"), F.count("*").alias("_rows")).where("_total > 0"))
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_hash") == F.col("_h"))
+    keyed = docs.withColumn("_hash", F.xxhash64(text_col))
+    out = keyed.join(plan.where("_rows = 1"), same).withColumn("_copies", F.col("_total"))
+    if not plan.where("_rows > 1").isEmpty():
+        salt = F.pmod(F.monotonically_increasing_id(), F.ceil(F.col("_rows") / NUMBERED))
+        many = cut(keyed.join(plan.where("_rows > 1"), same).withColumn("_salt", salt))
+        key = ["_id", "_source", "_h"]
+        counts = many.groupBy(*key, "_salt").agg(F.count("*").alias("_n"))
+        before = F.coalesce(F.sum("_n").over(W.partitionBy(*key).orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        starts = counts.select(*[F.col(c).alias(f"s{c}") for c in (*key, "_salt")], before.alias("_start"))
+        numbered = many.withColumn("_n", F.row_number().over(W.partitionBy(*key, "_salt").orderBy(F.lit(0)))).join(starts, F.expr(" AND ".join(f"{c} <=> s{c}" for c in (*key, "_salt"))))
+        more = F.col("_start") + F.col("_n") <= F.col("_total") % F.col("_rows")
+        out = out.select(*docs.columns, "_copies").unionByName(numbered.select(*docs.columns, (F.floor(F.col("_total") / F.col("_rows")) + more.cast("long")).alias("_copies")))
+    return out.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*docs.columns)

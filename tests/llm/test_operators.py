@@ -260,6 +260,38 @@ def test_mix(docs, texts):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
 
 
+@pytest.mark.parametrize("kind", ["null ids", "one id", "copies"])
+def test_mix_of_repeated_rows(spark, kind):
+    """Rows without ids, or of one id, or that are copies, are decided row by row, so that targets are met to one document."""
+    rows = [(None if k % 2 and kind == "null ids" else 7 if k % 2 else k, " ".join(["w"] * (1 if kind == "copies" and k % 2 else 1 + k % 40) + [f"x{k}"] * (not (kind == "copies" and k % 2))), f"s{k % 3}", k) for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n long")
+    out = mixing.mix_sources(docs).collect()
+    size = Counter()
+    for _, t, s, _ in rows:
+        size[s] += len(t.split())
+    target, taken = water_level(size, [3, 1, 2], 1.5, 2.0), Counter()
+    for r in out:
+        taken[next(s for s in size if target[s] == pytest.approx(r.target) and size[s] == r.source_size)] += r.taken
+    assert len(out) == len(rows) and all(abs(taken[s] - target[s]) <= 41 for s in size)
+    assert sorted(map(repr, out)) == sorted(map(repr, mixing.mix_sources(docs.repartition(5)).collect()))
+    mixed = mixing.apply_mix(docs).collect()
+    words, times = Counter(), Counter()
+    for r in mixed:
+        words[r.source] += len(r.text.split())
+        times[r.n] += 1
+    assert words == taken and max(times.values()) <= 2
+
+
+def test_large_groups_of_copies_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 16)
+    monkeypatch.setattr(mixing, "NUMBERED", 50)
+    docs = spark.createDataFrame([(None, "a b c", None, "d")] * 1000 + [(k, "a b", "s", "e") for k in range(10)], "doc_id long, text string, source string, size string")
+    out, mixed = mixing.mix_sources(docs).collect(), mixing.apply_mix(docs)
+    assert len(out) == 1010 and sum(r.copies for r in out) == mixed.count() and mixed.columns == docs.columns
+    target = water_level({None: 3000, "s": 20}, [3, 1, 2], 1.5, 2.0)
+    assert abs(sum(r.taken for r in out if r.doc_id is None) - target[None]) <= 3
+
+
 def test_rounding_tree_keeps_mass_and_chances(spark):
     """A small fan makes a tree of several levels; the sum of p * w is kept to one light unit, and each unit is taken p of the time."""
     n, units = 400, [(1, k, float(1 + k % 9), 0.1 + 0.8 * (k % 10) / 10) for k in range(400)]
