@@ -29,7 +29,7 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or leave out documents so that sources come to their target shares. Rows that agree in id, source and size share a decision."""
+    """Repeat or leave out documents so that sources come to their target shares."""
     return mixing.apply_mix(docs, MIX_WEIGHTS, MIX_SHARE, MIX_CAP)
 
 
