@@ -308,16 +308,62 @@ def test_rounding_tree_keeps_mass_and_chances(spark):
 
 
 def test_quality(docs, labels):
+    """Held-out rows: labels of a part of the ids are kept back from the fit."""
     marks = {r.doc_id: (r.quality, r.toxic) for r in labels.collect()}
-    found = {r.doc_id: r.keep for r in quality.classify_quality(docs, labels).collect()}
+    learn = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(10)) < 7)
+    held = set(marks) - {r.doc_id for r in learn.collect()}
+    found = {r.doc_id: r.keep for r in quality.classify_quality(docs, learn).collect()}
     assert len(found) == docs.count()
-    good = [found[i] for i, (q, t) in marks.items() if q == 1 and t == 0]
-    assert sum(good) >= 0.97 * len(good)
-    kept = {r.doc_id for r in quality.keep_good(docs, labels).select("doc_id").collect()}
+    good = [found[i] for i in held if marks[i] == (1, 0)]
+    assert len(good) > 10 and sum(good) >= 0.97 * len(good)  # too few labels to learn what is bad: see the larger table
+    kept = {r.doc_id for r in quality.keep_good(docs, learn).select("doc_id").collect()}
     assert kept == {i for i, k in found.items() if k}
     assert quality.classify_quality(docs, labels.limit(0)).where("not keep").count() == 0
 
 
+def test_quality_on_held_out_rows_of_a_larger_table(spark):
+    docs, labels = (spark.read.parquet(f"{SF[:-3]}01/{n}.parquet") for n in ("documents", "labels"))
+    marks = {r.doc_id: (r.quality, r.toxic) for r in labels.collect()}
+    learn = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(10)) < 7)
+    held = set(marks) - {r.doc_id for r in learn.collect()}
+    found = {r.doc_id: r.keep for r in quality.classify_quality(docs, learn).collect()}
+    good, bad, toxic = ([found[i] for i in held if f(*marks[i])] for f in (lambda q, t: (q, t) == (1, 0), lambda q, t: q == 0, lambda q, t: t == 1))
+    assert min(map(len, (good, bad, toxic))) > 10 and sum(good) >= 0.97 * len(good) and sum(bad) <= 0.15 * len(bad) and sum(toxic) <= 0.25 * len(toxic)
+
+
+def plain_exchange(model, looks, taken):
+    """Brute force of a round for one label: the surest rows of each view and kind over all looks."""
+    out = {}
+    for v, p in enumerate(model.by_view([(np.concatenate([x[k] for x in looks.values()]), np.array([len(x[k]) for x in looks.values()])) for k in (0, 1)])):
+        for good in (0, 1):
+            q = p if good else 1 - p
+            rows = [(-q[n], h) for n, h in enumerate(looks) if h not in taken and q[n] >= quality.CONFIDENT and abs(quality.logit(p[n]) - model.prior) >= 1]
+            for _, h in sorted(rows)[: model.room(good)]:
+                out[1 - v, h] = good
+    return out
+
+
+def test_the_whole_pool_is_searched_in_each_round(spark, monkeypatch):
+    """What a round hands over are the surest rows of the whole table, for every number of partitions."""
+    docs, labels = (spark.read.parquet(f"{SF[:-3]}01/{n}.parquet") for n in ("documents", "labels"))
+    monkeypatch.setattr(quality, "EXCHANGED", 12)
+    seen, exchange = [], quality._exchange
+
+    def spy(pool, labels):
+        looks = {r.h: (np.array(r.content, np.int64), np.array(r.metadata, np.int64)) for r in pool.collect()}
+        before = [[dict(part) for part in x.added] for x in labels]
+        want = [plain_exchange(x, looks, {h for part in x.added for h in part}) for x in labels]
+        n = exchange(pool.repartition(5), labels)
+        for x, old, w in zip(labels, before, want):
+            assert {(v, h): int(y) for v in (0, 1) for h, (_, y) in x.added[v].items() if h not in old[v]} == w
+        seen.append(n)
+        return n
+
+    monkeypatch.setattr(quality, "_exchange", spy)
+    quality.train(docs, labels, "doc_id", "text", "source", "lang", 10_000, 2)
+    assert len(seen) == 2 and seen[0] > 0
+
+
 # --- 6 ---
 
 
