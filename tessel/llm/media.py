@@ -96,6 +96,7 @@ class Stream:
     pes: int = 0
     pts: list[tuple[int, int]] = field(default_factory=list)  # (offset in data, ticks)
     random_access: list[int] = field(default_factory=list)
+    clock: list[int] = field(default_factory=list)  # bases of the clock references
 
 
 @dataclass
@@ -107,14 +108,48 @@ class Program:
     damaged: int = 0  # packets without sync byte, tables whose checksum fails, broken PES headers
 
 
+def _read_table(out: Program, tables: set[int], pid: int, table: bytes) -> None:
+    """A whole section of the association table or of a program table. Lengths that point beyond it are damage."""
+    if len(table) < 12 or crc32_mpeg(table):
+        out.damaged += 1
+        return
+    last = len(table) - 4
+    if pid == PAT_PID and table[0] == 0:
+        tables |= {(table[k + 2] & 0x1F) << 8 | table[k + 3] for k in range(8, last - 3, 4) if table[k] or table[k + 1]}
+    elif pid != PAT_PID and table[0] == 2:
+        end = 12 + ((table[10] & 0x0F) << 8 | table[11])
+        if end > last:
+            out.damaged += 1
+            return
+        for k, tag, size in _descriptors(table, 12, end):
+            if tag == REGISTRATION and size >= 12 and table[k : k + 4] == FORMAT:
+                out.n_bytes = int.from_bytes(table[k + 4 : k + 12], "big")
+        while end + 5 <= last:
+            es = (table[end + 1] & 0x1F) << 8 | table[end + 2]
+            out.streams.setdefault(es, Stream(es, table[end]))
+            end += 5 + ((table[end + 3] & 0x0F) << 8 | table[end + 4])
+        if end != last:
+            out.damaged += 1
+
+
+def _descriptors(table: bytes, at: int, end: int):
+    while at + 2 <= end and at + 2 + table[at + 1] <= end:
+        yield at + 2, table[at], table[at + 1]
+        at += 2 + table[at + 1]
+
+
 def demultiplex(media: bytes | None) -> Program:
-    """Parse a transport stream. Damage is counted, never raised; null or empty media is an empty program."""
+    """Parse a transport stream. Damage is counted, never raised; null or empty media is an empty program.
+
+    Tables are put together from as many packets as they take, several of them one after another too.
+    """
     out = Program()
     if not media:
         return out
     tables: set[int] = set()
     counters: dict[int, int] = {}
     waiting: dict[int, list] = {}
+    sections: dict[int, bytes] = {}
 
     def close(pid: int) -> None:
         pes = b"".join(waiting.pop(pid, ()))
@@ -133,17 +168,42 @@ def demultiplex(media: bytes | None) -> Program:
         stream.data += pes[9 + pes[8] : length + 6 if length else None]
         stream.pes += 1
 
+    def collect(pid: int, part: bytes, start: int) -> None:
+        """Add a packet's part of a table; where a section starts, the first byte says how much still belongs to the one before."""
+        if start:
+            own = part[1 + part[0] :] if part else b""
+            if pid in sections and drain(pid, part[1 : 1 + part[0]] if part else b""):
+                out.damaged += 1
+            sections[pid] = b""
+            drain(pid, own)
+        elif pid in sections:
+            drain(pid, part)
+
+    def drain(pid: int, more: bytes) -> bytes:
+        """Read all whole sections; what is left of one stays, fill bytes do not."""
+        held = sections[pid] + more
+        while len(held) >= 3 and held[0] != 0xFF:
+            size = 3 + ((held[1] & 0x0F) << 8 | held[2])
+            if len(held) < size:
+                break
+            _read_table(out, tables, pid, held[:size])
+            held = held[size:]
+        sections[pid] = b"" if held[:1] == b"\xff" else held
+        return sections[pid]
+
     for p in range(0, len(media), PACKET):
         packet = media[p : p + PACKET]
         out.packets += 1
         if len(packet) < PACKET or packet[0] != SYNC or packet[1] & 0x80:
             out.damaged += 1
             continue
-        pid, flags, start, access = (packet[1] & 0x1F) << 8 | packet[2], packet[3], packet[1] & 0x40, False
+        pid, flags, start, access, clock = (packet[1] & 0x1F) << 8 | packet[2], packet[3], packet[1] & 0x40, False, None
         at = 4
         if flags & 0x20:
             at = 5 + packet[4]
             access = bool(packet[4] and packet[5] & 0x40)
+            if packet[4] >= 7 and packet[5] & 0x10:
+                clock = int.from_bytes(packet[6:12], "big") >> 15
         if not flags & 0x10:
             continue
         last, now = counters.get(pid), flags & 15
@@ -155,6 +215,8 @@ def demultiplex(media: bytes | None) -> Program:
         counters[pid] = now
         stream = out.streams.get(pid)
         if stream is not None:
+            if clock is not None:
+                stream.clock.append(clock)
             if start:
                 close(pid)
                 waiting[pid] = []
@@ -162,33 +224,14 @@ def demultiplex(media: bytes | None) -> Program:
                     stream.random_access.append(len(stream.data))
             if pid in waiting:
                 waiting[pid].append(packet[at:])
-        elif start and (pid == PAT_PID or pid in tables):
-            at += 1 + packet[at] if at < PACKET else 1
-            table = packet[at : at + 3 + ((packet[at + 1] & 0x0F) << 8 | packet[at + 2])] if at + 3 <= PACKET else b""
-            if len(table) < 12 or crc32_mpeg(table):
-                out.damaged += 1
-            elif pid == PAT_PID:
-                tables |= {(table[k + 2] & 0x1F) << 8 | table[k + 3] for k in range(8, len(table) - 4, 4) if table[k] or table[k + 1]}
-            else:
-                end = 12 + ((table[10] & 0x0F) << 8 | table[11])
-                for k, tag in _descriptors(table, 12, end):
-                    if tag == REGISTRATION and table[k : k + 4] == FORMAT:
-                        out.n_bytes = int.from_bytes(table[k + 4 : k + 12], "big")
-                while end + 5 <= len(table) - 4:
-                    es = (table[end + 1] & 0x1F) << 8 | table[end + 2]
-                    out.streams.setdefault(es, Stream(es, table[end]))
-                    end += 5 + ((table[end + 3] & 0x0F) << 8 | table[end + 4])
+        elif pid == PAT_PID or pid in tables:
+            collect(pid, packet[at:], start)
     for pid in list(waiting):
         close(pid)
+    out.damaged += sum(map(bool, sections.values()))
     return out
 
 
-def _descriptors(table: bytes, at: int, end: int):
-    while at + 2 <= end:
-        yield at + 2, table[at]
-        at += 2 + table[at + 1]
-
-
 def features(program: Program) -> str:
     """Facts of the first stream: structure, times and the level of its samples."""
     if not program.streams:
@@ -198,8 +241,9 @@ def features(program: Program) -> str:
     mean = f"{x.mean():.6f}" if len(x) else "nan"
     step = f"{np.abs(np.diff(x.astype(np.int16))).mean():.6f}" if len(x) > 1 else "nan"
     times = f"{s.pts[0][1]}-{s.pts[-1][1]}" if s.pts else "none"
+    clock = f"{s.clock[0]}-{s.clock[-1]}" if s.clock else "none"
     return (
-        f"packets={program.packets};streams={len(program.streams)};pid={s.pid};type={s.kind};pes={s.pes};pts={times};"
+        f"packets={program.packets};streams={len(program.streams)};pid={s.pid};type={s.kind};pes={s.pes};pts={times};clock={clock};"
         f"random_access={len(s.random_access)};continuity_errors={program.continuity_errors};damaged={program.damaged};mean={mean};step={step}"
     )
 
@@ -270,5 +314,5 @@ def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     read = decode_media(encode_media(docs, id_col, text_col), id_col)
     return read.select(
         id_col, "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
-        F.crc32(F.substring("payload", -FRAME, FRAME)).alias("tail_crc32"), "media_bytes", "media_sha256", "feature", "random_access", "continuity_errors",
+        F.crc32(F.substring("payload", -FRAME, FRAME)).alias("tail_crc32"), "media_bytes", "media_sha256", "feature", "pts", "pts_offset", "random_access", "continuity_errors",
     )

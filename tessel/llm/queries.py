@@ -34,7 +34,8 @@ def op1_simhash_dedup(spark, sf_dir):
 
 
 def op2_media_transport_stream(spark, sf_dir):
-    return media.media_digests(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    points = [F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("pts", "pts_offset", "random_access")]
+    return media.media_digests(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", *points)
 
 
 def op3_url_filter(spark, sf_dir):

@@ -187,6 +187,43 @@ def test_transport_stream_damage_is_counted():
     assert media.demultiplex(stream[:300]).damaged == 1 and not media.demultiplex(None).streams
 
 
+def test_no_damage_raises():
+    """Flipped, cut and shuffled bytes, and tables with a valid checksum whose lengths lie."""
+    rng = np.random.default_rng(8)
+    stream = media.multiplex(media.padded(b"text " * 900), 4500)
+    for _ in range(400):
+        raw = np.frombuffer(stream, np.uint8).copy()
+        raw[rng.integers(0, 400, rng.integers(1, 12))] = rng.integers(0, 256)
+        media.demultiplex(raw.tobytes()[: rng.integers(1, len(raw))])
+    head = lambda pid, table: (bytes([media.SYNC, 0x40 | pid >> 8, pid & 0xFF, 0x10, 0]) + table).ljust(188, b"\xff")
+    for body in (b"\xe1\x00\xff\xff", b"\xe1\x00\xf0\x02\x05\xff", b"\xe1\x00\xf0\x03\x05\x01\x00" + b"\x06\xe1\x00\xff\xff", b"\xe1\x00\xf0\x00\x06\xe1"):
+        for _ in (0, 1):
+            found = media.demultiplex(stream[:188] + head(media.PMT_PID, media.section(2, 1, body)) + stream[376:])
+            assert found.packets == len(stream) // 188
+
+
+def test_tables_may_take_several_packets():
+    """A program table of 60 streams over four packets, cut anywhere, and a second table right behind it in the same packet."""
+    info = bytes([media.REGISTRATION, 12]) + media.FORMAT + (77).to_bytes(8, "big")
+    entries = b"".join(bytes([media.PRIVATE_PES]) + (0xE000 | 0x100 + k).to_bytes(2, "big") + b"\xf0\x05\x0a\x03eng" for k in range(60))
+    pmt = media.section(2, 1, b"\xe1\x00" + (0xF000 | len(info)).to_bytes(2, "big") + info + entries)
+    again = media.section(2, 2, b"\xe3\x00\xf0\x00\x06\xe3\x00\xf0\x00")
+    whole = media.multiplex(media.padded(b"x" * 500), 500)
+    for cut in (1, 50, 183):
+        parts, rest, packets = [pmt[:cut]], pmt[cut:] + again, []
+        while rest:
+            parts.append(rest[:184])
+            rest = rest[184:]
+        for k, part in enumerate(parts):
+            body = (b"\0" if not k else b"") + part
+            stuff = b"" if len(body) == 184 else bytes([183 - len(body)]) + (b"\x00" + b"\xff" * (182 - len(body)) if len(body) < 183 else b"")
+            packets.append(bytes([media.SYNC, (0x40 if not k else 0) | media.PMT_PID >> 8, media.PMT_PID & 0xFF, (0x30 if stuff else 0x10) | k]) + stuff + body)
+        found = media.demultiplex(whole[:188] + b"".join(packets) + whole[376:])
+        assert (found.damaged, found.n_bytes, sorted(found.streams)) == (0, 77, [*range(0x100, 0x100 + 60), 0x300])
+        assert bytes(found.streams[media.ES_PID].data) == media.padded(b"x" * 500) and found.streams[media.ES_PID].clock == [0]
+    assert media.demultiplex(whole[:188] + packets[0]).damaged == 1  # the rest of the table is missing
+
+
 def test_media_digests(docs, texts):
     for r in media.media_digests(docs).collect():
         raw = media.padded(texts[r.doc_id].encode())
