@@ -43,29 +43,55 @@ def paths(tokens: list[bytes]) -> tuple[int, int]:
     return signed64(b"%d " % len(tokens) + b" ".join(tokens[:DEPTH])), signed64(b" ".join(tokens))
 
 
-def templates(lines: list[list[bytes]], similarity: float = SIMILARITY) -> tuple[list[int], list[list[bytes]]]:
-    """Template number of each line of one leaf (all of one length), and the templates. A line joins the most similar template
-    if at least `similarity` of its tokens equal it, and what differs becomes variable; else it begins a new one."""
-    codes: dict[bytes, int] = {WILD: 0}
-    rows = np.array([[codes.setdefault(t, len(codes)) for t in line] for line in lines], np.int64)
-    n, width = rows.shape
-    made, used, out = np.empty((min(n, 16), width), np.int64), 0, []
-    need = np.ceil(similarity * width - 1e-9)
-    for row in rows:
-        if used:
-            same = (made[:used] == row).sum(1)  # a variable field equals a variable field only
+class Leaf:
+    """Templates of the lines of one leaf, all of one length, that come one by one. A line joins the most similar template if at least
+    `similarity` of its tokens equal it (a variable field equals a variable field only), and what differs becomes variable; else it begins
+    a new one.
+
+    The first `depth` tokens of all lines are the same. Of the others a line may differ from its template in `width - need`, so that of one
+    segment more at least one is equal. Only templates that share a segment with the line are compared with it: no other can be similar enough.
+    """
+
+    def __init__(self, width: int, similarity: float = SIMILARITY, depth: int = DEPTH):
+        self.need, self.codes, self.names = int(np.ceil(similarity * width - 1e-9)), {WILD: 0}, [WILD]
+        edges = np.linspace(min(depth, width), width, width - self.need + 2).astype(int)
+        self.segments = list(zip(edges[:-1].tolist(), edges[1:].tolist()))
+        self.held: list[dict[bytes, list[int]]] = [{} for _ in self.segments]
+        self.rows, self.used = np.empty((16, width), np.int32), 0
+
+    def add(self, line: list[bytes]) -> int:
+        """The number of the line's template."""
+        codes = self.codes
+        for t in line:
+            if t not in codes:
+                codes[t] = len(codes)
+                self.names.append(t)
+        row = np.array([codes[t] for t in line], np.int32)
+        keys = [row[x:y].tobytes() for x, y in self.segments]
+        near = sorted(set().union(*(held.get(key, ()) for held, key in zip(self.held, keys))))
+        if near:
+            same = (self.rows[near] == row).sum(1)
             best = int(same.argmax())
-            if same[best] >= need:
-                made[best, made[best] != row] = 0
-                out.append(best)
-                continue
-        if used == len(made):
-            made = np.concatenate([made, np.empty_like(made)])
-        made[used] = row
-        out.append(used)
-        used += 1
-    names = list(codes)
-    return out, [[names[c] for c in row] for row in made[:used].tolist()]
+            if same[best] >= self.need:
+                number = near[best]
+                own = self.rows[number]
+                differs = own != row
+                if differs.any():
+                    own[differs] = 0
+                    for held, (x, y) in zip(self.held, self.segments):
+                        if differs[x:y].any():
+                            held.setdefault(own[x:y].tobytes(), []).append(number)
+                return number
+        if self.used == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
+        self.rows[self.used] = row
+        for held, key in zip(self.held, keys):
+            held.setdefault(key, []).append(self.used)
+        self.used += 1
+        return self.used - 1
+
+    def template(self, number: int) -> list[bytes]:
+        return [self.names[c] for c in self.rows[number].tolist()]
 
 
 def recurring_lines(docs: DataFrame, text_col: str = "text", min_tokens: int = MIN_TOKENS, similarity: float = SIMILARITY, short_texts: int = SHORT_TEXTS) -> DataFrame:
@@ -73,7 +99,9 @@ def recurring_lines(docs: DataFrame, text_col: str = "text", min_tokens: int = M
     `min_tokens` tokens.
 
     Each task sends a line on with at most so many of the texts that hold it, so a line that very many documents share
-    stays small. A leaf is read as a sorted stream; only its templates are kept, not its lines.
+    stays small. A leaf is read as a sorted stream in one task, which keeps its templates, and of each distinct line its signature and its
+    template's number: 30 bytes or so a line that is like another. Lines and texts are told apart by 64-bit hashes: of 10^10 different
+    ones, about three pairs would be taken for equal.
     """
 
     def needed(tokens):
@@ -104,40 +132,45 @@ def recurring_lines(docs: DataFrame, text_col: str = "text", min_tokens: int = M
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())], names=["leaf", "sig", "doc", "line"])
 
     def grow(batches):
-        leaf, lines, sigs, docs_of = None, [], [], []
+        leaf, own, need, sigs, numbers, texts, last, found = None, None, 0, [], [], [], None, []
+
+        def settle():
+            """The line read last, with its texts, goes to its template."""
+            sig, line, of = last
+            number = own.add(line)
+            if number == len(texts):
+                texts.append(set())
+            if len(texts[number]) < need:
+                texts[number].update(of)
+            sigs.append(sig)
+            numbers.append(number)
 
         def close():
-            need = needed(lines[0])  # the lines of a leaf are of one length
-            if len(sigs) == 1 and len(docs_of[0]) < need:
-                return
-            number, made = templates(lines, similarity) if len(lines) > 1 else ([0], lines)
-            held = {}
-            for k, some in zip(number, docs_of):
-                if len(mine := held.setdefault(k, set())) < need:
-                    mine.update(some)
-            for k, sig in zip(number, sigs):
-                if len(held[k]) >= need:
-                    yield sig, b" ".join(made[k]).decode("utf-8", "replace")
+            settle()
+            found.extend((sig, b" ".join(own.template(k)).decode("utf-8", "replace")) for sig, k in zip(sigs, numbers) if len(texts[k]) >= need)
+
+        def batch_of():
+            return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found])], names=["sig", "template"])
 
         for batch in batches:
-            found = []
             for x, sig, doc, line in zip(*(c.to_pylist() for c in batch.columns)):
                 if x != leaf:
-                    if lines:
-                        found += close()
-                    leaf, lines, sigs, docs_of = x, [], [], []
-                if sigs and sigs[-1] == sig:
-                    if docs_of[-1][-1] != doc and len(docs_of[-1]) < needed(lines[-1]):  # sorted by text
-                        docs_of[-1] += (doc,)
-                else:
-                    lines.append(line.split(b" "))
-                    sigs.append(sig)
-                    docs_of.append((doc,))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found])], names=["sig", "template"])
-        found = list(close()) if lines else []
+                    if last:
+                        close()
+                    tokens = line.split(b" ")
+                    leaf, own, need, sigs, numbers, texts, last = x, Leaf(len(tokens), similarity), needed(tokens), [], [], [], (sig, tokens, [doc])
+                elif last[0] != sig:
+                    settle()
+                    last = sig, line.split(b" "), [doc]
+                elif len(last[2]) < need and last[2][-1] != doc:  # sorted by text
+                    last[2].append(doc)
+                if len(found) >= 10_000:
+                    yield batch_of()
+                    found = []
+        if last:
+            close()
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found])], names=["sig", "template"])
+            yield batch_of()
 
     sent = docs.select(F.col(text_col).alias("text")).mapInArrow(send, "leaf long, sig long, doc long, line binary")
     return sent.repartition("leaf").sortWithinPartitions("leaf", "sig", "doc").mapInArrow(grow, "sig long, template string")
@@ -155,20 +188,21 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     def number(batches):
         for batch in batches:
             text, at, sigs = [], [], []
-            for h, raw in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1))):
+            for n, raw in enumerate(raw_texts(batch.column(2))):
                 for k, line in enumerate((raw or b"").split(b"\n")):
                     tokens = parsed(line, min_tokens)
                     if tokens:
-                        text.append(h)
+                        text.append(n)
                         at.append(k)
                         sigs.append(paths(tokens)[1])
-            yield pa.RecordBatch.from_arrays([pa.array(text, pa.int64()), pa.array(at, pa.int32()), pa.array(sigs, pa.int64())], names=["h", "at", "sig"])
+            of = pa.array(text, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(at, pa.int32()), pa.array(sigs, pa.int64())], names=["h", "h2", "at", "sig"])
 
     recurring = recurring_lines(docs, text_col, min_tokens, similarity, short_texts).select("sig")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("h"))
-    lines = rows.select("h", "text").mapInArrow(number, "h long, at int, sig long").distinct()
-    hit = lines.join(recurring, "sig", "left_semi").groupBy("h").agg(F.array_sort(F.collect_set("at")).alias("dropped"))
-    out = rows.join(hit, "h", "left").withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"), F.xxhash64(F.lit(1), text_col).alias("h2"))
+    lines = rows.select("h", "h2", "text").mapInArrow(number, "h long, h2 long, at int, sig long").distinct()
+    hit = lines.join(recurring, "sig", "left_semi").groupBy("h", "h2").agg(F.array_sort(F.collect_set("at")).alias("dropped"))
+    out = rows.join(hit, ["h", "h2"], "left").withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
     all_lines = F.split("text", "\n", -1)
     kept = F.when(F.size("dropped") == 0, F.col("text")).otherwise(F.array_join(F.filter(F.transform(all_lines, lambda x, i: F.when(~F.array_contains("dropped", i), x)), lambda x: x.isNotNull()), "\n"))
     return out.select(F.col("id").alias(id_col), kept.alias("text"), F.coalesce(F.size(all_lines), F.lit(0)).alias("n_lines"), F.size("dropped").alias("n_dropped"), "dropped").withColumn("n_lines", F.greatest("n_lines", F.lit(0)))

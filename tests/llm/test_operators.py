@@ -479,24 +479,72 @@ def test_perfect_hash():
 # --- 8 ---
 
 
+def plain_templates(lines, similarity=0.8):
+    """Template number of each line (all of one length), each compared with every template before it."""
+    made, out = [], []
+    for line in lines:
+        same = [sum(a == b for a, b in zip(t, line)) for t in made]
+        if same and max(same) >= similarity * len(line) - 1e-9:
+            k = same.index(max(same))
+            made[k] = [a if a == b else line_dedup.WILD for a, b in zip(made[k], line)]
+        else:
+            k = len(made)
+            made.append(list(line))
+        out.append(k)
+    return out, made
+
+
+def plain_dropped(texts):
+    """Line numbers to drop of each text: the whole operator without Spark, leaf by leaf in the order of signatures."""
+    leaves, holders = defaultdict(dict), defaultdict(set)
+    for t in texts:
+        for line in t.encode().split(b"\n"):
+            tokens = line_dedup.parsed(line)
+            if tokens:
+                leaf, sig = line_dedup.paths(tokens)
+                leaves[leaf][sig] = tokens
+                holders[sig].add(t)
+    recurring = set()
+    for own in leaves.values():
+        sigs = sorted(own)
+        number, _ = plain_templates([own[s] for s in sigs])
+        need, texts_of = 2 if len(own[sigs[0]]) >= line_dedup.MIN_TOKENS else line_dedup.SHORT_TEXTS, defaultdict(set)
+        for k, s in zip(number, sigs):
+            texts_of[k] |= holders[s]
+        recurring |= {s for k, s in zip(number, sigs) if len(texts_of[k]) >= need}
+    parse = lambda line: line_dedup.parsed(line.encode())
+    return {t: [k for k, line in enumerate(t.split("\n")) if parse(line) and line_dedup.paths(parse(line))[1] in recurring] for t in texts}
+
+
 def test_line_dedup(docs, texts):
-    holders = defaultdict(set)
-    key = lambda line: b" ".join(line_dedup.masked(line.encode()))
-    for t in texts.values():
-        for line in t.split("\n"):
-            holders[key(line)].add(t)
+    want = plain_dropped(set(texts.values()))
+    assert sum(map(len, want.values())) > 20
     for r in line_dedup.drop_recurring_lines(docs).collect():
         lines = texts[r.doc_id].split("\n")
-        must = {k for k, line in enumerate(lines) if len(line.split()) >= 5 and len(holders[key(line)]) > 1}
-        assert must <= set(r.dropped) and r.text == "\n".join(line for k, line in enumerate(lines) if k not in r.dropped)
+        assert list(r.dropped) == want[texts[r.doc_id]] and r.text == "\n".join(line for k, line in enumerate(lines) if k not in r.dropped)
+
+
+def test_templates_are_those_of_all_comparisons():
+    rng = np.random.default_rng(12)
+    for width in (2, 5, 7, 12, 20):
+        base = [[b"t%d" % rng.integers(4) for _ in range(width)] for _ in range(6)]
+        lines = []
+        for _ in range(300):
+            line = list(base[rng.integers(6)])
+            for k in rng.choice(width, rng.integers(0, max(1, width // 3) + 1), replace=False):
+                line[k] = line_dedup.WILD if rng.random() < 0.3 else b"t%d" % rng.integers(9)
+            lines.append(line)
+        leaf = line_dedup.Leaf(width, depth=0)
+        number, made = plain_templates(lines)
+        assert [leaf.add(x) for x in lines] == number and [leaf.template(k) for k in range(leaf.used)] == made
 
 
 def test_line_templates(spark):
     frame = spark.createDataFrame([(1, "user ann logged in from 10.0.0.1 at noon\nonly here one two three"), (2, "user bob logged in from 10.0.0.2 at noon\nshort line"), (3, "a b c d e 1\nshort line"), (3, "a b c d e 1\nshort line")], "doc_id long, text string")
     got = sorted(rows_of(line_dedup.drop_recurring_lines(frame), "doc_id", "text", "n_dropped"))
     assert got[0] == (1, "user ann logged in from 10.0.0.1 at noon\nonly here one two three", 0)  # the second token is part of the path
-    number, made = line_dedup.templates([b"a b c d e".split(), b"a b c x e".split(), b"q r s t u".split()])
-    assert number == [0, 0, 1] and made[0] == [b"a", b"b", b"c", b"<*>", b"e"]
+    leaf = line_dedup.Leaf(5, depth=0)
+    assert [leaf.add(x.split()) for x in (b"a b c d e", b"a b c x e", b"q r s t u")] == [0, 0, 1] and leaf.template(0) == [b"a", b"b", b"c", b"<*>", b"e"]
     frame = spark.createDataFrame([(1, "job run of ann has ended well today at noon"), (2, "job run of bob has ended well today at noon")], "doc_id long, text string")
     assert all(r.n_dropped == 1 and r.text == "" for r in line_dedup.drop_recurring_lines(frame).collect())
 
