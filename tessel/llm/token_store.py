@@ -10,12 +10,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm.common import cut, new_path, raw_texts
+from tessel.llm.common import cut, drop_path, new_path, raw_texts, store
 
 MAGIC = b"TSLIDS01"
 HEAD = "<8sBxxxIQ"  # magic, bytes per id, shard, zero: 24 bytes
@@ -111,9 +112,10 @@ def mix64(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def key_of(ids: np.ndarray, null: np.ndarray, occurrence: np.ndarray) -> np.ndarray:
-    """Key of a document: its id; of a later row with the same id, or a null id, a hash of both."""
-    base = ids.astype(np.int64).view(np.uint64)
+def key_of(ids: list, occurrence: np.ndarray) -> np.ndarray:
+    """Key of a document: its id, or the hash of an id that is a text; of a later row with the same id, or a null id, a hash of both."""
+    null = np.array([i is None for i in ids], bool)
+    base = np.array([0 if i is None else i & 0xFFFFFFFFFFFFFFFF if isinstance(i, int) else xxhash.xxh64_intdigest(i.encode(), 42) for i in ids], np.uint64)
     other = mix64(mix64(base, 90) + occurrence.astype(np.uint64), 91) ^ np.where(null, np.uint64(0x5DEECE66D), np.uint64(0))
     return np.where((occurrence == 0) & ~null, base, other)
 
@@ -208,6 +210,10 @@ class ShardIndex:
         return cls(PerfectHash(tables), take("<u4", n), take("<u8", n), take("<u8", n))
 
 
+def id_kind(docs: DataFrame, id_col: str) -> str:
+    return "long" if docs.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") else "string"
+
+
 def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the ids of all documents, in ascending id order, into shards under `path`, and a manifest.
 
@@ -216,16 +222,25 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     order with the number of ids before each. Returns (shard, id, occurrence), stored, in the shards' order.
 
     Null texts are empty, so a document has one id at least. Null ids come first; rows that repeat an id follow each other,
-    ordered by their text's hash, as occurrences 0, 1, ... A file is written under its attempt's name and then moved, so a
-    task that runs again leaves the same files. An empty table gives a manifest without shards.
+    ordered by their text's hash, as occurrences 0, 1, ... An id that is no whole number is kept as text. A file is written under its
+    attempt's name and then moved, so a task that runs again leaves the same files. An empty table gives a manifest without shards.
+
+    Texts are encoded where they are; what is sorted are the ids, in two bytes a token where the vocabulary allows.
     """
     spark = docs.sparkSession
-    kind = "long"
+    kind = id_kind(docs, id_col)
+
+    def encode(batches):
+        coder = encoder(tokenizer)
+        end = coder.packed([end_id])
+        for batch in batches:
+            parts = [(coder.encode(raw) if raw else b"") + end for raw in raw_texts(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.binary())], names=["id", "h", "ids"])
 
     def run(batches):
-        coder, out, offset, number = encoder(tokenizer), None, 0, TaskContext.get().partitionId()
-        last, count, end = None, 0, coder.packed([end_id])
-        ids, nulls, seen, lengths = [], [], [], []
+        out, number = None, TaskContext.get().partitionId()
+        size, last, count = encoder(tokenizer).dtype.itemsize, None, 0
+        ids, seen, lengths = [], [], []
         home, base = open_fs(path)
         name, attempt = f"{base}/shard-{number:06d}", TaskContext.get().taskAttemptId()
         try:
@@ -233,35 +248,35 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                 mine = batch.column(0).to_pylist()
                 if mine and out is None:
                     home.create_dir(base, recursive=True)
-                    out = home.open_output_stream(f"{name}.ids.{attempt}")
-                    out.write(struct.pack(HEAD, MAGIC, coder.dtype.itemsize, number, 0))
-                parts = []
-                for i, raw in zip(mine, raw_texts(batch.column(1))):
+                    out = home.open_output_stream(f"{name}.ids.{attempt}", buffer_size=1 << 20)
+                    out.write(struct.pack(HEAD, MAGIC, size, number, 0))
+                at = len(ids)
+                for i, part in zip(mine, batch.column(1)):
                     count = count + 1 if ids and i == last else 0
                     last = i
-                    parts += (coder.encode(raw) if raw else b"", end)
-                    lengths.append((len(parts[-2]) + len(end)) // coder.dtype.itemsize)
-                    ids.append(i or 0)
-                    nulls.append(i is None)
+                    part = part.as_py()
+                    out.write(part)
+                    lengths.append(len(part) // size)
+                    ids.append(i)
                     seen.append(count)
-                if parts:
-                    out.write(b"".join(parts))
-                    at = len(lengths) - len(mine)
+                if mine:
                     yield pa.RecordBatch.from_arrays([pa.array([number] * len(mine), pa.int32()), batch.column(0), pa.array(seen[at:], pa.int64()), pa.array(lengths[at:], pa.int64())], names=["shard", "id", "occurrence", "n"])
         finally:
             if out is not None:
                 out.close()
         if out is not None:
             n = np.array(lengths, np.int64)
-            index = ShardIndex.build(key_of(np.array(ids, np.int64), np.array(nulls), np.array(seen, np.int64)), np.cumsum(n) - n, n)
+            index = ShardIndex.build(key_of(ids, np.array(seen, np.int64)), np.cumsum(n) - n, n)
             with home.open_output_stream(f"{name}.idx.{attempt}") as f:
                 f.write(index.dump())
             for suffix in ("ids", "idx"):
                 home.move(f"{name}.{suffix}.{attempt}", f"{name}.{suffix}")
 
-    ordered = docs.select(F.col(id_col).cast(kind).alias("id"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
-    ordered = ordered.repartitionByRange(F.col("id").asc_nulls_first(), "h").sortWithinPartitions(F.col("id").asc_nulls_first(), "h").select("id", "text")
+    rows = docs.select(F.col(id_col).cast(kind).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    encoded, encoded_path = store(rows.mapInArrow(encode, f"id {kind}, h long, ids binary"), "encoded")
+    ordered = encoded.repartitionByRange(F.col("id").asc_nulls_first(), "h").sortWithinPartitions(F.col("id").asc_nulls_first(), "h").select("id", "ids")
     written = cut(ordered.mapInArrow(run, f"shard int, id {kind}, occurrence long, n long"))
+    drop_path(spark, encoded_path)
     totals = written.groupBy("shard").agg(F.sum("n").alias("ids"), F.count("*").alias("documents"), F.min("id").alias("first"), F.max("id").alias("last")).orderBy("shard").collect()
     start, shards = 0, []
     for r in totals:
@@ -299,12 +314,12 @@ class Shard:
         return np.frombuffer(data, self.dtype).astype("<u4")
 
 
-def lookup(path: str, doc_id: int, occurrence: int = 0) -> np.ndarray | None:
+def lookup(path: str, doc_id: int | str, occurrence: int = 0) -> np.ndarray | None:
     """Ids of one document, or None: one probe of the index and one read for each shard whose range holds the id."""
     for s in read_manifest(path)["shards"]:
         if s["first"] is not None and s["first"] <= doc_id <= s["last"]:
             shard = Shard(path, s["shard"])
-            found, offset, n = shard.index.find(key_of(np.array([doc_id]), np.array([False]), np.array([occurrence])))
+            found, offset, n = shard.index.find(key_of([doc_id], np.array([occurrence])))
             if found[0]:
                 return shard.ids(int(offset[0]), int(n[0]))
     return None
@@ -319,7 +334,7 @@ def read_token_digests(rows: DataFrame, path: str, id_col: str = "doc_id") -> Da
         for batch in batches:
             of = np.asarray(batch.column(0))
             ids = batch.column(1)
-            keys = key_of(ids.fill_null(0).to_numpy(zero_copy_only=False), np.asarray(ids.is_null()), np.asarray(batch.column(2)))
+            keys = key_of(ids.to_pylist(), np.asarray(batch.column(2)))
             start, n, crc = np.zeros(len(of), np.int64), np.zeros(len(of), np.int64), np.zeros(len(of), np.int64)
             for k in np.unique(of).tolist():
                 if k != number:
@@ -332,7 +347,7 @@ def read_token_digests(rows: DataFrame, path: str, id_col: str = "doc_id") -> Da
                 crc[mine] = [zlib.crc32(shard.ids(o, m)) for o, m in zip(offset.tolist(), length.tolist())]
             yield pa.RecordBatch.from_arrays([ids, pa.array(start), pa.array(n), pa.array(crc)], names=[id_col, "start", "n_tokens", "ids_crc32"])
 
-    return rows.select("shard", id_col, "occurrence").mapInArrow(run, f"{id_col} long, start long, n_tokens long, ids_crc32 long")
+    return rows.select("shard", id_col, "occurrence").mapInArrow(run, f"{id_col} {id_kind(rows, id_col)}, start long, n_tokens long, ids_crc32 long")
 
 
 def token_digests(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:

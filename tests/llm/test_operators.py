@@ -457,6 +457,14 @@ def test_token_ids(docs, texts, tmp_path):
     assert (token_store.lookup(path, i) == ids).all() and token_store.lookup(path, 10**12) is None
 
 
+def test_token_ids_of_text_keys(spark, tmp_path):
+    rows = [("b", "one two"), ("a", "three"), (None, "four"), ("b", "one two"), ("", None), ("é", "five six")]
+    docs, path = spark.createDataFrame(rows, "doc_id string, text string"), str(tmp_path / "ids")
+    got = sorted(token_store.token_digests(docs, queries.tokenizer_path(), path=path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, "", "a", "b", "b", "é"] and all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
+    assert zlib.crc32(token_store.lookup(path, "a").astype("<u4").tobytes()) == got[2].ids_crc32 and token_store.lookup(path, "c") is None
+
+
 @pytest.mark.parametrize("text", ["it's we'll \x1cab\x1d c\xa0d", "Éé ÿß.Àx §.a éx <|endoftext|>a, 12a3.. ñ–x", "ﬁ İI ΑΣ. Don't!! '''s ..a a..b", "a.̈b ë x́ 漢字。", "", " \t\n"])
 def test_encoder_is_the_tokenizer(text):
     from tokenizers import Tokenizer
