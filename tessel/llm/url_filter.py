@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tessel.llm.common import LOWER, UPPER, cut
 
-#: Most keys that a filter may list; its bits go into the plan as one literal. Beyond it rules are looked up by a shuffled join.
+#: Most keys of a filter whose bits go into the plan as one literal. The bits of a larger one are an array in a table of one row, which is
+#: broadcast: 2 to 4 bytes a listed key.
 MAX_LISTED = 200_000
 
 
@@ -20,13 +21,26 @@ class Level:
     bits: int
     hashes: int
     words: str  # 64-bit words, joined by a comma
+    table: DataFrame | None = None  # or a table of one row, which has them as an array
+
+    def column(self) -> Column:
+        """The text of the words is a literal, which Catalyst folds into one array."""
+        return F.col(f"words_{self.salt}") if self.table is not None else F.split(F.lit(self.words), ",").cast("array<bigint>")
 
     def has(self, key: Column) -> Column:
-        """All positions of a key are set. The text of the words is a literal, which Catalyst folds into one array."""
-        words = F.split(F.lit(self.words), ",").cast("array<bigint>")
+        """All positions of a key are set."""
+        words = self.column()
         return _all([F.getbit(F.get(words, F.floor(p / 64).cast("int")), F.pmod(p, F.lit(64)).cast("int")) == 1 for p in _positions(key, self)])
 
 
+def attach(frame: DataFrame, levels: list[Level]) -> DataFrame:
+    """The frame with the words of levels that are tables."""
+    for level in levels:
+        if level.table is not None:
+            frame = frame.crossJoin(F.broadcast(level.table))
+    return frame
+
+
 def _all(tests: list[Column]) -> Column:
     out = tests[0]
     for t in tests[1:]:
@@ -40,18 +54,23 @@ def _positions(key: Column, level: Level) -> list[Column]:
     return [F.pmod(a + b * i + (i * i * i - i) // 6, m) for i in range(level.hashes)]
 
 
-def build_level(keys: DataFrame, n: int, rate: float, salt: int) -> Level:
-    """A Bloom filter over a `key` column of n keys, n at most MAX_LISTED, so its words fit the driver."""
+def build_level(keys: DataFrame, n: int, rate: float, salt: int, max_listed: int = MAX_LISTED) -> Level:
+    """A Bloom filter over a `key` column of n keys."""
     hashes = max(1, round(-math.log2(rate)))
     shape = Level(salt, max(64, 64 * math.ceil(n * -math.log2(rate) / math.log(2) / 64)), hashes, "")
     set_ = keys.select(F.explode(F.array(*_positions(F.col("key"), shape))).alias("p")).select(
         F.floor(F.col("p") / 64).alias("w"), F.pmod("p", F.lit(64)).cast("int").alias("s")
     )
-    found = {r.w: r.v for r in set_.groupBy("w").agg(F.expr("bit_or(shiftleft(1L, s))").alias("v")).collect()}
+    words = set_.groupBy("w").agg(F.expr("bit_or(shiftleft(1L, s))").alias("v"))
+    if n > max_listed:
+        every = keys.sparkSession.range(shape.bits // 64).select(F.col("id").alias("w")).join(words, "w", "left").select(F.struct("w", F.coalesce("v", F.lit(0).cast("long")).alias("v")).alias("x"))
+        array = F.transform(F.array_sort(F.collect_list("x")), lambda x: x["v"]).alias(f"words_{salt}")
+        return Level(salt, shape.bits, hashes, "", cut(every.agg(array)))
+    found = {r.w: r.v for r in words.collect()}
     return Level(salt, shape.bits, hashes, ",".join(str(found.get(w, 0)) for w in range(shape.bits // 64)))
 
 
-def build_cascade(universe: DataFrame, listed: DataFrame, salt: int = 0) -> list[Level]:
+def build_cascade(universe: DataFrame, listed: DataFrame, salt: int = 0, max_listed: int = MAX_LISTED) -> list[Level]:
     """Levels that tell listed keys from all other keys of the universe without error (both have a `key` column).
 
     Level 1 holds the listed keys, level 2 the other keys that level 1 takes for listed, level 3 the
@@ -61,13 +80,11 @@ def build_cascade(universe: DataFrame, listed: DataFrame, salt: int = 0) -> list
     """
     listed = listed.distinct()
     n, total = listed.count(), universe.count()
-    inside, outside, levels = listed, universe.join(F.broadcast(listed), "key", "left_anti"), []
+    inside, outside, levels = listed, universe.join(F.broadcast(listed) if n <= max_listed else listed, "key", "left_anti"), []
     rate = min(0.5, math.sqrt(0.5) * max(n, 1) / max(total, 1))
     while n:
-        if n > MAX_LISTED:
-            raise ValueError(f"{n} keys at level {len(levels) + 1}: more than {MAX_LISTED}")
-        levels.append(build_level(inside, n, rate, salt + len(levels)))
-        wrong = cut(outside.where(levels[-1].has(F.col("key"))))
+        levels.append(build_level(inside, n, rate, salt + len(levels), max_listed))
+        wrong = cut(attach(outside, levels[-1:]).where(levels[-1].has(F.col("key"))).select("key"))
         inside, outside, n, rate = wrong, inside, wrong.count(), 0.5
     return levels
 
@@ -105,7 +122,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "pa
     repeat a key must agree.
 
     Which of a url's keys are rules, and which rules block, is read from two cascades built over all
-    distinct keys of the table. With more than `max_listed` rules they are joined by a shuffle instead.
+    distinct keys of the table. Filters of more than `max_listed` keys are held in tables of one row instead of the plan.
     """
     spark, verdicts = pages.sparkSession, dict(rules)
     if len(verdicts) != len(set(rules)):
@@ -118,17 +135,11 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "pa
     longest = lambda keys: F.array_max(F.transform(keys, lambda k: F.struct(F.length(k), F.length(F.substring_index(k, "/", 1)), k.alias("key")))).getField("key")
     keyed = parts.withColumn("keys", candidates(F.col("host"), F.col("path"), shapes))
     entries = [F.struct(F.lit(k).alias("key"), F.lit(v).alias("verdict")) for k, v in sorted(verdicts.items())] if len(verdicts) <= max_listed else None
-    listed = spark.range(1).select(F.inline(F.array(*entries))) if entries else spark.createDataFrame(sorted(verdicts.items()), "key string, verdict string")
-    if len(verdicts) > max_listed:
-        one = keyed.select(F.explode("keys").alias("key")).distinct().join(listed, "key")
-        distinct = keyed.select("keys").distinct().withColumn("key", F.explode("keys"))
-        best = distinct.join(one, "key").groupBy("keys").agg(longest(F.collect_set("key")).alias("rule"))
-        return keyed.join(best, "keys", "left").join(listed.withColumnRenamed("key", "rule"), "rule", "left").select(
-            id_col, "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    listed = spark.range(1).select(F.inline(F.array(*entries))) if entries else cut(spark.createDataFrame(sorted(verdicts.items()), "key string, verdict string"))
     universe = cut(keyed.select(F.explode("keys").alias("key")).distinct())
-    rule_levels = build_cascade(universe, listed.select("key"))
-    block_levels = build_cascade(listed.select("key"), listed.where("verdict = 'block'").select("key"), 1_000)
+    rule_levels = build_cascade(universe, listed.select("key"), 0, max_listed)
+    block_levels = build_cascade(listed.select("key"), listed.where("verdict = 'block'").select("key"), 1_000, max_listed)
     rule = longest(F.filter("keys", lambda k: in_cascade(k, rule_levels)))
-    return keyed.select(id_col, "host", "path", rule.alias("rule")).withColumn(
-        "verdict", F.when(F.col("rule").isNull(), default).when(in_cascade(F.col("rule"), block_levels), "block").otherwise("allow")
+    return attach(keyed, rule_levels + block_levels).withColumn("rule", rule).select(
+        id_col, "host", "path", "rule", F.when(F.col("rule").isNull(), default).when(in_cascade(F.col("rule"), block_levels), "block").otherwise("allow").alias("verdict")
     )

@@ -244,9 +244,11 @@ def test_url_filter_matches_sql(spark):
 def test_url_cascade_is_exact(spark):
     keys = [f"k{k}" for k in range(3000)]
     universe, listed = spark.createDataFrame([(k,) for k in keys], "key string"), spark.createDataFrame([(k,) for k in keys[::10]], "key string")
-    levels = url_filter.build_cascade(universe, listed)
-    assert len(levels) > 1
-    assert sorted(r.key for r in universe.where(url_filter.in_cascade(F.col("key"), levels)).collect()) == sorted(keys[::10])
+    for most in (url_filter.MAX_LISTED, 10):  # bits in the plan, and in tables of one row
+        levels = url_filter.build_cascade(universe, listed, 0, most)
+        assert len(levels) > 1 and (levels[0].table is None) == (most > 300)
+        found = url_filter.attach(universe, levels).where(url_filter.in_cascade(F.col("key"), levels)).select("key")
+        assert sorted(r.key for r in found.collect()) == sorted(keys[::10])
 
 
 def test_url_edges(spark):
