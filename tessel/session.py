@@ -20,9 +20,13 @@ def materialise(frame: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
+    """The context's checkpoint folder; a cluster without one is refused."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessel-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessel-"))
     return context.getCheckpointDir()
 
 
