@@ -59,21 +59,27 @@ def link_conflicts(linked: DataFrame, linkage: DataFrame, undated_sources: list[
         "conflict_days", F.array_sort(F.array_intersect("observed_days", "email_conflict_days"))).drop("email_conflict_days")
 
 
-def conflict_peers(linked: DataFrame, values: DataFrame, close: Column | None = None) -> DataFrame:
+def conflict_peers(linked: DataFrame, values: DataFrame, alike=None, dated: bool = True) -> DataFrame:
     """For each link in conflict, the other npis of its email on its conflict days, and whether they share a value.
 
-    `linked` has conflict_days, `values` (source, email, npi, vals array). The comparison is a join on (source, email, day), not a
-    collected array, so a hot email is spread over its days. shares: true, false, or null where either side has no value.
+    `linked` has conflict_days and has_conflict_linkage, `values` (source, email, npi, vals array). Links meet by (source, email, day), so that
+    a hot email is spread over its days; links of undated sources (`dated` false) by (source, email). `alike` tells from two arrays
+    whether they agree (equal values by default). shares: true, false, or null where either side has no value.
     """
-    days = linked.select(*KEY, F.explode("conflict_days").alias("d"))
-    peers = days.select(*EMAIL, "d", F.col("npi").alias("peer")).alias("p")
-    pairs = days.join(peers, [*EMAIL, "d"]).where("npi <> peer").groupBy(*KEY, "peer").agg(F.array_sort(F.collect_set("d")).alias("days"))
+    if dated:
+        days = linked.select(*KEY, F.explode("conflict_days").alias("d"))
+        peers = days.select(*EMAIL, "d", F.col("npi").alias("peer"))
+        pairs = days.join(peers, [*EMAIL, "d"]).where("npi <> peer").groupBy(*KEY, "peer").agg(F.array_sort(F.collect_set("d")).alias("days"))
+    else:
+        one = linked.where("has_conflict_linkage").select(*KEY)
+        pairs = one.join(one.select(*EMAIL, F.col("npi").alias("peer")), EMAIL).where("npi <> peer").distinct().withColumn("days", F.array().cast("array<date>"))
     mine = values.select(*KEY, F.col("vals").alias("own"))
     other = values.select(*EMAIL, F.col("npi").alias("peer"), F.col("vals").alias("theirs"))
     both = pairs.join(mine, KEY, "left").join(other, [*EMAIL, "peer"], "left")
-    shared = F.when((F.size("own") > 0) & (F.size("theirs") > 0), F.arrays_overlap("own", "theirs") if close is None else close)
+    shared = F.when((F.size("own") > 0) & (F.size("theirs") > 0), F.arrays_overlap("own", "theirs") if alike is None else alike(F.col("own"), F.col("theirs")))
+    some, open_ = F.count_if("shares"), F.count_if(F.col("shares").isNull())
     return both.withColumn("shares", shared).groupBy(*KEY).agg(
-        F.bool_or("shares").alias("shares"), F.count("*").alias("peers"),
+        F.when(some > 0, True).when(open_ > 0, F.lit(None)).otherwise(False).alias("shares"), F.count("*").alias("peers"),
         F.array_sort(F.collect_list(F.struct("peer", "days", F.array_sort(F.array_intersect("own", "theirs")).alias("shared"), "shares"))).alias("comparisons"))
 
 

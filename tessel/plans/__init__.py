@@ -1 +1,4 @@
-"""See the README for the map of operators."""
+"""Logical inputs, queries and the SQL that checks each."""
+
+from tessel.plans import link_queries  # noqa: F401  (adds its queries)
+from tessel.plans.queries import ORACLE_SQL, QUERIES  # noqa: F401

@@ -177,16 +177,16 @@ def g16_remainder(spark, sf):
     return G.remainder(materialise(_edges(spark, sf)), b.unionByName(c), load(spark, sf, "geo"))
 
 
-@query(with_inputs("activity") + OBS + """, e AS (SELECT 'd' || cast(length(uid1) + cast(substr(uid1, 2) AS int) % 9 AS string) AS a, 'd' || cast(length(uid2) + cast(substr(uid2, 2) AS int) % 9 AS string) AS b, weight, cast(weight AS int) % 5 = 0 AS c FROM often WHERE weight >= 3)
+@query(with_inputs("activity") + OBS + """, e AS (SELECT 'd' || substr(sha256(uid1), 1, 2) AS a, 'd' || substr(sha256(uid2), 1, 2) AS b, weight, cast(weight AS int) % 5 = 0 AS c FROM often WHERE weight >= 3)
 SELECT least(a, b) AS node1, greatest(a, b) AS node2, CASE WHEN a = b THEN 0.00001::double ELSE sum(weight) END AS weight, bool_or(c AND a <> b) AS conflict FROM e GROUP BY least(a, b), greatest(a, b), a = b""")
 def g18_collapse(spark, sf):
     edges = materialise(_edges(spark, sf)).withColumn("conflict", F.pmod(F.col("weight").cast("int"), F.lit(5)) == 0)
     uids = edges.select(F.col("uid1").alias("uid")).union(edges.select("uid2")).distinct()
-    return G.collapse(edges, uids.select("uid", F.concat(F.lit("d"), (F.length("uid") + F.pmod(F.substring("uid", 2, 9).cast("int"), F.lit(9))).cast("string")).alias("node")))
+    return G.collapse(edges, uids.select("uid", F.concat(F.lit("d"), F.substring(F.sha2("uid", 256), 1, 2)).alias("node")))
 
 
 @query(FLOW + """ SELECT uid, CASE WHEN stable THEN 'S_' ELSE '' END || cast(group_id AS string) AS group_id, CASE WHEN household_id = 0 THEN '' ELSE CASE WHEN stable THEN 'S_' ELSE '' END || cast(household_id AS string) END AS household_id, reason
-FROM (SELECT * FROM aligned UNION ALL SELECT * FROM spread1 UNION ALL SELECT * FROM spread2) WHERE group_id <> 0""")
+FROM (SELECT * FROM aligned UNION ALL SELECT * FROM spread1 UNION ALL SELECT * FROM spread2) WHERE group_id <> 0 AND NOT (starts_with(uid, 'A_') AND reason = 'SP') AND NOT regexp_full_match(uid, '[01_!*-]*')""")
 def g20_publish(spark, sf):
     aligned, _, _, one, two = _flow(spark, sf)
     return G.publish([aligned, one, two])
@@ -194,16 +194,15 @@ def g20_publish(spark, sf):
 
 @query(None)
 def g17_clusters(spark, sf):
-    """No SQL: clustering is iterative. The uid is its number; devices are pairs of numbers, and some other pairs are of different users."""
+    """No SQL: clustering is iterative. Uids go by their hashes; some pairs are of one device, some others of different users."""
     edges = G.remainder(materialise(_edges(spark, sf)), load(spark, sf, "claims_c"), load(spark, sf, "geo"))
-    number = lambda c: F.substring(c, 2, 18).cast("long")
-    edges = edges.select("geo", number("uid1").alias("uid1"), number("uid2").alias("uid2"), "weight")
-    same = F.floor(F.col("uid1") / 6) == F.floor(F.col("uid2") / 6)
-    return N.cluster_geos(edges.withColumn("same", same).withColumn("diff", ~same & (F.pmod(F.col("uid1") + F.col("uid2"), F.lit(5)) == 0)))
+    edges = edges.select("geo", T.id_hash(F.col("uid1")).alias("uid1"), T.id_hash(F.col("uid2")).alias("uid2"), "weight")
+    same = F.pmod("uid1", F.lit(4)) == F.pmod("uid2", F.lit(4))
+    return N.cluster_geos(edges.withColumn("same", same).withColumn("diff", ~same & (F.pmod(F.col("uid1").bitwiseXOR(F.col("uid2")), F.lit(5)) == 0)))
 
 
 PUBLISHED = FLOW + """, published AS (SELECT uid, CASE WHEN stable THEN 'S_' ELSE '' END || cast(group_id AS string) AS group_id, CASE WHEN household_id = 0 THEN '' ELSE CASE WHEN stable THEN 'S_' ELSE '' END || cast(household_id AS string) END AS household_id, reason
-FROM (SELECT * FROM aligned UNION ALL SELECT * FROM spread1 UNION ALL SELECT * FROM spread2) WHERE group_id <> 0)"""
+FROM (SELECT * FROM aligned UNION ALL SELECT * FROM spread1 UNION ALL SELECT * FROM spread2) WHERE group_id <> 0 AND NOT (starts_with(uid, 'A_') AND reason = 'SP') AND NOT regexp_full_match(uid, '[01_!*-]*'))"""
 
 
 @query(with_inputs("claims_a", "claims_c") + """, c AS (SELECT x.group_id AS left_id, a.group_id AS right_id, count(*) AS n FROM claims_c x JOIN claims_a a ON a.uid = x.uid GROUP BY ALL),
@@ -245,10 +244,10 @@ def g23_one_way_best(spark, sf):
     return G.one_way_best(b, a)
 
 
-@query(with_inputs("activity") + OBS + """, k AS (SELECT DISTINCT uid FROM seen WHERE day = DATE '2024-01-02')
+@query(with_inputs("activity", "claims_c") + OBS + """, k AS (SELECT DISTINCT uid FROM claims_c)
 SELECT uid1 AS uid, uid2 AS other FROM often WHERE weight >= 3 AND uid1 IN (FROM k) UNION SELECT uid2, uid1 FROM often WHERE weight >= 3 AND uid2 IN (FROM k)""")
 def j10_neighbours(spark, sf):
-    return R.neighbours(load(spark, sf, "activity").where("day = date'2024-01-02'"), _edges(spark, sf))
+    return R.neighbours(load(spark, sf, "claims_c"), _edges(spark, sf))
 
 
 @query(with_inputs("claims_a", "claims_b") + """, x AS (SELECT uid, household_id FROM claims_a), y AS (SELECT uid, household_id FROM claims_b)
@@ -314,7 +313,7 @@ def l06_conflicts(spark, sf):
 
 @query(LINKS + """, v AS (SELECT npi, list(DISTINCT state) AS vals FROM npi_states GROUP BY npi),
 p AS (SELECT DISTINCT a.source, a.email, a.npi, b.npi AS peer FROM lc a JOIN lc b ON a.source = b.source AND a.email = b.email AND a.d = b.d AND a.npi <> b.npi)
-SELECT p.source, p.email, p.npi, count(*) AS peers, bool_or(CASE WHEN x.vals IS NOT NULL AND y.vals IS NOT NULL THEN list_has_any(x.vals, y.vals) END) AS shares
+SELECT p.source, p.email, p.npi, count(*) AS peers, CASE WHEN count(*) FILTER (list_has_any(x.vals, y.vals)) > 0 THEN true WHEN count(*) FILTER (x.vals IS NULL OR y.vals IS NULL) > 0 THEN NULL ELSE false END AS shares
 FROM p LEFT JOIN v x ON p.npi = x.npi LEFT JOIN v y ON p.peer = y.npi GROUP BY ALL""")
 def l10_peer_states(spark, sf):
     linked = _conflicts(spark, sf)
@@ -387,29 +386,19 @@ def f26_identity(spark, sf):
     return load(spark, sf, "registry").select("npi").distinct().select("npi", T.npi_checksum_valid(c).alias("checksum"), T.npi_structure_reason(c).alias("structure"))
 
 
-@query(with_inputs("names") + """, n AS (SELECT id, upper(split_part(name, ' ', 1)) AS f, upper(split_part(name, ' ', 2)) AS s FROM names),
-p AS (SELECT a.id, a.f AS af, a.s AS az, b.f AS bf, b.s AS bz FROM n a JOIN n b ON b.id = a.id + 1)
-SELECT id, af AS first_name, az AS last_name, CASE WHEN az = bz THEN 'exact' WHEN (least(length(az), length(bz)) >= 5 AND levenshtein(az, bz) <= 1) OR (least(length(az), length(bz)) >= 8 AND levenshtein(az, bz) <= 2) THEN 'edit' ELSE 'none' END AS last_kind,
-(least(length(af), length(bf)) >= 3) AND (starts_with(af, bf) OR starts_with(bf, af)) AS prefix_close FROM p""")
-def f10_names(spark, sf):
-    n = load(spark, sf, "names").select("id", T.norm_name(T.full_name_first(F.col("name"))).alias("first_name"), T.norm_name(T.full_name_last(F.col("name"))).alias("last_name"))
-    b = n.select((F.col("id") - 1).alias("id"), F.col("first_name").alias("bf"), F.col("last_name").alias("bz"))
-    return n.join(b, "id").select("id", "first_name", "last_name", T.last_kind(F.col("last_name"), F.col("bz")).alias("last_kind"), T.prefix_close(F.col("first_name"), F.col("bf")).alias("prefix_close"))
-
-
 # --- quality, loader, metrics, statistics ---------------------------------------------------------------------------------------------
 
 
-@query(with_inputs("claims_a", "activity") + """, u AS (SELECT DISTINCT uid FROM activity WHERE day = DATE '2024-01-02'), c AS (SELECT group_id, count(DISTINCT c.uid) AS members, count(DISTINCT u.uid) AS active FROM claims_a c LEFT JOIN u ON c.uid = u.uid GROUP BY ALL)
+@query(with_inputs("claims_a", "activity") + """, u AS (SELECT DISTINCT uid FROM activity), c AS (SELECT group_id, count(DISTINCT c.uid) AS members, count(DISTINCT u.uid) AS active FROM claims_a c LEFT JOIN u ON c.uid = u.uid GROUP BY ALL)
 SELECT members, active, count(*) AS groups FROM c GROUP BY ALL""")
 def v02_coverage(spark, sf):
-    return C.count_combinations(C.group_coverage(load(spark, sf, "claims_a"), load(spark, sf, "activity").where("day = date'2024-01-02'")))
+    return C.count_combinations(C.group_coverage(load(spark, sf, "claims_a"), load(spark, sf, "activity")))
 
 
-@query(with_inputs("claims_a", "activity") + """, u AS (SELECT DISTINCT uid FROM activity WHERE day = DATE '2024-01-02'), c AS (SELECT group_id, count(DISTINCT c.uid) AS members, count(DISTINCT u.uid) AS active FROM claims_a c LEFT JOIN u ON c.uid = u.uid GROUP BY ALL)
+@query(with_inputs("claims_b", "activity") + """, u AS (SELECT DISTINCT uid FROM activity), c AS (SELECT group_id, count(DISTINCT c.uid) AS members, count(DISTINCT u.uid) AS active FROM claims_b c LEFT JOIN u ON c.uid = u.uid GROUP BY ALL)
 SELECT group_id, members, active FROM c WHERE (100.0 * active / members <= 90 * (1 - members / 12.0) OR (100.0 * active / members > 95 AND members < 12)) AND active >= 1 AND members < 10""")
 def v03_eligible(spark, sf):
-    return C.eligible(C.group_coverage(load(spark, sf, "claims_a"), load(spark, sf, "activity").where("day = date'2024-01-02'")), 90, 12, 10)
+    return C.eligible(C.group_coverage(load(spark, sf, "claims_b"), load(spark, sf, "activity")), 90, 12, 10)
 
 
 @query(with_inputs("claims_a") + "SELECT * FROM claims_a WHERE ('0x' || substr(sha256(cast(group_id AS string)), 1, 6))::bigint < 5033164")

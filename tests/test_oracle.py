@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as e
-from tessel.plans.queries import ORACLE_SQL
+from tessel.plans import ORACLE_SQL
 
 SF = "/root/testdata/sf0.01"
 
