@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import operator
 import re
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -25,7 +26,7 @@ SUREST = 1e-3
 #: Content features that a label's model may use; one occurs in at least MIN_ROWS labelled rows, unlike chance
 #: (MIN_Z standard deviations), and changes the odds of the label by a factor of e at least. A source or language with fewer rows counts as other.
 MAX_FEATURES, MIN_ROWS, MIN_Z, MIN_LOG_ODDS = 4_000, 3, 3.5, 1.0
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Measures are cut at these quantiles.
 QUANTILES = (0.01, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9, 0.95, 0.98, 0.99)
 BINS = len(QUANTILES) + 1
@@ -240,10 +241,12 @@ class Classifier:
         self.columns, self.metadata, self.labels = columns, metadata, labels
 
     def rows(self, reader: Reader, texts: list, source: list, lang: list) -> list[Rows]:
-        read = [reader.read(t) for t in texts]
-        sizes = np.array([len(f) for f, _ in read], np.int64)
-        flat = np.fromiter((c for f, _ in read for c in sorted(f)), np.int64, int(sizes.sum()))
-        return [(flat, sizes), self.metadata.rows(np.array([m for _, m in read]).reshape(-1, len(MEASURES)), source, lang)]
+        flat, sizes, measured = array("i"), np.zeros(len(texts), np.int64), np.zeros((len(texts), len(MEASURES)))
+        for k, t in enumerate(texts):
+            found, measured[k] = reader.read(t)
+            flat.extend(sorted(found))
+            sizes[k] = len(found)
+        return [(np.frombuffer(flat, np.int32).astype(np.int64) if len(flat) else np.zeros(0, np.int64), sizes), self.metadata.rows(measured, source, lang)]
 
     def score(self, rows: list[Rows]) -> np.ndarray:
         return np.minimum(*(label.score(rows) for label in self.labels))
