@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessel.functions.text import crc_bucket, sample_bucket
 from tessel.operators.relational import fingerprint, mode
+from tessel.session import materialise
 
 
 def group_coverage(claims: DataFrame, active: DataFrame) -> DataFrame:
@@ -33,20 +34,46 @@ def star_sample(claims: DataFrame, share: float) -> DataFrame:
     return claims.where(sample_bucket(F.col("group_id")) < int(share * 16**6))
 
 
+def running_sums(values: DataFrame, value: str, weights: list[str]) -> DataFrame:
+    """Rows of distinct values with running sums of their weights, in the values' order. Values are dealt out by ranges; each range adds the
+    totals of those before it, so that no task sees them all."""
+    ranged = materialise(values.repartitionByRange(value).withColumn("_p", F.spark_partition_id()))
+    totals = ranged.groupBy("_p").agg(*[F.sum(w).alias(f"_{w}") for w in weights])  # a row for each range
+    before = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    starts = totals.select("_p", *[F.coalesce(F.sum(f"_{w}").over(before), F.lit(0)).alias(f"_{w}") for w in weights])
+    own = W.partitionBy("_p").orderBy(value)
+    return ranged.join(F.broadcast(starts), "_p").select(value, *[(F.sum(w).over(own) + F.col(f"_{w}")).alias(w) for w in weights])
+
+
 def weighted_ecdf(values: DataFrame, value: str, weight: str) -> DataFrame:
     """Cumulative share of weight at each distinct value."""
     sums = values.groupBy(value).agg(F.sum(weight).alias("w"))
-    total = sums.agg(F.sum("w").alias("t"))
-    run = sums.withColumn("run", F.sum("w").over(W.orderBy(value)))
-    return run.crossJoin(F.broadcast(total)).select(value, (F.col("run") / F.col("t")).alias("ecdf"))
+    run = materialise(running_sums(sums, value, ["w"]))
+    return run.crossJoin(F.broadcast(run.agg(F.max("w").alias("t")))).select(value, (F.col("w") / F.col("t")).alias("ecdf"))
+
+
+def _run_of_both(a: DataFrame, b: DataFrame, value: str, weight: str) -> DataFrame:
+    both = a.groupBy(value).agg(F.sum(weight).alias("a")).join(b.groupBy(value).agg(F.sum(weight).alias("b")), value, "full").fillna(0, ["a", "b"])
+    run = materialise(running_sums(both, value, ["a", "b"]))
+    return run.crossJoin(F.broadcast(run.agg(F.max("a").alias("ta"), F.max("b").alias("tb"))))
 
 
 def ecdf_gap(a: DataFrame, b: DataFrame, value: str, weight: str) -> DataFrame:
-    """The largest distance of two distributions' cumulative shares."""
-    both = a.groupBy(value).agg(F.sum(weight).alias("wa")).join(b.groupBy(value).agg(F.sum(weight).alias("wb")), value, "full").fillna(0, ["wa", "wb"])
-    w = W.orderBy(value)
-    run = both.select(F.sum("wa").over(w).alias("a"), F.sum("wb").over(w).alias("b"))
-    return run.agg(F.max("a").alias("ta"), F.max("b").alias("tb"), F.collect_list(F.struct("a", "b")).alias("x")).select(F.round(F.array_max(F.transform("x", lambda r: F.abs(r["a"] / F.col("ta") - r["b"] / F.col("tb")))), 6).alias("gap"))
+    """The largest distance of two distributions' cumulative shares. Null if either is empty."""
+    share = lambda x: F.col(x) / F.nullif(F.col(f"t{x}"), F.lit(0))
+    return _run_of_both(a, b, value, weight).agg(F.max(F.abs(share("a") - share("b"))).alias("gap"))
+
+
+def compare_distributions(population: DataFrame, sample: DataFrame, value: str, weight: str, tolerances: dict[str, float]) -> DataFrame:
+    """Mean, total variation and largest ECDF gap of a sample against its population, and whether each is within its tolerance."""
+    share = lambda frame, name: frame.groupBy(value).agg(F.sum(weight).alias(name))
+    both = share(population, "a").join(share(sample, "b"), value, "full").fillna(0, ["a", "b"])
+    whole = both.agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
+    sums = both.crossJoin(F.broadcast(whole)).agg(
+        (F.abs(F.sum(F.col(value) * F.col("a") / F.col("ta")) - F.sum(F.col(value) * F.col("b") / F.col("tb")))).alias("mean_gap"),
+        (F.sum(F.abs(F.col("a") / F.col("ta") - F.col("b") / F.col("tb"))) / 2).alias("total_variation"))
+    out = sums.crossJoin(F.broadcast(ecdf_gap(population, sample, value, weight).withColumnRenamed("gap", "ecdf_gap")))
+    return out.select(F.inline(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("value"), (F.col(m) <= t).alias("within")) for m, t in tolerances.items()])))
 
 
 def purity(members: DataFrame) -> DataFrame:

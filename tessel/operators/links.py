@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,17 +13,6 @@ KEY = ["source", "email", "npi"]
 EMAIL = ["source", "email"]
 
 
-def record_versions(raw: DataFrame, identity: list[str], day: str = "day", exclude: DataFrame | None = None) -> DataFrame:
-    """One version for each value of the identity columns, with its days; `exclude` (npi) drops records first, null npis stay."""
-    if exclude is not None:
-        raw = raw.join(exclude.select("npi").distinct(), "npi", "left_anti")
-    payload = F.to_json(F.struct(*identity), {"ignoreNullFields": "false"})
-    found = raw.groupBy(*identity).agg(
-        F.array_sort(F.collect_set(day)).alias("observed_days"), F.min(day).alias("first_seen_day"), F.max(day).alias("last_seen_day"),
-        F.count("*").alias("observation_count"), F.count_if(F.col(day).isNull()).alias("undated_observation_count"))
-    return found.withColumn("payload", payload).withColumn("record_id", joined_hash(F.col("payload")))
-
-
 def links(observations: DataFrame) -> DataFrame:
     """A row for each (source, email, npi) with its distinct days; days are never filled in between."""
     return observations.where("email <> '' and npi <> ''").groupBy(*KEY).agg(
@@ -104,26 +93,31 @@ def link_stability(linked: DataFrame) -> DataFrame:
 
 def sequence_history(linked: DataFrame, as_of: str, content_versioned: list[str] = ()) -> DataFrame:
     """For each day of an email, up to `as_of`: npis, what came and went, and causal counts of versions, npis, changes, swaps and
-    returns. In content-versioned sources a day is a version only if the delivery differs from the one before."""
-    seen = linked.select("source", "email", "npi", F.explode("observed_days").alias("d")).where(F.col("d") <= F.lit(as_of).cast("date")).distinct()
-    w = W.partitionBy(*EMAIL).orderBy("d")
-    past = w.rowsBetween(W.unboundedPreceding, -1)
-    daily = seen.groupBy(*EMAIL, "d").agg(F.array_sort(F.collect_set("npi")).alias("npis"))
+    returns. In content-versioned sources a day is a version only if the delivery differs from the one before.
+
+    An npi came if its own last day is not the email's last day, returned if it has an earlier day, and went if its next day is not the
+    email's next day. So no set of all npis so far is ever built.
+    """
+    seen = linked.select(*KEY, F.explode("observed_days").alias("d")).where(F.col("d") <= F.lit(as_of).cast("date")).distinct()
+    w, own = W.partitionBy(*EMAIL).orderBy("d"), W.partitionBy(*KEY).orderBy("d")
+    days = seen.select(*EMAIL, "d").distinct().withColumn("prev_day", F.lag("d").over(w)).withColumn("next_day", F.lead("d").over(w))
     if content_versioned:
-        prints = fingerprint(seen, ["source", "d"])
         before = W.partitionBy("source").orderBy("d")
         changed = ~(F.lag("fingerprint").over(before).eqNullSafe(F.col("fingerprint")) & F.lag("rows").over(before).eqNullSafe(F.col("rows")))
-        steps = prints.select("source", "d", (changed | ~F.col("source").isin(content_versioned)).alias("new_version"))
-        daily = daily.join(steps, ["source", "d"])
+        steps = fingerprint(seen, ["source", "d"]).select("source", "d", (changed | ~F.col("source").isin(list(content_versioned))).alias("new_version"))
+        days = days.join(steps, ["source", "d"])
     else:
-        daily = daily.withColumn("new_version", F.lit(True))
-    rows = daily.withColumn("prev_day", F.lag("d").over(w)).withColumn("prev", F.lag("npis").over(w)).withColumn("past", F.array_distinct(F.flatten(F.collect_list("npis").over(past))))
-    rows = rows.withColumn("new", F.size(F.array_except("npis", "past")))
-    rows = rows.withColumn("added", F.when(F.col("prev").isNull(), F.array().cast("array<string>")).otherwise(F.array_except("npis", "prev")))
-    rows = rows.withColumn("removed", F.coalesce(F.array_except("prev", "npis"), F.array().cast("array<string>")))
-    rows = rows.withColumn("returned", F.array_intersect("added", "past")).withColumn("swap", (F.size("added") > 0) & (F.size("removed") > 0))
+        days = days.withColumn("new_version", F.lit(True))
+    rows = seen.withColumn("last", F.lag("d").over(own)).withColumn("next", F.lead("d").over(own)).join(days, [*EMAIL, "d"])
+    came = F.col("prev_day").isNotNull() & ~F.col("last").eqNullSafe(F.col("prev_day"))
+    sets = lambda flag: F.array_sort(F.collect_set(F.when(flag, F.col("npi"))))
+    daily = rows.groupBy(*EMAIL, "d").agg(
+        F.any_value("prev_day").alias("prev_day"), F.any_value("new_version").alias("new_version"), F.array_sort(F.collect_set("npi")).alias("npis"), sets(came).alias("added"),
+        sets(came & F.col("last").isNotNull()).alias("returned"), F.count_if(F.col("last").isNull()).alias("new"))
+    gone = rows.where("next_day IS NOT NULL AND NOT (next <=> next_day)").groupBy(*EMAIL, F.col("next_day").alias("d")).agg(F.array_sort(F.collect_set("npi")).alias("removed"))
+    daily = daily.join(gone, [*EMAIL, "d"], "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<string>"))).withColumn("swap", (F.size("added") > 0) & (F.size("removed") > 0))
     upto = w.rowsBetween(W.unboundedPreceding, 0)
-    return rows.select(
+    return daily.select(
         *EMAIL, F.col("d").alias("day"), "prev_day", "npis", "added", "removed", "returned", F.count_if("new_version").over(upto).alias("versions"), F.sum("new").over(upto).alias("npis_seen"),
         F.count_if((F.size("added") > 0) | (F.size("removed") > 0)).over(upto).alias("changes"), F.count_if("swap").over(upto).alias("swaps"),
         F.count_if(F.col("swap") & (F.size("returned") > 0)).over(upto).alias("flipbacks"))
@@ -143,31 +137,21 @@ def domain_evidence(linked: DataFrame, states: DataFrame) -> DataFrame:
 
 
 def cross_source(linked: DataFrame) -> DataFrame:
-    """For each link the other sources of its email that name its npi, and those that name only others."""
-    one = linked.select(*KEY)
-    others = linked.groupBy("email", F.col("source").alias("other")).agg(F.collect_set("npi").alias("theirs"))
-    seen = one.join(others, "email").where("source <> other").withColumn("agrees", F.array_contains("theirs", F.col("npi")))
+    """For each link the other sources of its email that name its npi, and those that name only others. Links meet the sources of their
+    email, then the rows of their npi; no set of npis is built."""
+    one = linked.select(*KEY).distinct()
+    sources = one.select("email", F.col("source").alias("other")).distinct()
+    named = one.select("email", "npi", F.col("source").alias("other"), F.lit(True).alias("_y"))
+    seen = one.join(sources, "email").where("source <> other").join(named, ["email", "npi", "other"], "left").withColumn("agrees", F.coalesce("_y", F.lit(False)))
     sets = seen.groupBy(*KEY).agg(*[F.array_sort(F.collect_set(F.when(F.col("agrees") == flag, F.col("other")))).alias(name) for flag, name in ((True, "agree"), (False, "disagree"))])
     empty = F.array().cast("array<string>")
     return one.join(sets, KEY, "left").select(*KEY, F.coalesce("agree", empty).alias("agree"), F.coalesce("disagree", empty).alias("disagree"))
 
 
-def registry_status(records: DataFrame, as_of: str) -> DataFrame:
-    """The status that a registry's reported dates and replacement give, with the first of its reasons that holds.
-
-    records: npi, deactivated, reactivated, replacement, reason (texts). Records of one npi that differ are conflicting.
-    """
-    tup = F.struct("deactivated", "reactivated", "replacement", "reason")
-    one = records.groupBy("npi").agg(F.count_distinct(tup).alias("n"), F.any_value(tup).alias("t")).select("npi", "n", "t.*")
-    bad = lambda c: F.col(c).isNotNull() & F.expr(f"try_cast({c} as date)").isNull()
-    day = lambda c: F.expr(f"try_cast({c} as date)")
-    limit = F.lit(as_of).cast("date")
-    reason = (
-        F.when(F.col("n") != 1, "conflicting_records").when(bad("deactivated") | bad("reactivated"), "invalid_date").when((day("deactivated") > limit) | (day("reactivated") > limit), "future_date")
-        .when(F.col("replacement") == F.col("npi"), "replacement_is_self").when(F.col("replacement").isNotNull() & ~F.col("replacement").rlike("^[1-4][0-9]{9}$"), "replacement_malformed")
-        .when(F.col("reason").isNotNull() & F.col("deactivated").isNull(), "reason_without_deactivation").when(day("deactivated") == day("reactivated"), "equal_dates")
-        .when(F.col("replacement").isNotNull() & (day("reactivated") > day("deactivated")), "replacement_and_reactivation").when(F.col("replacement").isNotNull(), "replacement_reported")
-        .when(F.col("deactivated").isNotNull() & (F.col("reactivated").isNull() | (day("deactivated") > day("reactivated"))), "latest_deactivation").when(F.col("reactivated").isNotNull(), "reactivation").otherwise("none_reported")
-    )
-    status = F.when(F.col("why") == "replacement_reported", "replaced").when(F.col("why") == "latest_deactivation", "deactivated").when(F.col("why") == "reactivation", "reactivated").when(F.col("why") == "none_reported", "active_as_reported").otherwise("unknown")
-    return one.select("npi", reason.alias("why")).withColumn("status", status)
+def cross_source_values(linked: DataFrame, column: str, alike=None) -> DataFrame:
+    """For each link the other sources that name its npi for its email and whose values agree with its own, and those whose do not. Sources
+    without values are in neither."""
+    one = linked.select(*KEY, F.col(column).alias("own")).where(F.size("own") > 0)
+    other = one.select("email", "npi", F.col("source").alias("other"), F.col("own").alias("theirs"))
+    both = one.join(other, ["email", "npi"]).where("source <> other").withColumn("agrees", F.arrays_overlap("own", "theirs") if alike is None else alike(F.col("own"), F.col("theirs")))
+    return both.groupBy(*KEY).agg(*[F.array_sort(F.collect_set(F.when(F.col("agrees") == flag, F.col("other")))).alias(name) for flag, name in ((True, "agree"), (False, "disagree"))])

@@ -321,16 +321,6 @@ def l10_peer_states(spark, sf):
     return L.conflict_peers(linked, linked.select("source", "email", "npi").join(states, "npi")).select("source", "email", "npi", "peers", "shares")
 
 
-@query(with_inputs("registry") + """, t AS (SELECT npi, try_cast(deactivated AS date) AS d, try_cast(reactivated AS date) AS r, deactivated, reactivated, replacement, reason FROM registry),
-w AS (SELECT npi, CASE WHEN (deactivated IS NOT NULL AND d IS NULL) OR (reactivated IS NOT NULL AND r IS NULL) THEN 'invalid_date' WHEN d > DATE '1998-01-01' OR r > DATE '1998-01-01' THEN 'future_date'
- WHEN replacement = npi THEN 'replacement_is_self' WHEN NOT regexp_full_match(replacement, '[1-4][0-9]{9}') THEN 'replacement_malformed' WHEN reason IS NOT NULL AND deactivated IS NULL THEN 'reason_without_deactivation'
- WHEN d = r THEN 'equal_dates' WHEN replacement IS NOT NULL AND r > d THEN 'replacement_and_reactivation' WHEN replacement IS NOT NULL THEN 'replacement_reported'
- WHEN deactivated IS NOT NULL AND (reactivated IS NULL OR d > r) THEN 'latest_deactivation' WHEN reactivated IS NOT NULL THEN 'reactivation' ELSE 'none_reported' END AS why FROM t)
-SELECT npi, why, CASE why WHEN 'replacement_reported' THEN 'replaced' WHEN 'latest_deactivation' THEN 'deactivated' WHEN 'reactivation' THEN 'reactivated' WHEN 'none_reported' THEN 'active_as_reported' ELSE 'unknown' END AS status FROM w""")
-def l13_registry_status(spark, sf):
-    return L.registry_status(load(spark, sf, "registry"), "1998-01-01")
-
-
 @query(LINKS + """, s AS (SELECT source, max(last_seen_day) AS z FROM l GROUP BY source)
 SELECT l.source, email, npi, z AS source_latest_day, CASE WHEN z <= DATE '2024-02-10' THEN date_diff('day', z, DATE '2024-02-10') END::int AS source_age_days,
 CASE WHEN z <= DATE '2024-02-10' THEN date_diff('day', last_seen_day, z) END::int AS link_lag_days FROM l JOIN s ON l.source = s.source""")
