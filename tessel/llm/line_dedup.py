@@ -136,8 +136,12 @@ def recurring_lines(docs: DataFrame, text_col: str = "text", min_tokens: int = M
 
         def settle():
             """The line read last, with its texts, goes to its template."""
+            nonlocal own
             sig, line, of = last
-            number = own.add(line)
+            if own is None:
+                tokens = line.split(b" ")
+                own = Leaf(len(tokens), similarity)
+            number = own.add(line.split(b" "))
             if number == len(texts):
                 texts.append(set())
             if len(texts[number]) < need:
@@ -146,6 +150,10 @@ def recurring_lines(docs: DataFrame, text_col: str = "text", min_tokens: int = M
             numbers.append(number)
 
         def close():
+            if own is None:  # one line alone is its own template
+                if len(last[2]) >= need:
+                    found.append((last[0], last[1].decode("utf-8", "replace")))
+                return
             settle()
             found.extend((sig, b" ".join(own.template(k)).decode("utf-8", "replace")) for sig, k in zip(sigs, numbers) if len(texts[k]) >= need)
 
@@ -157,11 +165,11 @@ def recurring_lines(docs: DataFrame, text_col: str = "text", min_tokens: int = M
                 if x != leaf:
                     if last:
                         close()
-                    tokens = line.split(b" ")
-                    leaf, own, need, sigs, numbers, texts, last = x, Leaf(len(tokens), similarity), needed(tokens), [], [], [], (sig, tokens, [doc])
+                    leaf, own, need, last = x, None, needed(line.split(b" ")), (sig, line, [doc])
+                    sigs, numbers, texts = [], [], []
                 elif last[0] != sig:
                     settle()
-                    last = sig, line.split(b" "), [doc]
+                    last = sig, line, [doc]
                 elif len(last[2]) < need and last[2][-1] != doc:  # sorted by text
                     last[2].append(doc)
                 if len(found) >= 10_000:
