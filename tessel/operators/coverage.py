@@ -139,3 +139,47 @@ def stage_metrics(staged: DataFrame) -> DataFrame:
 def graph_size(edges: DataFrame) -> DataFrame:
     """M06"""
     return edges.select(F.explode(F.array("uid1", "uid2")).alias("uid"), F.lit(1).alias("x")).agg(F.countDistinct("uid").alias("uids"), F.expr("count(*) div 2").alias("relationships"))
+
+
+def source_counts(claims: dict[str, DataFrame]) -> DataFrame:
+    """Groups, uids and rows of each source, exact."""
+    out = None
+    for name, frame in claims.items():
+        one = frame.agg(F.countDistinct("group_id").alias("group_ids"), F.countDistinct("uid").alias("uids"), F.count("*").alias("rows")).select(F.lit(name).alias("source"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def stage_publication(staged: DataFrame, final: DataFrame) -> DataFrame:
+    """Of each stage's assignments how many (by uid and published group) are in the final result; by union and grouping. Stages overlap,
+    so that they do not add up to the final total. staged: stage, uid, group_id, stable; final: uid, group_id as published."""
+    named = F.concat(F.when(F.col("stable"), "S_").otherwise(""), F.col("group_id").cast("string"))
+    rows = staged.select("uid", named.alias("group_id"), "stage", F.lit(False).alias("published")).unionByName(final.select("uid", "group_id", F.lit(None).cast("string").alias("stage"), F.lit(True).alias("published")))
+    per = rows.groupBy("uid", "group_id").agg(F.collect_set("stage").alias("stages"), F.bool_or("published").alias("published"))
+    return per.select("group_id", F.explode("stages").alias("stage"), "published").groupBy("stage", "published").agg(F.countDistinct("group_id").alias("group_ids"), F.count("*").alias("assignments"))
+
+
+def flow_table(metrics: DataFrame, order: list[str]) -> DataFrame:
+    """Checkpoints (checkpoint, group_ids, rows) in their order, with the change from the one before and the share of the first that is left."""
+    known = F.array(*map(F.lit, order))
+    rows = metrics.withColumn("position", F.array_position(known, F.col("checkpoint"))).where("position > 0")
+    w = W.orderBy("position")  # a row for each checkpoint
+    first = F.first("group_ids").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    return rows.select("checkpoint", "group_ids", "rows", (F.col("group_ids") - F.lag("group_ids").over(w)).alias("change"), (F.col("group_ids") / F.nullif(first, F.lit(0))).alias("retained"))
+
+
+def day_audit(rows: DataFrame) -> DataFrame:
+    """Rows, nulls and fingerprint of each day of (day, uid, state)."""
+    counts = rows.groupBy("day").agg(F.count("*").alias("rows"), F.count_if(F.col("uid").isNull()).alias("null_uids"), F.count_if(F.col("state").isNull()).alias("null_states"))
+    return counts.join(fingerprint(rows.select("day", "uid", "state"), ["day"]).drop("rows"), "day")
+
+
+def audit_manifest(source: DataFrame, target: DataFrame) -> DataFrame:
+    """Whether every day of either side is on both with equal counts and fingerprints."""
+    a, b = day_audit(source), day_audit(target)
+    both = a.select("day", *[F.col(c).alias(f"a_{c}") for c in a.columns if c != "day"]).join(b.select("day", *[F.col(c).alias(f"b_{c}") for c in b.columns if c != "day"]), "day", "full")
+    same = F.lit(True)
+    for c in a.columns:
+        if c != "day":
+            same = same & F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}"))
+    return both.select("day", F.col("a_rows").alias("source_rows"), F.col("b_rows").alias("target_rows"), same.alias("verified"))

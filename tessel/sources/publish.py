@@ -17,22 +17,37 @@ def _fs(spark: SparkSession, path: str):
 
 
 def publish_version(frame: DataFrame, path: str, partition_by: list[str] = ()) -> dict:
-    """Write an attempt folder, check what it holds against the frame's signature, then add it to the manifest. Earlier versions stay."""
+    """Write an attempt, compare what it holds with the frame, then commit it by renaming its manifest into place. Earlier versions stay.
+
+    The frame is read twice, so it must give the same rows both times (a stored table, or a plan over one). Of two writers at once one gets the
+    version's number and the other the next one; an attempt that differs or is not committed is never read.
+    """
     spark, version = frame.sparkSession, uuid.uuid4().hex
     target = f"{path}/v-{version}"
     frame.write.partitionBy(*partition_by).parquet(target) if partition_by else frame.write.parquet(target)
+    want = fingerprint(frame).first()
     stored = fingerprint(spark.read.schema(frame.schema).parquet(target).select(frame.columns)).first()
-    entry = {"version": version, "rows": stored["rows"], "fingerprint": str(stored["fingerprint"]), "schema": frame.schema.json(), "number": len(versions(spark, path))}
-    spark.createDataFrame([(json.dumps(entry),)], "value string").coalesce(1).write.mode("append").text(f"{path}/manifest")
-    return entry
+    if stored != want:
+        raise ValueError(f"{target} holds {stored['rows']} rows, the frame has {want['rows']}; or they differ")
+    entry = {"version": version, "rows": stored["rows"], "fingerprint": str(stored["fingerprint"]), "schema": frame.schema.json()}
+    draft, fs = _fs(spark, f"{path}/draft-{version}")
+    out = fs.create(draft)
+    out.write(bytearray(json.dumps(entry).encode()))
+    out.close()
+    fs.mkdirs(_fs(spark, f"{path}/manifest")[0])
+    number = len(versions(spark, path))
+    while fs.exists(_fs(spark, f"{path}/manifest/{number:08d}.json")[0]) or not fs.rename(draft, _fs(spark, f"{path}/manifest/{number:08d}.json")[0]):
+        number += 1
+    return entry | {"number": number}
 
 
 def versions(spark: SparkSession, path: str) -> list[dict]:
     """Manifest entries, oldest first."""
     target, fs = _fs(spark, f"{path}/manifest")
-    if not fs.exists(target):
+    if not fs.exists(target) or not fs.listStatus(target):
         return []
-    return sorted((json.loads(r.value) for r in spark.read.text(f"{path}/manifest").collect()), key=lambda e: e["number"])
+    rows = spark.read.text(f"{path}/manifest").select("value", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file")).collect()
+    return sorted((json.loads(r.value) | {"number": int(r.file.split(".")[0])} for r in rows), key=lambda e: e["number"])
 
 
 def read_version(spark: SparkSession, path: str, version: str | None = None) -> DataFrame:
@@ -63,6 +78,9 @@ def load_buckets(frame: DataFrame, path: str, bucket: str = "bucket") -> dict[st
     missing = sorted(set(want) - set(have))
     if missing:
         replace_partitions(frame.where(F.col(bucket).isin(missing)), path, [bucket])
+    stored = {r[bucket]: (r["rows"], r["fingerprint"]) for r in fingerprint(spark.read.schema(frame.schema).parquet(path).select(frame.columns), [bucket]).collect()} if want else {}
+    if any(stored.get(b) != s for b, s in want.items()):
+        raise ValueError("what was stored differs from the frame")
     return {"loaded": missing, "skipped": sorted(set(want) & set(have))}
 
 
