@@ -322,3 +322,8 @@ def delimited(v: Column, mark: str = "|") -> Column:
 def uid_valid(v: Column) -> Column:
     """P05"""
     return v.rlike(r"^[A-Za-z0-9_!*-]{11,512}$") & ~v.rlike(r"^[-01_!*]*$")
+
+
+def shown_count(n: Column) -> Column:
+    """a count for display: thousands and millions with one decimal."""
+    return F.when(n >= 1_000_000, F.concat(F.round(n / 1e6, 1).cast("string"), F.lit("M"))).when(n >= 1_000, F.concat(F.round(n / 1e3, 1).cast("string"), F.lit("K"))).otherwise(n.cast("string"))

@@ -74,3 +74,21 @@ def members_by_label(frame: DataFrame, label: str, member: str) -> DataFrame:
     """A clustering without its labels: each member with the sorted members of its group."""
     groups = frame.groupBy(label).agg(F.array_join(F.array_sort(F.collect_set(member)), "|").alias("members"))
     return frame.select(label, member).distinct().join(groups, label).select(member, "members")
+
+
+def compare_clusterings(left: DataFrame, right: DataFrame, label: str = "group_id", member: str = "uid") -> DataFrame:
+    """How many rows differ, as they are (strict), and with labels replaced by the groups' members (structural, which no renaming changes)."""
+
+    def counted(kind: str, difference: DataFrame) -> DataFrame:
+        up, down = F.sum(F.greatest("delta", F.lit(0))), F.sum(F.greatest(-F.col("delta"), F.lit(0)))
+        return difference.agg(F.count("*").alias("differing"), F.coalesce(up, F.lit(0)).alias("left_only"), F.coalesce(down, F.lit(0)).alias("right_only")).select(F.lit(kind).alias("kind"), "*")
+
+    named = [f.select(member, label) for f in (left, right)]
+    sets = [members_by_label(f, label, member).distinct() for f in named]
+    return counted("strict", multiset_difference(*named)).unionAll(counted("structural", multiset_difference(*sets)))
+
+
+def ranked_top(frame: DataFrame, order: list[Column], value: str, k: int) -> DataFrame:
+    """The first k rows in an order, with their rank by a value. The rows are cut before they are ranked."""
+    top = frame.orderBy(*order).limit(k)
+    return top.withColumn("r", F.rank().over(W.orderBy(F.desc(value))))

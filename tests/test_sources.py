@@ -2,7 +2,7 @@
 
 import glob
 import os
-import random
+import uuid
 from datetime import datetime
 
 import pytest
@@ -27,7 +27,7 @@ def test_versions_stay_and_are_verified(spark, frame, tmp_path, monkeypatch):
     with pytest.raises(LookupError):
         P.read_version(spark, path, "none")
     with pytest.raises(ValueError):  # rows that are not the same when they are read again
-        P.publish_version(frame.withColumn("x", F.udf(random.random, "double").asNondeterministic()()), path)
+        P.publish_version(frame.withColumn("x", F.udf(lambda: uuid.uuid4().hex).asNondeterministic()()), path)
     assert len(P.versions(spark, path)) == 2 and P.read_version(spark, path).count() == 3  # the attempt is not committed
     monkeypatch.setattr(P, "versions", lambda *_: [])  # a writer that has not seen the others
     assert P.publish_version(frame, path)["number"] == 2
