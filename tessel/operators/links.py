@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessel.functions.text import email_domain, joined_hash
-from tessel.operators.relational import fingerprint, mode
+from tessel.functions.text import email_domain, email_domain_class, joined_hash
+from tessel.operators.relational import fingerprint, mode, union_all
+from tessel.session import materialise
 
 KEY = ["source", "email", "npi"]
 EMAIL = ["source", "email"]
@@ -155,3 +156,48 @@ def cross_source_values(linked: DataFrame, column: str, alike=None) -> DataFrame
     other = one.select("email", "npi", F.col("source").alias("other"), F.col("own").alias("theirs"))
     both = one.join(other, ["email", "npi"]).where("source <> other").withColumn("agrees", F.arrays_overlap("own", "theirs") if alike is None else alike(F.col("own"), F.col("theirs")))
     return both.groupBy(*KEY).agg(*[F.array_sort(F.collect_set(F.when(F.col("agrees") == flag, F.col("other")))).alias(name) for flag, name in ((True, "agree"), (False, "disagree"))])
+
+
+def domain_records(linked: DataFrame) -> DataFrame:
+    """L22 by source: e-mails and npis of each domain; for domains that are no free mail, npis with a state and a facility, how many states, the
+    share of the most frequent state, and the most frequent facility (the greatest of equal ones) with its share.
+
+    linked: the key, facility_primary_state and facility_npi_values (by npi). Free domains carry counts only.
+    """
+    kind = email_domain_class(F.col("email"))
+    d = linked.select(*KEY, email_domain(F.col("email")).alias("domain"), kind.alias("domain_class"), "facility_primary_state", "facility_npi_values").where("domain IS NOT NULL")
+    by = ["source", "domain"]
+    counts = d.groupBy(*by).agg(F.max("domain_class").alias("domain_class"), F.countDistinct("email").alias("domain_email_count"), F.countDistinct("npi").alias("domain_npi_count"))
+    npis = d.where("domain_class NOT IN ('free', 'unknown')").groupBy(*by, "npi").agg(F.any_value("facility_primary_state").alias("state"), F.any_value("facility_npi_values").alias("facilities"))
+    per_state = npis.where("state IS NOT NULL").groupBy(*by, "state").agg(F.count("*").alias("n"))
+    states = per_state.groupBy(*by).agg(F.sum("n").alias("npis_with_state"), F.count("*").alias("state_count"), (F.max("n") / F.sum("n")).alias("top_state_share"))
+    per_facility = npis.select(*by, F.explode("facilities").alias("f")).groupBy(*by, "f").agg(F.count("*").alias("n"))
+    top = per_facility.groupBy(*by).agg(F.max_by("f", F.struct("n", "f")).alias("top_facility_npi"), F.max("n").alias("_most"))
+    held = npis.where(F.size("facilities") > 0).groupBy(*by).agg(F.count("*").alias("npis_with_facility"))
+    out = counts.join(states, by, "left").join(held, by, "left").join(top, by, "left")
+    return out.withColumn("top_facility_share", F.col("_most") / F.col("npis_with_facility")).drop("_most")
+
+
+def enrich(base: DataFrame, steps: list[tuple[str, DataFrame]], store_after: tuple[str, ...] = ()) -> DataFrame:
+    """Links with all evidence, joined in a fixed order by the link (or by whatever columns of the key a step has). A stored step cuts
+    the plan there. No step may make or lose a link."""
+    out = base
+    for name, frame in steps:
+        out = out.join(frame, [c for c in KEY if c in frame.columns], "left")
+        if name in store_after:
+            out = materialise(out)
+    return out
+
+
+def core_union(parts: list[DataFrame]) -> DataFrame:
+    """Links of all feeds; columns and types must be the same."""
+    kinds = {tuple(sorted(p.dtypes)) for p in parts}
+    if len(kinds) != 1:
+        raise TypeError(f"schemas differ: {sorted(kinds)}")
+    return union_all(parts)
+
+
+def lookup(published: DataFrame, email: str, columns: list[str]) -> DataFrame:
+    """The rows of one e-mail, newest first within source and npi."""
+    hit = published.where(F.lower(F.trim("email")) == F.lower(F.trim(F.lit(email))))
+    return hit.select(columns).orderBy("source", "npi", F.desc_nulls_last("last_seen_day"), "link_id")

@@ -323,7 +323,11 @@ e AS (SELECT l.*, t % 10 = 0 AS ok, coalesce(reference_rows, 0) AS reference_row
 SELECT source, email, npi, regexp_full_match(npi, '[1-4][0-9]{9}') AS format_valid, ok AS checksum_valid, regexp_full_match(npi, '[1-4][0-9]{9}') AND ok AS structure_valid, CASE WHEN NOT ok THEN 'checksum_failure' ELSE 'valid' END AS structure_reason,
 CASE WHEN entity_reason <> 'registry_consensus' THEN 'unknown' WHEN code = '1' THEN 'individual' ELSE 'organization' END AS entity_type, entity_reason, reference_rows, variant_count FROM e""")
 def l18_identity(spark, sf):
-    return X.npi_identity(load(spark, sf, "observations").select(*L.KEY).distinct(), load(spark, sf, "registry")).drop("evidence")
+    return l18_identity_records(spark, sf).drop("evidence")
+
+
+def l18_identity_records(spark, sf):
+    return X.npi_identity(load(spark, sf, "observations").select(*L.KEY).distinct(), load(spark, sf, "registry"))
 
 
 LABELS = LINKS.replace(with_inputs("observations", "npi_states"), with_inputs("observations", "npi_states"), 1) + f""", meta AS (SELECT npi, day AS d, list_distinct(list(sl) FILTER (sl IS NOT NULL)) AS sp, list_distinct(list(pl) FILTER (pl IS NOT NULL)) AS pr FROM (SELECT npi, day, {LABEL_SQL("specialty")} AS sl, {LABEL_SQL("profession")} AS pl FROM observations WHERE day IS NOT NULL) GROUP BY ALL),

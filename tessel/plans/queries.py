@@ -517,12 +517,3 @@ def q21_stability(spark, sf):
 SELECT o.source, o.other, count(b.npi) AS agree, count(*) - count(b.npi) AS disagree FROM o LEFT JOIN l b ON b.source = o.other AND b.email = o.email AND b.npi = o.npi GROUP BY ALL""")
 def q29_source_matrix(spark, sf):
     return S.source_matrix(L.cross_source(_links(spark, sf)))
-
-
-@query("SELECT 'multiplicity' AS invariant, 0::bigint AS violations UNION ALL SELECT 'reassignment', 0 UNION ALL SELECT 'stability', 0")
-def i00_invariants(spark, sf):
-    """How many rows break each rule."""
-    linked, conflicts = _links(spark, sf), _conflicts(spark, sf)
-    wrong = {"multiplicity": S.wrong_multiplicity(linked, L.email_multiplicity(linked)), "reassignment": S.wrong_reassignment(load(spark, sf, "observations"), L.email_linkage(linked)),
-        "stability": S.wrong_stability(L.link_stability(conflicts))}
-    return R.union_all([f.agg(F.count("*").alias("violations")).select(F.lit(n).alias("invariant"), "violations") for n, f in wrong.items()])
