@@ -48,6 +48,16 @@ def user_agents(activity: DataFrame) -> DataFrame:
     return activity.select("ua").where("ua IS NOT NULL").distinct().withColumn("device", parse_ua(F.col("ua")))
 
 
+def kept_activity(activity: DataFrame, countries: list[str], excluded: list[str]) -> DataFrame:
+    """Activity of some countries, without some industry codes; rows without a code stay."""
+    return activity.where(F.col("country").isin(countries) & (F.col("industry").isNull() | ~F.col("industry").isin(excluded)))
+
+
+def settled(activity: DataFrame, now: str, lag: str = "4 hours", ts: str = "ts") -> DataFrame:
+    """ST4: rows of hours that ended at least `lag` before `now`; later ones are left to the next run, as the stream's watermark leaves them."""
+    return activity.where(F.date_trunc("hour", ts) + F.expr("interval 1 hour") <= F.lit(now).cast("timestamp_ntz") - F.expr(f"interval {lag}"))
+
+
 def geo_observations(activity: DataFrame) -> DataFrame:
     """Distinct (day, hour, uid, country, postal) without blanks."""
     return activity.where("trim(country) <> '' AND trim(postal) <> ''").select("day", "hour", "uid", "country", "postal").distinct()
@@ -127,3 +137,24 @@ def group_metrics(evidence: DataFrame, edges: DataFrame) -> DataFrame:
         F.countDistinct("other").alias("n_neighbours"), F.sum("weight").alias("sum_weight"), F.countDistinct("uid").alias("n_uids_in_graph"),
         F.countDistinct(F.when(F.col("_p"), F.col("uid"))).alias("n_uids_with_peer"))
     return known.join(met, "group_id", "left").fillna(0, ["n_neighbours", "sum_weight", "n_uids_in_graph", "n_uids_with_peer"])
+
+
+def uids_of_hashes(clusters: DataFrame, uids: DataFrame, hash_column: str = "uid_hash") -> DataFrame:
+    """Clusters of hashed uids with the uids themselves. Distinct rows of either side meet by hash; where uids share a hash, each has a row."""
+    return clusters.distinct().join(uids.select(hash_column, "uid").distinct(), hash_column)
+
+
+def zipped(frame: DataFrame, measures: list[str]) -> DataFrame:
+    """One row (measure, value) for each of several columns: two arrays, exploded side by side."""
+    rest = [c for c in frame.columns if c not in measures]
+    pairs = F.arrays_zip(F.array(*map(F.lit, measures)).alias("measure"), F.array(*[F.col(m).cast("double") for m in measures]).alias("value"))
+    return frame.select(*rest, F.inline(pairs)).toDF(*rest, "measure", "value")
+
+
+def funnel(coverage: DataFrame, steps: dict[str, str]) -> DataFrame:
+    """Groups, members and active members left after each of several rules, all of them in one scan; each rule also asks those before it."""
+    passed, sums = F.lit(True), []
+    for name, rule in steps.items():
+        passed = passed & F.coalesce(F.expr(rule), F.lit(False))
+        sums.append(F.struct(F.lit(name).alias("step"), F.count_if(passed).alias("groups"), F.coalesce(F.sum(F.when(passed, F.col("members"))), F.lit(0)).alias("members"), F.coalesce(F.sum(F.when(passed, F.col("active"))), F.lit(0)).alias("active")))
+    return coverage.agg(F.array(*sums).alias("s")).select(F.inline("s"))

@@ -16,6 +16,7 @@ from tessel.plans.link_queries import AS_OF, LOCATION, WINDOW, _location_inputs,
 from tessel.plans.queries import FLOW, JOB2, OBS, PUBLISHED, _aligned, _claims, _edges, _flow, _job1, g20_publish, joined, query
 from tessel.session import materialise
 from tessel.sources import catalog as K
+from tessel.streaming.hourly import hourly_counts
 
 AGENTS = [
     "Mozilla/5.0 (iPhone; CPU iPhone OS 17_1 like Mac OS X) Version/17.1 Mobile Safari/604.1", "Mozilla/5.0 (Windows NT 10.0; Win64) Chrome/120.0 Safari/537.36", "Mozilla/5.0 (Windows NT 10.0; rv) Gecko Firefox/121.0",
@@ -246,3 +247,67 @@ def u04_in_both(spark, sf):
 @query(FLOW + " SELECT CASE WHEN n >= 1000000 THEN round(n / 1e6, 1) || 'M' WHEN n >= 1000 THEN round(n / 1e3, 1) || 'K' ELSE cast(n AS string) END AS shown, reason FROM (SELECT reason, count(*) AS n FROM aligned GROUP BY reason)")
 def f50_shown_counts(spark, sf):
     return _aligned(spark, sf).groupBy("reason").agg(F.count("*").alias("n")).select(T.shown_count(F.col("n")).alias("shown"), "reason")
+
+
+@query(with_inputs("activity") + " SELECT uid, key, day, hour, 'C' || cast(hour % 7 AS string) AS country, CASE WHEN hour % 3 > 0 THEN 'I' || cast(hour % 5 AS string) END AS industry FROM activity WHERE hour % 7 < 6 AND (hour % 3 = 0 OR hour % 5 NOT IN (1, 3))")
+def p06_kept_activity(spark, sf):
+    hour = F.col("hour")
+    rows = load(spark, sf, "activity").withColumns({"country": F.concat(F.lit("C"), (hour % 7).cast("string")), "industry": F.when(hour % 3 > 0, F.concat(F.lit("I"), (hour % 5).cast("string")))})
+    return V.kept_activity(rows, [f"C{k}" for k in range(6)], ["I1", "I3"])
+
+
+@query("SELECT event_id, ts FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= TIMESTAMP '2024-01-30 22:10:00' - INTERVAL 4 HOUR")
+def st4_settled(spark, sf):
+    return V.settled(spark.read.parquet(f"{sf}/events.parquet").select("event_id", "ts"), "2024-01-30 22:10:00")
+
+
+@query("SELECT date_trunc('hour', ts) AS hour, event_type AS key, count(DISTINCT user_id) AS uids, count(*) AS rows FROM events GROUP BY ALL")
+def st2_hourly(spark, sf):
+    """The stream's rule as a batch: tumbling hours."""
+    rows = spark.read.parquet(f"{sf}/events.parquet").select("ts", F.col("event_type").alias("key"), F.col("user_id").cast("string").alias("uid"))
+    out = hourly_counts(rows)
+    return out.select(F.col("window.start").alias("hour"), "key", F.col("uids").cast("long").alias("uids"), "rows")
+
+
+@query(with_inputs("claims_b") + """, r AS (SELECT uid, substr(sha256(uid), 1, 2) AS device_id, group_id, cast(floor(group_id / 3.0) AS bigint) AS household_id FROM claims_b), d AS (SELECT group_id, count(DISTINCT device_id) AS d, count(DISTINCT uid) AS u FROM r GROUP BY ALL), h AS (SELECT household_id, count(DISTINCT group_id) AS g FROM r GROUP BY ALL)
+SELECT r.uid, r.device_id, CASE WHEN d = 1 AND u = 1 THEN 0 ELSE r.group_id END AS group_id, CASE WHEN g = 1 THEN 0 ELSE r.household_id END AS household_id FROM r JOIN d ON d.group_id = r.group_id JOIN h ON h.household_id = r.household_id""")
+def g19_sentinels(spark, sf):
+    rows = load(spark, sf, "claims_b").select("uid", F.substring(F.sha2("uid", 256), 1, 2).alias("device_id"), "group_id", F.floor(F.col("group_id") / 3.0).alias("household_id"))
+    return G.sentinels(rows)
+
+
+@query(with_inputs("claims_a", "claims_b") + ", c AS (SELECT DISTINCT substr(sha256(uid), 1, 2) AS uid_hash, group_id FROM claims_b), u AS (SELECT DISTINCT substr(sha256(uid), 1, 2) AS uid_hash, uid FROM claims_a) SELECT c.uid_hash, group_id, uid FROM c JOIN u ON u.uid_hash = c.uid_hash")
+def j27_uids_of_hashes(spark, sf):
+    """Hashes of eight bits, so that many uids share one."""
+    short = F.substring(F.sha2("uid", 256), 1, 2).alias("uid_hash")
+    return V.uids_of_hashes(load(spark, sf, "claims_b").select(short, "group_id"), load(spark, sf, "claims_a").select(short, "uid"))
+
+
+@query(with_inputs("activity") + OBS + ", e AS (SELECT * FROM often WHERE weight >= 3), m AS (SELECT (SELECT count(DISTINCT uid) FROM (SELECT uid1 AS uid FROM e UNION ALL SELECT uid2 FROM e))::double AS uids, (SELECT count(*) FROM e)::double AS relationships) SELECT 'uids' AS measure, uids AS value FROM m UNION ALL SELECT 'relationships', relationships FROM m")
+def j22_measures(spark, sf):
+    return V.zipped(C.graph_size(_edges(spark, sf)), ["uids", "relationships"])
+
+
+FUNNEL = {"all": "true", "more than one": "members > 1", "any active": "active >= 1", "few": "members < 6"}
+
+
+@query(with_inputs("claims_b", "activity") + ", u AS (SELECT DISTINCT uid FROM activity), c AS (SELECT group_id, count(DISTINCT c.uid) AS members, count(DISTINCT u.uid) AS active FROM claims_b c LEFT JOIN u ON c.uid = u.uid GROUP BY ALL) " + " UNION ALL ".join(
+    f"SELECT '{n}' AS step, count(*) AS groups, coalesce(sum(members), 0)::bigint AS members, coalesce(sum(active), 0)::bigint AS active FROM c WHERE {' AND '.join(list(FUNNEL.values())[: k + 1])}" for k, n in enumerate(FUNNEL)))
+def a30_funnel(spark, sf):
+    return V.funnel(C.group_coverage(load(spark, sf, "claims_b"), load(spark, sf, "activity")), FUNNEL)
+
+
+PAYLOADS = f"""SELECT event_id, chr(123) || '"state": "' || {I.pick('k % 7', ['NY', 'new york', ' Texas ', 'Guam', 'Narnia', '', 'tx'])} || '", "country": "' || {I.pick('k % 4', ['US', 'usa', 'Canada', ' '])} || '"' || chr(125) AS payload,
+ CASE WHEN k % 5 = 0 THEN 'S1_' || cast(1000000000 + user_id AS string) WHEN k % 5 = 1 THEN 'nothing' ELSE cast(user_id AS string) || '_x' END AS label FROM {I.EVENTS}"""
+
+
+@query("WITH p AS (" + _sql(PAYLOADS) + """), q AS (SELECT *, trim(json_extract_string(payload, '$.state')) AS state, upper(trim(json_extract_string(payload, '$.country'))) AS country FROM p)
+SELECT event_id, CASE WHEN country IN ('', 'US', 'USA') THEN CASE upper(state) WHEN 'NY' THEN 'NY' WHEN 'NEW YORK' THEN 'NY' WHEN 'TEXAS' THEN 'TX' WHEN 'TX' THEN 'TX' WHEN 'GUAM' THEN 'GU' ELSE '' END ELSE '' END AS states, nullif(regexp_extract(label, '([0-9]{10})$', 1), '') AS suffix, nullif(regexp_extract(label, '^([^_]+)_', 1), '') AS prefix FROM q""")
+def f24_payloads(spark, sf):
+    rows = _raw(spark, sf, PAYLOADS, "events")
+    return rows.select("event_id", F.array_join(T.states_of_payload(F.col("payload"), "state", ("country",)), "|").alias("states"), T.id_suffix(F.col("label")).alias("suffix"), T.source_prefix(F.col("label")).alias("prefix"))
+
+
+@query(with_inputs("names") + ", n AS (SELECT id, first_name, lower(trim(first_name)) AS x FROM names) SELECT id, first_name, coalesce(x IN ('', 'null', 'nan', chr(92) || 'n') OR x LIKE 'test%' OR x LIKE '%unknown%', true) AS junk FROM n")
+def f45_junk_names(spark, sf):
+    return load(spark, sf, "names").select("id", "first_name", T.junk_name(F.col("first_name")).alias("junk"))
