@@ -27,6 +27,21 @@ def raw_texts(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+#: Rows that a task turns into Python objects at once.
+SLICE_ROWS = 1_000
+
+
+def slices(batches, rows: int = SLICE_ROWS):
+    """Record batches in slices of bounded length, so that the objects made of them stay few. What Arrow holds unused goes back at the end of the
+    task: a worker process serves tasks of many stages, and would keep the most that any of them took."""
+    try:
+        for batch in batches:
+            for at in range(0, max(1, batch.num_rows), rows):
+                yield batch.slice(at, rows)
+    finally:
+        pa.default_memory_pool().release_unused()
+
+
 def word_count(text):
     """Column: number of words, 0 for null. Each word becomes one letter, so memory stays linear in the text."""
     marks = F.regexp_replace(text, f"[^{SPACE_CLASS}]++", "x")

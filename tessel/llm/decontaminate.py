@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import raw_texts, words
+from tessel.llm.common import raw_texts, slices, words
 
 WIDTH, SIMILARITY = 5, 0.8
 #: Bytes of benchmark text that one pass over the documents compares; a larger benchmark is compared in several passes.
@@ -201,7 +201,7 @@ def find_leaks(
 
         def run(batches, shared=shared):
             bench, hashes = shared.value, WordHashes()
-            for batch in batches:
+            for batch in slices(batches):
                 rows = []
                 for i, raw in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1))):
                     if raw:
@@ -225,7 +225,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
 
         def run(batches, shared=shared):
             bench, hashes = shared.value, WordHashes()
-            for batch in batches:
+            for batch in slices(batches):
                 texts = raw_texts(batch.column(batch.schema.get_field_index(text_col)))
                 yield batch.filter(pa.array([not (raw and bench.search(hashes.of(words(raw)))) for raw in texts], pa.bool_()))
 

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import raw_texts
+from tessel.llm.common import raw_texts, slices
 
 #: Leading tokens that, with the token count, make the path to a leaf.
 DEPTH = 3
@@ -109,7 +109,7 @@ def recurring_lines(docs: DataFrame, text_col: str = "text", min_tokens: int = M
 
     def send(batches):
         seen: dict[int, tuple[int, ...]] = {}  # signature -> the texts sent so far
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for raw in raw_texts(batch.column(0)):
                 if not raw:
@@ -194,7 +194,7 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
 
     def number(batches):
-        for batch in batches:
+        for batch in slices(batches):
             text, at, sigs = [], [], []
             for n, raw in enumerate(raw_texts(batch.column(2))):
                 for k, line in enumerate((raw or b"").split(b"\n")):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import cut, drop_path, raw_texts, store, words
+from tessel.llm.common import cut, drop_path, raw_texts, slices, store, words
 from tessel.llm.components import connected_components
 from tessel.llm.simhash import SEED, link_edges, shingle_hashes, simhash
 
@@ -30,15 +30,15 @@ SAMPLE, LEAST_PART = 8192, 64
 COMMON, BROADCAST = 1 << 18, 200_000
 
 
-def _probe(docs: DataFrame, text_col: str, probe: int) -> DataFrame:
+def _probe(texts: DataFrame, probe: int) -> DataFrame:
     """(h, fp) for each row: text hash and fingerprint."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = np.array([simhash(t, probe) for t in raw_texts(batch.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["h", "fp"])
 
-    return docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).dropDuplicates(["h"]).mapInArrow(run, "h long, fp long")
+    return texts.mapInArrow(run, "h long, fp long")
 
 
 def _sets(texts: DataFrame, width: int, rounds: int) -> DataFrame:
@@ -46,7 +46,7 @@ def _sets(texts: DataFrame, width: int, rounds: int) -> DataFrame:
 
     def run(batches):
         turns = np.random.default_rng(SEED).integers(0, 1 << 63, rounds, np.uint64) * np.uint64(2) + np.uint64(1)
-        for batch in batches:
+        for batch in slices(batches):
             found = [np.unique(shingle_hashes(words(t or b""), width)) for t in raw_texts(batch.column(2))]
             keys = [[int((s * turn).min()) >> 1 if len(s) else 0 for turn in turns] for s in found]
             shingles = pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))
@@ -59,13 +59,13 @@ def _common(texts: DataFrame, n: int, width: int) -> tuple[np.ndarray, np.ndarra
     """Shingles that many texts share, in order, and in how many of a sample they are. Only the cost of the search depends on it."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [np.unique(shingle_hashes(words(t or b""), width)) for t in raw_texts(batch.column(1))]
             keys, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(times.astype(np.int64))], names=["key", "n"])
 
     part = max(1, min(LEAST_PART, n // SAMPLE))
-    sample = texts.where(F.pmod(F.xxhash64(F.lit(SEED), "h"), F.lit(part)) == 0).dropDuplicates(["h"])
+    sample = texts.where(F.pmod(F.xxhash64(F.lit(SEED), "h"), F.lit(part)) == 0)
     counts, path = store(sample.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 2"), "common")
     least, room = 3, COMMON
     for r in sorted(counts.groupBy("n").count().collect(), key=lambda r: -r.n):
@@ -80,21 +80,20 @@ def _common(texts: DataFrame, n: int, width: int) -> tuple[np.ndarray, np.ndarra
     return keys[order], times[order]
 
 
-def similar_pairs(docs: DataFrame, text_col: str, gone: DataFrame, n: int, width: int, similarity: float) -> tuple[DataFrame, str]:
-    """(a, b) as a stored table, and its path: hashes of all pairs of distinct texts, without those gone, that are as similar as asked.
+def similar_pairs(texts: DataFrame, gone: DataFrame, n: int, width: int, similarity: float) -> tuple[DataFrame, str]:
+    """(a, b) as a stored table, and its path: hashes of all pairs of distinct texts (h, text), without those gone, that are as similar as asked.
 
     Each text's shingles are put in one order of all shingles, common ones last. A set of m shingles shares at least s * m with a set of
     similarity s, so that the two have a shingle in common among their first m - s * m + 1. At the first such shingle the rest of both
     sets must still suffice; a pair that is similar passes there. This finds every pair; what it proposes is compared shingle by shingle.
     """
-    spark = docs.sparkSession
-    texts = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    spark = texts.sparkSession
     common = spark.sparkContext.broadcast(_common(texts, n, width))
     slack = 1e-6
 
     def prefixes(batches):
         late, times = common.value
-        for batch in batches:
+        for batch in slices(batches):
             keys, hs, ats, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
             for h, t in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1))):
                 found = np.unique(shingle_hashes(words(t or b""), width))
@@ -162,7 +161,7 @@ def similar_pairs(docs: DataFrame, text_col: str, gone: DataFrame, n: int, width
             found = np.unique(np.concatenate(found), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
-    left = texts.dropDuplicates(["h"]).join(gone.select("h").distinct(), "h", "left_anti").select("h", "text")
+    left = texts.join(gone.select("h").distinct(), "h", "left_anti").select("h", "text")
     keyed = left.mapInArrow(prefixes, "key long, h long, at int, m int").repartition("key").sortWithinPartitions("key")
     dealt_out = keyed.mapInArrow(blocks, "own boolean, h array<long>, at array<int>, m array<int>, h2 array<long>, at2 array<int>, m2 array<int>")
     items, items_path = store(dealt_out, "items")
@@ -170,9 +169,9 @@ def similar_pairs(docs: DataFrame, text_col: str, gone: DataFrame, n: int, width
     drop_path(spark, items_path)
     ends = proposed.select(F.col("a").alias("h")).unionAll(proposed.select(F.col("b").alias("h"))).distinct()
     if ends.count() <= BROADCAST:
-        members = texts.join(F.broadcast(ends), "h", "left_semi").dropDuplicates(["h"])
+        members = texts.join(F.broadcast(ends), "h", "left_semi")
     else:
-        members = texts.dropDuplicates(["h"]).join(ends, "h", "left_semi")
+        members = texts.join(ends, "h", "left_semi")
     sets, sets_path = store(_sets(members.select("h", F.lit(0).cast("long").alias("root"), "text"), width, 0).select("h", "shingles"), "sets")
     judged = proposed.join(sets.select(F.col("h").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("h").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
@@ -212,14 +211,14 @@ def near_duplicate_texts(docs: DataFrame, text_col: str, width: int, similarity:
     fingerprints and MinHashes, and of these texts all but a maximal set without a similar pair go.
     """
     spark = docs.sparkSession
-    fps = cut(_probe(docs, text_col, probe))
+    once, once_path = store(docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).dropDuplicates(["h"]), "texts")
+    fps = cut(_probe(once, probe))
     distinct = fps.select("fp").distinct()
     roots = connected_components(link_edges(distinct, radius, distinct.count()))
     named = fps.join(roots, fps.fp == roots.node, "left").select("h", F.coalesce("root", "fp").alias("root"))
     sizes = named.groupBy("root").count().where("count > 1").select("root")
     members = cut(named.join(sizes, "root", "left_semi"))
-    texts = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).dropDuplicates(["h"]).join(members, "h").select("h", "root", "text")
-    sets, sets_path = store(_sets(texts, width, rounds), "sets")
+    sets, sets_path = store(_sets(once.join(members, "h").select("h", "root", "text"), width, rounds), "sets")
     shingles = sets.select("h", "shingles")
     open_, open_path, out = sets.select("h", "root", "keys"), None, []
     for k in range(rounds):
@@ -239,7 +238,8 @@ def near_duplicate_texts(docs: DataFrame, text_col: str, width: int, similarity:
     for path in (sets_path, open_path):
         if path:
             drop_path(spark, path)
-    pairs, pairs_path = similar_pairs(docs, text_col, spark.read.schema("h long").parquet(*out), fps.count(), width, similarity)
+    pairs, pairs_path = similar_pairs(once, spark.read.schema("h long").parquet(*out), fps.count(), width, similarity)
+    drop_path(spark, once_path)
     out += _surplus(pairs)
     drop_path(spark, pairs_path)
     return spark.read.schema("h long").parquet(*out)

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import cut, raw_texts
+from tessel.llm.common import cut, raw_texts, slices
 
 ORDER = 5
 #: Closes a text and fills the context before it: a byte that UTF-8 never uses.
@@ -398,7 +398,7 @@ def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text_col:
     def run(batches):
         head, head_keys, head_logs = shared.value
         hashes, at = Hashes(), TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in slices(batches):
             texts = [(t or b"").lower() for t in raw_texts(batch.column(1))]
             n, known, base, tail_keys, tail_n = [], [], [], [], []
             for t in texts:

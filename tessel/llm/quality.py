@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessel.llm.common import cut, raw_texts
+from tessel.llm.common import cut, raw_texts, slices
 
 #: Labelled rows that the classifier is fitted on, at most. The pool of unlabelled rows has no bound.
 MAX_LABELLED = 10_000
@@ -269,7 +269,7 @@ def _feature_counts(labelled: DataFrame) -> DataFrame:
 
     def run(batches):
         reader = Reader()
-        for batch in batches:
+        for batch in slices(batches):
             y, parts = np.asarray(batch.column(1)), [np.array(sorted(reader.read(t)[0]), np.int64) for t in raw_texts(batch.column(0))]
             mine = np.repeat(y, [len(x) for x in parts])
             keys, at = np.unique(np.concatenate([np.zeros(0, np.int64), *parts]), return_inverse=True)
@@ -305,7 +305,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, source
 
     def read(batches):
         reader = Reader(columns)
-        for batch in batches:
+        for batch in slices(batches):
             found = [reader.read(t) for t in raw_texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted(f) for f, _ in found], pa.list_(pa.int32())), pa.array([m for _, m in found], pa.list_(pa.float64())), *batch.columns[2:]], names=["h", "content", "measures", "source", "lang", "y"])
 
@@ -340,7 +340,7 @@ def _pool(docs: DataFrame, sample: DataFrame, model: Classifier, names: list[str
     def look(batches):
         model = shared.value
         reader = Reader(model.columns)
-        for batch in batches:
+        for batch in slices(batches):
             both = model.rows(reader, raw_texts(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist())
             lists = [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(flat.astype(np.int32))) for flat, sizes in both]
             yield pa.RecordBatch.from_arrays(lists, names=["content", "metadata"])
@@ -408,7 +408,7 @@ def classify_quality(
     def run(batches):
         model = shared.value
         reader = Reader(model.columns)
-        for batch in batches:
+        for batch in slices(batches):
             p = model.score(model.rows(reader, raw_texts(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, p), pa.array(p[2] >= threshold)], names=["id", "p_content", "p_metadata", "score", "keep"])
 
@@ -427,7 +427,7 @@ def keep_good(
     def run(batches):
         model = shared.value
         reader = Reader(model.columns)
-        for batch in batches:
+        for batch in slices(batches):
             text, source, lang = (batch.column(k) for k in at)
             p = model.score(model.rows(reader, raw_texts(text), source.cast(pa.string()).to_pylist(), lang.cast(pa.string()).to_pylist()))
             yield batch.filter(pa.array(p[2] >= threshold))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import cut, raw_texts, words
+from tessel.llm.common import cut, raw_texts, slices, words
 from tessel.llm.components import connected_components
 
 SEED = 42
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp): one row per input row; a null or empty text has fingerprint 0."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = np.array([simhash(t, width) for t in raw_texts(batch.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["id", "fp"])
 
