@@ -28,28 +28,32 @@ def with_first_set(names: DataFrame, variants: DataFrame, first: str = "first_na
 
 def registry_names(raw: DataFrame, variants: DataFrame) -> DataFrame:
     """Distinct normalised names (npi, first_name, last_name, first_set) of a registry."""
-    names = raw.where("npi IS NOT NULL").select("npi", T.norm_name(F.col("first_name")).alias("first_name"), T.norm_name(F.col("last_name")).alias("last_name")).distinct()
+    seen = raw.where("npi IS NOT NULL").select("npi", "first_name", "last_name").distinct()
+    names = seen.select("npi", T.norm_name(F.col("first_name")).alias("first_name"), T.norm_name(F.col("last_name")).alias("last_name")).distinct()
     return with_first_set(names, variants)
 
 
 def source_names(observations: DataFrame) -> DataFrame:
-    """Distinct normalised names of each link; a link without any has one row of nulls."""
-    names = observations.select(*KEY, T.norm_name(F.col("first_name")).alias("first_name"), T.norm_name(F.col("last_name")).alias("last_name")).distinct()
-    known = names.where("first_name IS NOT NULL OR last_name IS NOT NULL")
-    return names.select(*KEY).distinct().join(known, KEY, "left")
+    """Distinct normalised names of each link; a link without any has one row of nulls. A name is normalised once, however often it was seen."""
+    seen = observations.select(*KEY, "first_name", "last_name").distinct()
+    names = seen.select(*KEY, F.struct(T.norm_name(F.col("first_name")).alias("first_name"), T.norm_name(F.col("last_name")).alias("last_name")).alias("n"))
+    known = F.when(F.col("n.first_name").isNotNull() | F.col("n.last_name").isNotNull(), F.col("n"))
+    return names.groupBy(*KEY).agg(F.collect_set(known).alias("n")).select(*KEY, F.explode_outer("n").alias("n")).select(*KEY, "n.first_name", "n.last_name")
 
 
 def compared_names(names: DataFrame, registry: DataFrame, variants: DataFrame) -> DataFrame:
     """F10 to F16 for every pair of a link's name and a registry name of its npi; pairs are never mixed. A row where the registry has no name."""
+    f, s, rf, rs = (F.col(c) for c in ("first_name", "last_name", "registry_first_name", "registry_last_name"))
     mine = with_first_set(names, variants).withColumn("local", T.local_letters(F.col("email")))
+    mine = mine.withColumns({"source_usable": T.usable_name(f, s), "source_match": T.name_in_email_fuzzy(F.col("local"), F.col("first_set"), s)})  # before each meets several registry names
     theirs = registry.select("npi", F.col("first_name").alias("registry_first_name"), F.col("last_name").alias("registry_last_name"), F.col("first_set").alias("registry_first_set"), F.lit(True).alias("_here"))
-    both = mine.join(theirs, "npi", "left").withColumn("registry_first_set", F.coalesce("registry_first_set", F.array().cast(NO_TEXT)))
-    f, s, rf, rs = (F.col(c) for c in ("first_name", "last_name", "registry_first_name", "registry_last_name"))
-    both = both.withColumns({"source_usable": T.usable_name(f, s), "registry_usable": T.usable_name(rf, rs), "first_kind": T.first_kind(F.col("first_set"), f, F.col("registry_first_set"), rf), "last_kind": T.last_kind(s, rs)})
+    both = mine.join(theirs.withColumn("registry_usable", T.usable_name(rf, rs)), "npi", "left")
+    both = both.withColumns({"registry_first_set": F.coalesce("registry_first_set", F.array().cast(NO_TEXT)), "registry_usable": F.coalesce("registry_usable", F.lit(False))})
+    both = both.withColumns({"first_kind": T.first_kind(F.col("first_set"), f, F.col("registry_first_set"), rf), "last_kind": T.last_kind(s, rs)})
     usable = F.col("source_usable") & F.col("registry_usable")
     kind = T.registry_class(F.col("source_usable"), F.col("registry_usable"), F.col("first_kind"), F.col("last_kind"))
     return both.withColumn("match_class", kind).withColumns({
-        "source_match": T.name_in_email_fuzzy(F.col("local"), F.col("first_set"), s), "registry_match": T.name_in_email_fuzzy(F.col("local"), F.col("registry_first_set"), rs),
+        "registry_match": T.name_in_email_fuzzy(F.col("local"), F.col("registry_first_set"), rs),
         "vendor_match": F.when(usable, F.col("match_class").isin("exact", "nickname", "token", "edit")), "registry_present": F.coalesce("_here", F.lit(False)),
         **{c: F.when(usable, F.col(c)).otherwise("unknown") for c in ("first_kind", "last_kind")},
     }).drop("_here")
