@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -100,7 +102,7 @@ def recurring_lines(docs: DataFrame, text_col: str = "text", min_tokens: int = M
 
     Each task sends a line on with at most so many of the texts that hold it, so a line that very many documents share
     stays small. A leaf is read as a sorted stream in one task, which keeps its templates, and of each distinct line its signature and its
-    template's number: 30 bytes or so a line that is like another. Lines and texts are told apart by 64-bit hashes: of 10^10 different
+    template's number: twelve bytes a line that is like another. Lines and texts are told apart by 64-bit hashes: of 10^10 different
     ones, about three pairs would be taken for equal.
     """
 
@@ -166,7 +168,7 @@ def recurring_lines(docs: DataFrame, text_col: str = "text", min_tokens: int = M
                     if last:
                         close()
                     leaf, own, need, last = x, None, needed(line.split(b" ")), (sig, line, [doc])
-                    sigs, numbers, texts = [], [], []
+                    sigs, numbers, texts = array("q"), array("i"), []
                 elif last[0] != sig:
                     settle()
                     last = sig, line, [doc]
