@@ -73,6 +73,22 @@ def conflict_peers(linked: DataFrame, values: DataFrame, alike=None, dated: bool
         F.array_sort(F.collect_list(F.struct("peer", "days", F.array_sort(F.array_intersect("own", "theirs")).alias("shared"), "shares"))).alias("comparisons"))
 
 
+def conflict_shares(linked: DataFrame, values: DataFrame) -> DataFrame:
+    """L10 without the pairs: (key, shares) of links with peers on their conflict days, for values that agree if they are equal.
+
+    A value that two npis of an email have on a day is shared by both. Counts by (source, email, day, value) take the place of pairs, so that the
+    work grows with the number of links of an email-day, not with its square.
+    """
+    days = linked.select(*KEY, F.explode("conflict_days").alias("d")).join(values.select(*KEY, "vals"), KEY, "left").withColumn("has", F.coalesce(F.size("vals") > 0, F.lit(False)))
+    sizes = days.groupBy(*EMAIL, "d").agg(F.count("*").alias("n"), F.count_if(~F.col("has")).alias("without"))
+    own = days.select(*KEY, "d", F.explode("vals").alias("v")).distinct()
+    twice = own.groupBy(*EMAIL, "d", "v").agg(F.count("*").alias("c")).where("c > 1")
+    hit = own.join(twice, [*EMAIL, "d", "v"], "left_semi").select(*KEY, "d").distinct().withColumn("hit", F.lit(True))
+    rows = days.join(sizes, [*EMAIL, "d"]).where("n > 1").join(hit, [*KEY, "d"], "left")
+    open_ = ~F.col("has") | (F.col("without") > 0)
+    return rows.groupBy(*KEY).agg(F.when(F.count_if("hit") > 0, True).when(F.count_if(open_) > 0, F.lit(None)).otherwise(False).alias("shares"))
+
+
 def link_freshness(linked: DataFrame, as_of: str) -> DataFrame:
     """Age of the source and lag of the link behind it, in days; null where a day lies in the future."""
     latest = linked.groupBy("source").agg(F.max("last_seen_day").alias("source_latest_day"))

@@ -16,7 +16,7 @@ from tessel.operators import relational as R
 from tessel.operators import statistics as S
 from tessel.plans import link_queries as Q
 from tessel.plans.inputs import load, with_inputs
-from tessel.plans.queries import LINKS, ORACLE_SQL, _claims, _conflicts, _links, g20_publish, joined, l10_peer_states, query, rounded
+from tessel.plans.queries import LINKS, ORACLE_SQL, _claims, _conflicts, _links, g20_publish, joined, query, rounded
 from tessel.session import materialise
 
 
@@ -107,6 +107,21 @@ def l10_peer_taxonomy(spark, sf):
     return _peer_values(spark, sf, Q._taxonomy(spark, sf)).select(*L.KEY, "peers", "shares")
 
 
+def _shares(spark, sf, values):
+    linked = _conflicts(spark, sf)
+    return L.conflict_shares(linked, linked.select(*L.KEY).join(values.toDF("npi", "vals"), "npi"))
+
+
+@query(f"SELECT source, email, npi, shares FROM {sub('l10_peer_states')}")
+def l10_state_shares(spark, sf):
+    return _shares(spark, sf, load(spark, sf, "npi_states").groupBy("npi").agg(F.collect_set("state")))
+
+
+@query(f"SELECT source, email, npi, shares FROM {sub('l10_peer_taxonomy')}")
+def l10_taxonomy_shares(spark, sf):
+    return _shares(spark, sf, Q._taxonomy(spark, sf))
+
+
 DIMENSIONS = {"name": "l10_peer_names", "state": "l10_peer_states", "facility": "l10_peer_facilities", "taxonomy": "l10_peer_taxonomy"}
 
 
@@ -114,8 +129,8 @@ DIMENSIONS = {"name": "l10_peer_names", "state": "l10_peer_states", "facility":
 count(*) FILTER (has_conflict_linkage AND shares IS NULL) AS unknown, count(*) FILTER (NOT has_conflict_linkage) AS not_applicable, count(*) FILTER (has_conflict_linkage IS NULL) AS unknown_timing, '{d}' AS dimension, round(100.0::double * count(*) FILTER (shares) / nullif(count(*) FILTER (has_conflict_linkage), 0), 6) AS shared_pct
 FROM c LEFT JOIN {sub(q)} s ON s.source = c.source AND s.email = c.email AND s.npi = c.npi GROUP BY c.source""" for d, q in DIMENSIONS.items()))
 def q13_shared_values(spark, sf):
-    found = {"name": Q.l10_peer_names, "state": l10_peer_states, "facility": l10_peer_facilities, "taxonomy": l10_peer_taxonomy}
-    return rounded(S.shared_values(_conflicts(spark, sf), {d: materialise(f(spark, sf)) for d, f in found.items()}), "shared_pct")
+    found = {"name": Q.l10_peer_names(spark, sf), "state": l10_state_shares(spark, sf), "facility": _shares(spark, sf, Q._facility_npis(spark, sf)), "taxonomy": l10_taxonomy_shares(spark, sf)}
+    return rounded(S.shared_values(_conflicts(spark, sf), found), "shared_pct")
 
 
 @query(f"""WITH c AS {sub('l06_conflicts')}, s AS {sub('l19_labels')} SELECT c.source, dimension, count(*) AS links, count(*) FILTER (has_conflict_linkage) AS conflict_links, count(DISTINCT c.email) FILTER (has_conflict_linkage) AS conflict_emails, count(*) FILTER (shares) AS shared, count(*) FILTER (NOT shares) AS different,
