@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -70,12 +71,19 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
-def store(frame: DataFrame, name: str) -> tuple[DataFrame, str]:
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files that no frame needs any more. Spark deletes them once the driver's collector has found the plans that made them,
+    which may take long by itself; until then the steps of a long run pile them up on the executors' disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def store(frame: DataFrame, name: str, compression: str = "snappy") -> tuple[DataFrame, str]:
     """A frame written as a table in the shared folder and read again, and its path. For loops: unlike a checkpoint, the table does not
     carry over the constraints of the plan before it, which would pile up on the driver from round to round, and it can be dropped."""
     spark = frame.sparkSession
     path = new_path(spark, name)
-    frame.write.parquet(path)
+    frame.write.option("compression", compression).parquet(path)
     return spark.read.schema(frame.schema).parquet(path), path
 
 

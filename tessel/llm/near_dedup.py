@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import cut, drop_path, raw_texts, slices, store, words
+from tessel.llm.common import cut, drop_path, raw_texts, release, slices, store, words
 from tessel.llm.components import connected_components
 from tessel.llm.simhash import SEED, link_edges, shingle_hashes, simhash
 
@@ -165,8 +165,10 @@ def similar_pairs(texts: DataFrame, gone: DataFrame, n: int, width: int, similar
     keyed = left.mapInArrow(prefixes, "key long, h long, at int, m int").repartition("key").sortWithinPartitions("key")
     dealt_out = keyed.mapInArrow(blocks, "own boolean, h array<long>, at array<int>, m array<int>, h2 array<long>, at2 array<int>, m2 array<int>")
     items, items_path = store(dealt_out, "items")
+    release(spark)
     proposed, proposed_path = store(items.repartition(F.xxhash64("h", "h2")).mapInArrow(pairs, "a long, b long").distinct(), "proposed")
     drop_path(spark, items_path)
+    release(spark)
     ends = proposed.select(F.col("a").alias("h")).unionAll(proposed.select(F.col("b").alias("h"))).distinct()
     if ends.count() <= BROADCAST:
         members = texts.join(F.broadcast(ends), "h", "left_semi")
@@ -211,14 +213,17 @@ def near_duplicate_texts(docs: DataFrame, text_col: str, width: int, similarity:
     fingerprints and MinHashes, and of these texts all but a maximal set without a similar pair go.
     """
     spark = docs.sparkSession
-    once, once_path = store(docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).dropDuplicates(["h"]), "texts")
+    once, once_path = store(docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).dropDuplicates(["h"]), "texts", "zstd")
+    release(spark)
     fps = cut(_probe(once, probe))
+    release(spark)
     distinct = fps.select("fp").distinct()
     roots = connected_components(link_edges(distinct, radius, distinct.count()))
     named = fps.join(roots, fps.fp == roots.node, "left").select("h", F.coalesce("root", "fp").alias("root"))
     sizes = named.groupBy("root").count().where("count > 1").select("root")
     members = cut(named.join(sizes, "root", "left_semi"))
     sets, sets_path = store(_sets(once.join(members, "h").select("h", "root", "text"), width, rounds), "sets")
+    release(spark)
     shingles = sets.select("h", "shingles")
     open_, open_path, out = sets.select("h", "root", "keys"), None, []
     for k in range(rounds):
@@ -238,6 +243,7 @@ def near_duplicate_texts(docs: DataFrame, text_col: str, width: int, similarity:
     for path in (sets_path, open_path):
         if path:
             drop_path(spark, path)
+    release(spark)
     pairs, pairs_path = similar_pairs(once, spark.read.schema("h long").parquet(*out), fps.count(), width, similarity)
     drop_path(spark, once_path)
     out += _surplus(pairs)
