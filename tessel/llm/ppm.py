@@ -30,8 +30,8 @@ REMEMBERED = 400_000
 
 
 class Trie:
-    """Adaptive byte-context trie, method C: after a context with n symbols of t kinds, a kind seen c times has c / (n + t), the escape
-    t / (n + t). An escape excludes the context's kinds from all shorter ones. Below order 0 all bytes are alike."""
+    """Adaptive byte-context trie, method D: after a context with n symbols of t kinds, a kind seen c times has (2c - 1) / 2n, the escape
+    t / 2n. An escape excludes the context's kinds from all shorter ones. Below order 0 all bytes are alike."""
 
     def __init__(self, order: int = ORDER):
         self.order, self.nodes = order, defaultdict(Counter)
@@ -48,8 +48,8 @@ class Trie:
             if not t:
                 continue
             if symbol in node:
-                return p * node[symbol] / (n + t)
-            p *= t / (n + t)
+                return p * (2 * node[symbol] - 1) / (2 * n)
+            p *= t / (2 * n)
             excluded |= node.keys()
         return p / (256 - len(excluded))
 
@@ -118,9 +118,9 @@ def at_keys(sorted_: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarr
 class Head:
     """The runs of the most frequent contexts of each order, all runs of a context together, and what escapes cost.
 
-    A run that follows its context directly has n / (N + T): its count, the context's count and the number of its symbols. An escape from a
-    context costs T / (N + T), and leaves the suffix context with the counts of the symbols not seen here, in all D with its own escape:
-    there a run has n / D, a further escape t / D. `whole`: every context of the corpus is here.
+    A run that follows its context directly has (2n - 1) / 2N: its count and the context's count. An escape from a context costs T / 2N, T being the
+    number of its symbols, and leaves the suffix context with the counts of the symbols not seen here, in all D / 2: there a run has
+    (2n - 1) / D, a further escape t / D. `whole`: every context of the corpus is here.
     """
 
     def __init__(self, order: int, grams: list[tuple[np.ndarray, np.ndarray]], whole: bool):
@@ -132,13 +132,13 @@ class Head:
             contexts, first = np.unique(keys >> np.uint64(8), return_index=True)
             total = np.add.reduceat(n, first) if len(first) else n
             kinds = np.diff(np.append(first, len(keys))).astype(np.float64)
-            level = {"keys": keys, "log": np.log10(n), "contexts": contexts, "direct": np.log10(total + kinds), "escape": np.log10(kinds / (total + kinds)) if len(kinds) else kinds, "total": total, "kinds": kinds, "n": n}
+            level = {"keys": keys, "log": np.log10(2 * n - 1), "contexts": contexts, "direct": np.log10(2 * total), "escape": np.log10(kinds / (2 * total)) if len(kinds) else kinds, "total": total, "kinds": kinds, "n": n}
             if k and len(keys):
                 own, _ = at_keys(below["keys"], keys & np.uint64((1 << 8 * k) - 1))
                 seen = np.add.reduceat(below["n"][own], first)
                 up, _ = at_keys(below["contexts"], contexts & np.uint64((1 << 8 * (k - 1)) - 1))
                 more = below["kinds"][up] - kinds
-                rest = below["total"][up] - seen + more
+                rest = 2 * (below["total"][up] - seen)
                 level["rest"] = np.log10(np.maximum(rest, 1e-300))
                 level["further"] = np.where(more > 0, np.log10(np.maximum(more, 1) / np.maximum(rest, 1e-300)), 0.0)
             self.levels.append(level)
@@ -348,7 +348,7 @@ def table_scores(keys: DataFrame, levels: list[DataFrame]) -> DataFrame:
             up = contexts_of(levels[k - 1]).select(F.col("context").alias("suffix"), F.col("total").alias("up_total"), F.col("kinds").alias("up_kinds"))
             contexts = contexts.join(seen, "context").withColumn("suffix", F.col("context").bitwiseAND((1 << 8 * (k - 1)) - 1)).join(up, "suffix")
             more = F.col("up_kinds") - F.col("kinds")
-            all_ = F.col("up_total") - F.col("seen") + more
+            all_ = (F.col("up_total") - F.col("seen")) * 2
             contexts = contexts.select("context", "total", "kinds", F.log10(F.greatest(all_, F.lit(1))).alias("new_rest"), F.when(more > 0, F.log10(more / all_)).otherwise(0.0).alias("new_further"))
         else:
             contexts = contexts.select("context", "total", "kinds", none.alias("new_rest"), none.alias("new_further"))
@@ -357,8 +357,8 @@ def table_scores(keys: DataFrame, levels: list[DataFrame]) -> DataFrame:
         hit = F.col("n").isNotNull()
         found = cut(found.select(
             "key", hit.alias("hit"),
-            (F.col("p") + F.when(hit, F.log10("n") - F.coalesce("rest", F.log10(F.col("total") + F.col("kinds")))).when(F.col("total").isNull(), 0.0)
-             .otherwise(F.coalesce("further", F.log10(F.col("kinds") / (F.col("total") + F.col("kinds")))))).alias("p"),
+            (F.col("p") + F.when(hit, F.log10(F.col("n") * 2 - 1) - F.coalesce("rest", F.log10(F.col("total") * 2))).when(F.col("total").isNull(), 0.0)
+             .otherwise(F.coalesce("further", F.log10(F.col("kinds") / (F.col("total") * 2))))).alias("p"),
             F.col("new_rest").alias("rest"), F.col("new_further").alias("further")))
         done.append(found.where("hit").select("key", "p"))
         open_ = found.where("not hit").drop("hit")

@@ -428,16 +428,16 @@ def test_lm_scores(docs, texts, head_runs):
 
 
 def test_trie_probabilities_by_hand():
-    """After "abracadabra", a context gives n / (n + t) to a symbol it knows; an escape leaves the others to shorter contexts without its symbols."""
+    """After "abracadabra", a context gives (2c - 1) / 2n to a symbol it knows; an escape leaves the others to shorter contexts without its symbols."""
     trie, data = ppm.Trie(2), b"\xff\xffabracadabra"
     for k in range(2, len(data)):
         trie.learn(data[k - 2 : k], data[k])
     p = lambda context, symbol: trie.probability(context, ord(symbol))
-    assert p(b"ab", "r") == pytest.approx(2 / 3)  # ab is followed by r twice: 2 / (2 + 1)
+    assert p(b"ab", "r") == pytest.approx(3 / 4)  # ab is followed by r twice: (2 * 2 - 1) / 4
     assert p(b"ra", "c") == pytest.approx(1 / 2)
-    # escape from ra (1 / 2); after a: b 2, d 1, without c, and two kinds: b has 2 / 5
-    assert p(b"ra", "b") == pytest.approx(1 / 2 * 2 / 5)
-    assert p(b"ra", "z") == pytest.approx(1 / 2 * 2 / 5 * (2 / 9) / 251)  # then of a 5, r 2 and two kinds an escape, to 251 other bytes
+    # escape from ra (1 / 2); after a: b 2, d 1, without c, and two kinds: b has 3 / 6, an escape 2 / 6
+    assert p(b"ra", "b") == pytest.approx(1 / 2 * 3 / 6)
+    assert p(b"ra", "z") == pytest.approx(1 / 2 * 2 / 6 * (2 / 14) / 251)  # then of a 5, r 2 an escape of two kinds, to 251 other bytes
     for context in (b"zz", b"\xff\xff", b"ab"):
         assert 0.5 < sum(trie.probability(context, s) for s in range(256)) <= 1 + 1e-9  # an escape that no symbol is left for is lost
     assert ppm.Trie(2).score(b"aaaaaaaaaaaaaaaa", adapt=True) > ppm.Trie(2).score(b"qwertzuiopasdfgh", adapt=True)
