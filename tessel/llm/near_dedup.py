@@ -25,11 +25,16 @@ ROUNDS = 8
 BLOCK = 256
 #: Texts in the sample that tells common shingles, where they are at most 1 / LEAST_PART of all; otherwise one text in LEAST_PART.
 SAMPLE, LEAST_PART = 8192, 64
-#: Common shingles and candidate texts that are broadcast, at most. More shingles count as rare, more texts go through a shuffle: neither
+#: Common shingles and hashes of texts that are broadcast, at most. More shingles count as rare, more texts go through a shuffle: neither
 #: changes the result.
 COMMON, BROADCAST = 1 << 18, 200_000
 
 
+def _joined(texts: DataFrame, keys: DataFrame, how: str = "inner") -> DataFrame:
+    """Texts by a stored table of hashes: where it is small it goes to the texts, so that these are not shuffled."""
+    return texts.join(F.broadcast(keys) if keys.count() <= BROADCAST else keys, "h", how)
+
+
 def _probe(texts: DataFrame, probe: int) -> DataFrame:
     """(h, fp) for each row: text hash and fingerprint."""
 
@@ -161,7 +166,7 @@ def similar_pairs(texts: DataFrame, gone: DataFrame, n: int, width: int, similar
             found = np.unique(np.concatenate(found), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
-    left = texts.join(gone.select("h").distinct(), "h", "left_anti").select("h", "text")
+    left = _joined(texts, gone.select("h").distinct(), "left_anti").select("h", "text")
     keyed = left.mapInArrow(prefixes, "key long, h long, at int, m int").repartition("key").sortWithinPartitions("key")
     dealt_out = keyed.mapInArrow(blocks, "own boolean, h array<long>, at array<int>, m array<int>, h2 array<long>, at2 array<int>, m2 array<int>")
     items, items_path = store(dealt_out, "items")
@@ -170,10 +175,7 @@ def similar_pairs(texts: DataFrame, gone: DataFrame, n: int, width: int, similar
     drop_path(spark, items_path)
     release(spark)
     ends = proposed.select(F.col("a").alias("h")).unionAll(proposed.select(F.col("b").alias("h"))).distinct()
-    if ends.count() <= BROADCAST:
-        members = texts.join(F.broadcast(ends), "h", "left_semi")
-    else:
-        members = texts.join(ends, "h", "left_semi")
+    members = _joined(texts, ends, "left_semi")
     sets, sets_path = store(_sets(members.select("h", F.lit(0).cast("long").alias("root"), "text"), width, 0).select("h", "shingles"), "sets")
     judged = proposed.join(sets.select(F.col("h").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("h").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
@@ -222,7 +224,7 @@ def near_duplicate_texts(docs: DataFrame, text_col: str, width: int, similarity:
     named = fps.join(roots, fps.fp == roots.node, "left").select("h", F.coalesce("root", "fp").alias("root"))
     sizes = named.groupBy("root").count().where("count > 1").select("root")
     members = cut(named.join(sizes, "root", "left_semi"))
-    sets, sets_path = store(_sets(once.join(members, "h").select("h", "root", "text"), width, rounds), "sets")
+    sets, sets_path = store(_sets(_joined(once, members).select("h", "root", "text"), width, rounds), "sets")
     release(spark)
     shingles = sets.select("h", "shingles")
     open_, open_path, out = sets.select("h", "root", "keys"), None, []
