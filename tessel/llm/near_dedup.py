@@ -237,6 +237,7 @@ def near_duplicate_texts(docs: DataFrame, text_col: str, width: int, similarity:
         total = F.size("shingles") + F.size("lead_shingles") - shared
         gone, gone_path = store(judged.where((total == 0) | (shared >= F.lit(similarity) * total)).select("h"), "gone")
         out.append(gone_path)
+        release(spark)
         if k + 1 < rounds:
             before = open_path
             open_, open_path = store(open_.join(gone, "h", "left_anti"), "open")
