@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessel.llm import decontaminate, language_id, line_dedup, media, mixing, ppm, quality, simhash, token_store, url_filter
+from tessel.llm import decontaminate, language_id, lexical, line_dedup, media, mixing, ppm, quality, simhash, superminhash, token_store, url_filter, whitening
 from tessel.llm.common import table
 
 #: Rules of the URL query.
@@ -72,7 +72,20 @@ def op10_language_id(spark, sf_dir):
     return pred.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_media_transport_stream, op3_url_filter, op4_mix_sources, op5_quality_classifier, op6_lm_scoring, op7_token_ids, op8_line_dedup, op9_decontaminate, op10_language_id)}
+def op11_lexical_search(spark, sf_dir):
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_superminhash_dedup(spark, sf_dir):
+    return superminhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark, sf_dir):
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_media_transport_stream, op3_url_filter, op4_mix_sources, op5_quality_classifier, op6_lm_scoring, op7_token_ids, op8_line_dedup, op9_decontaminate, op10_language_id, op11_lexical_search, op12_superminhash_dedup, op13_whitening)}
 
 ORACLE_SQL = {
     "op3_url_filter": r"""
@@ -92,4 +105,21 @@ ORACLE_SQL = {
         SELECT page_id, host, path, rule,
                CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' ELSE 'allow' END AS verdict
         FROM ruled""",
+    "op11_lexical_search": r"""
+        WITH words AS (
+            SELECT doc_id, row_number() OVER () AS doc, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9A-Za-z\x{80}-\x{10FFFF}]+') AS terms
+            FROM documents WHERE text IS NOT NULL),
+        docs AS (SELECT doc_id, doc, terms, len(terms) AS n FROM words WHERE len(terms) > 0),
+        totals AS (SELECT count(*) AS docs, sum(n)::BIGINT AS length FROM docs),
+        tfs AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(terms) AS term FROM docs) GROUP BY ALL),
+        weights AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * any_value(t.docs) + 2) / (2.0::DOUBLE * count(*) + 1)))::BIGINT AS w FROM tfs, totals t GROUP BY term),
+        items AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9A-Za-z\x{80}-\x{10FFFF}]+')) AS term
+            FROM benchmark),
+        scores AS (
+            SELECT item_id, doc_id, doc, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * t.docs) // t.length))))::BIGINT AS score
+            FROM items JOIN tfs USING (term) JOIN weights USING (term) JOIN docs USING (doc), totals t
+            GROUP BY item_id, doc_id, doc),
+        ranked AS (SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, doc))::INTEGER AS rank, doc_id, score FROM scores WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10""",
 }
