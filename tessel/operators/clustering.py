@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessel.session import Rounds, materialise
 
@@ -15,24 +18,60 @@ from tessel.session import Rounds, materialise
 DEVICE, PRELIMINARY, MATCH, HOUSEHOLD = 5, 50, 10_000, 100
 SELF_WEIGHT, THRESHOLD, PASSES = 1e-5, 1e-6, 100
 EDGES_PER_TASK = 250_000
+#: Nodes that a task's forest holds before it is sent on.
+FOREST = 1 << 19
 
 Edges = dict[tuple, tuple[float, bool]]
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the edges that a task holds, as few as connect the same nodes: each node with the least that it reaches through them."""
+    top: dict = {}
+
+    def find(x):
+        while (up := top.get(x, x)) != x:
+            top[x] = x = top.get(up, up)
+        return x
+
+    def flush():
+        ends = [(x, find(x)) for x in top]
+        pairs = [(x, y) for x, y in ends if x != y]
+        top.clear()
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], kind) for k in (0, 1)], names=["a", "b"])
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            x, y = find(x), find(y)
+            if x != y:
+                top[max(x, y)] = top.setdefault(min(x, y), min(x, y))
+        if len(top) >= FOREST:
+            yield flush()
+    if top:
+        yield flush()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of edges (a, b): root is the smallest node that links reach.
+    """(node, root) of edges (a, b): root is the smallest node that links reach. Nodes are of any type with an order.
 
-    Each round, neighbours greater than a node move to its smallest neighbour, then each node points to its smallest. Rounds grow with
-    the logarithm of the longest path. Nodes may be of any type with an order.
+    Each task first keeps a forest of its edges only (nodes that are structs go as they are). Then, in each round, neighbours greater than a node
+    move to its smallest neighbour, and each node points to its smallest, until every node points straight to its root. Rounds grow with
+    the logarithm of the longest path. Smallest neighbours are combined before they are shuffled and meet the edges in joins,
+    which adaptive execution can split where one node has very many neighbours. Self edges, repeated edges and nulls do not matter.
     """
     rounds = Rounds(edges.sparkSession)
-    links = rounds.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
-    while (now := links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()) != before:
-        before = now
+    links = edges.where("a <> b").select("a", "b")
+    if not isinstance(links.schema["a"].dataType, T.StructType):
+        links = links.mapInArrow(_forest, links.schema)
+    links = rounds.keep(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    while True:
+        ends = F.inline(F.array(F.struct(F.col("a").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down"))))
+        if not links.select(ends).groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up + down > 1").count():
+            break  # whatever points somewhere points to one node, which points nowhere
         ends = links.select(F.inline(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))))
         least = ends.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        moved = ends.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        moved = ends.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         low = moved.groupBy("a").agg(F.min("b").alias("m"))
         pulled = moved.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         links = rounds.keep(pulled.unionAll(low.select("a", F.col("m").alias("b"))).distinct())
