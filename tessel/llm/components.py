@@ -5,34 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import drop_path, store
+from tessel.operators.clustering import components
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root) for every node that has an edge; root is the smallest node of its component.
-
-    Alternates large-star and small-star steps (Kiveris et al., 2014) until the edge set no longer
-    changes; the number of rounds grows with the logarithm of the component size. Neighbourhood
-    minima combine on the map side and meet the edges in a join, which adaptive execution can split
-    where one node has very many neighbours. Self edges, repeated edges and nulls do not matter.
-    """
-    spark = edges.sparkSession
-    stars, path = store(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct(), "stars")
-    last = None
-    while True:
-        signature = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if signature == last:
-            break
-        last = signature
-        both = stars.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(
-            stars.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        )
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        pulled = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        before = path
-        stars, path = store(pulled.unionAll(low.select("a", F.col("m").alias("b"))).distinct(), "stars")
-        drop_path(spark, before)
-    roots = stars.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(roots)
+    """(node, root) for every node that has an edge to another; root is the smallest node of its component."""
+    return components(edges.select(F.col(a).alias("a"), F.col(b).alias("b")))

@@ -19,6 +19,8 @@ VALUES, BAND = 128, 4
 ELEMENTS = 1 << 16
 #: Sets, and elements of sets, that one work item holds; larger groups are dealt out.
 MEMBERS, MEMBER_ELEMENTS = 1024, 1 << 19
+#: Members of a large group that all its work items hold, about.
+PIVOTS = 32
 #: Classes that are broadcast to the texts, at most; more go through a shuffle.
 BROADCAST = 200_000
 
@@ -168,13 +170,24 @@ def _link_items(docs: DataFrame, text_col: str, members: DataFrame, width: int,
     return dealt.repartition("item").sortWithinPartitions("item", "node").mapInArrow(run, "a long, b long")
 
 
-def _dealt(members: DataFrame, salt: int, pairs: bool) -> DataFrame:
-    """Members (t, n, node, root, label) with the work items of each: parts of its group by a hash, alone or in pairs."""
-    parts = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("n") / MEMBER_ELEMENTS)).cast("int").alias("parts"))
-    own = F.pmod(F.xxhash64(F.lit(salt), "node"), F.col("parts")).cast("int")
+def _dealt(members: DataFrame, pairs: bool) -> DataFrame:
+    """Members (t, n, node, root, label) with the work items of each and the parts of its group. A group is cut into parts by a hash: an item is
+    a part with some pivots of the whole group, so that what all parts are like is joined across them, or a pair of parts."""
+    sizes = members.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("n"))
+    parts = sizes.select("root", "size", F.greatest(F.ceil(F.col("size") / MEMBERS), F.ceil(F.col("n") / MEMBER_ELEMENTS)).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     name = lambda *x: F.concat_ws("/", "root", *x)
-    both = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: name(F.least(k, own), F.greatest(k, own)))
-    return members.join(parts, "root").select("t", "node", "label", (both if pairs else F.array(name(own))).alias("items"), "root", "parts")
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    if pairs:
+        items = F.transform(every, lambda k: name(F.least(k, own), F.greatest(k, own)))
+    else:
+        items = F.when(F.pmod(F.xxhash64(F.lit(1), "node"), F.col("size")) < PIVOTS, F.transform(every, lambda k: name(k))).otherwise(F.array(name(own)))
+    return members.join(parts, "root").select("t", "node", "label", items.alias("items"), "root", "parts")
+
+
+def _named(links: DataFrame) -> DataFrame:
+    """(node, root) of links that lead straight to the name of their group."""
+    return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = SIMILARITY_PERCENT) -> DataFrame:
@@ -182,8 +195,8 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Equal sets of shingles are one class. Classes that share a band of their SuperMinHash signatures, directly or by a
     chain, make a group; within it all classes are compared on their whole sets unless links join them already. A group beyond one work item is
-    dealt out in parts twice, by different hashes, and then in pairs of parts, of which only classes go that still share a band with a
-    class they are not joined with.
+    dealt out in parts, each with the same few pivots, and then in pairs of parts, of which only classes go that still share a band with
+    a class they are not joined with.
 
     Every input row gives one row, repeated rows and ids included. Null and empty texts, and texts of white space, have 0 shingles
     and are linked with nothing, not even each other: component_id is their own id. Rows with a null id belong to the component of
@@ -197,26 +210,30 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         .withColumn("node", F.monotonically_increasing_id()), "classes")
     keyed = classes.select("node", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("size")).where("size > 1")
-    buckets, buckets_path = store(keyed.join(shared.drop("size"), "key"), "buckets")
-    groups = connected_components(buckets.select(F.col("node").alias("a"), F.col("first").alias("b")))
+    stars = keyed.join(shared, "key").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    groups = connected_components(stars)
     members, members_path = store(groups.join(classes.select("node", "t", "n"), "node").select("node", "root", "t", "n", F.col("node").alias("label")), "members")
-
-    links, links_path = store(_link_items(docs, text_col, _dealt(members, 0, False), width, percent), "links")
-    paths = [classes_path, buckets_path, members_path, links_path]
-    for salt, pairs in ((1, False), (2, True)):
-        large = _dealt(members, 0, False).where("parts > 1").select("node").distinct()
-        if large.isEmpty():
-            break
-        found = connected_components(links)
-        label = lambda frame: frame.join(found, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-        named = label(buckets.select("node", "key").join(large, "node", "left_semi"))
+    dealt, dealt_path = store(_dealt(members, False), "dealt")
+    links, links_path = store(_link_items(docs, text_col, dealt, width, percent), "links")
+    paths = [classes_path, members_path, dealt_path, links_path]
+    large = dealt.where("parts > 1").select("node")
+    if large.isEmpty():
+        roots = _named(links)
+    else:
+        # an item's names hold for the whole group where it is one item; others meet in components
+        apart = F.broadcast(large) if large.count() <= BROADCAST else large
+        whole = _named(links.join(apart, links.a == apart.node, "left_anti"))
+        across = links.join(apart, links.a == apart.node, "left_semi")
+        found = connected_components(across)
+        label = F.coalesce("root", "node").alias("label")
+        labels, labels_path = store(classes.join(found, "node", "left").select("node", label, "keys"), "labels")
+        named = labels.select("node", "label", F.explode("keys").alias("key"))
         mixed_keys = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-        open_nodes = named.join(mixed_keys, "key", "left_semi").select("node", "label").distinct()
+        open_nodes = named.join(mixed_keys, "key", "left_semi").select("node", "label").distinct().join(apart, "node", "left_semi")
         left, left_path = store(members.drop("label").join(open_nodes, "node"), "members")
-        more, more_path = store(_link_items(docs, text_col, _dealt(left, salt, pairs), width, percent), "links")
-        links = links.unionAll(more)
-        paths += [left_path, more_path]
-    roots = connected_components(links)
+        more, more_path = store(_link_items(docs, text_col, _dealt(left, True), width, percent), "links")
+        paths += [labels_path, left_path, more_path]
+        roots = whole.unionAll(found if more.isEmpty() else connected_components(across.unionAll(more)))
     rooted = classes.select("s1", "s2", "node", "least").join(roots, "node", "left")
     least = rooted.where("root is not null").groupBy("root").agg(F.min("least").alias("group_least"))
     names, _ = store(rooted.join(least, "root", "left").select("s1", "s2", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("group_least")).alias("component_id")), "names")
