@@ -21,7 +21,7 @@ ELEMENTS = 1 << 16
 MEMBERS, MEMBER_ELEMENTS = 1024, 1 << 19
 #: Members of a large group that all its work items hold, about.
 PIVOTS = 32
-#: Classes that are broadcast to the texts, at most; more go through a shuffle.
+#: Rows of a table of classes that is broadcast, at most; more go through a shuffle.
 BROADCAST = 200_000
 
 
@@ -122,6 +122,11 @@ def linked(sets: list[np.ndarray], label: np.ndarray, percent: int) -> np.ndarra
     return label
 
 
+def _small(frame: DataFrame) -> DataFrame:
+    """A stored table of few bytes a row, broadcast if its size allows."""
+    return F.broadcast(frame) if frame.count() <= BROADCAST else frame
+
+
 def _link_items(docs: DataFrame, text_col: str, members: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) among the members (t, node, label, items) of each work item that connect them just as all links between them do.
 
@@ -162,9 +167,8 @@ def _link_items(docs: DataFrame, text_col: str, members: DataFrame, width: int,
                     sets.append(np.unique(shingle_hashes(words(raw or b""), width)))
         yield from done()
 
-    small = members.count() <= BROADCAST
     texts = docs.select(F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
-    held = texts.join(F.broadcast(members) if small else members, "t").select("node", "label", "items", "text")
+    held = texts.join(_small(members), "t").select("node", "label", "items", "text")
     sent = held.mapInArrow(once, "node long, label long, items array<string>, text string")
     dealt = sent.select(F.explode("items").alias("item"), "node", "label", "text")
     return dealt.repartition("item").sortWithinPartitions("item", "node").mapInArrow(run, "a long, b long")
@@ -212,7 +216,8 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     shared = keyed.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("size")).where("size > 1")
     stars = keyed.join(shared, "key").select(F.col("node").alias("a"), F.col("first").alias("b"))
     groups = connected_components(stars)
-    members, members_path = store(groups.join(classes.select("node", "t", "n"), "node").select("node", "root", "t", "n", F.col("node").alias("label")), "members")
+    grouped = classes.join(_small(groups), "node").select("node", "root", "t", "n", "keys", F.col("node").alias("label"))
+    members, members_path = store(grouped, "members")
     dealt, dealt_path = store(_dealt(members, False), "dealt")
     links, links_path = store(_link_items(docs, text_col, dealt, width, percent), "links")
     paths = [classes_path, members_path, dealt_path, links_path]
@@ -221,18 +226,19 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         roots = _named(links)
     else:
         # an item's names hold for the whole group where it is one item; others meet in components
-        apart = F.broadcast(large) if large.count() <= BROADCAST else large
+        apart = _small(large)
         whole = _named(links.join(apart, links.a == apart.node, "left_anti"))
         across = links.join(apart, links.a == apart.node, "left_semi")
         found = connected_components(across)
         label = F.coalesce("root", "node").alias("label")
-        labels, labels_path = store(classes.join(found, "node", "left").select("node", label, "keys"), "labels")
-        named = labels.select("node", "label", F.explode("keys").alias("key"))
-        mixed_keys = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-        open_nodes = named.join(mixed_keys, "key", "left_semi").select("node", "label").distinct().join(apart, "node", "left_semi")
-        left, left_path = store(members.drop("label").join(open_nodes, "node"), "members")
-        more, more_path = store(_link_items(docs, text_col, _dealt(left, True), width, percent), "links")
-        paths += [labels_path, left_path, more_path]
+        named = members.drop("label", "root").join(found, "node", "left").select("node", label, F.explode("keys").alias("key"))
+        named, named_path = store(named, "named")
+        mixed_keys, mixed_path = store(named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"), "mixed")
+        open_nodes = named.join(_small(mixed_keys), "key", "left_semi").select("node", "label").distinct().join(apart, "node", "left_semi")
+        left, left_path = store(members.drop("label", "keys").join(open_nodes, "node"), "members")
+        paired, paired_path = store(_dealt(left, True), "dealt")
+        more, more_path = store(_link_items(docs, text_col, paired, width, percent), "links")
+        paths += [named_path, mixed_path, left_path, paired_path, more_path]
         roots = whole.unionAll(found if more.isEmpty() else connected_components(across.unionAll(more)))
     rooted = classes.select("s1", "s2", "node", "least").join(roots, "node", "left")
     least = rooted.where("root is not null").groupBy("root").agg(F.min("least").alias("group_least"))
