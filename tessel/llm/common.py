@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessel.session import shared_folder
+
 #: ASCII white space of the word rule ``[^\x20\x09-\x0D]+``, for Java regular expressions and translate().
 SPACE_CLASS = r"\x20\x09-\x0D"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -52,13 +52,7 @@ def word_count(text):
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see: the context's checkpoint folder. Set here only where it is unset
     and all run on one machine (tests); a cluster without one is refused."""
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessel-"))
-    return context.getCheckpointDir()
+    return shared_folder(spark)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -71,13 +65,6 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of shuffle files that no frame needs any more. Spark deletes them once the driver's collector has found the plans that made them,
-    which may take long by itself; until then the steps of a long run pile them up on the executors' disks."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def store(frame: DataFrame, name: str, compression: str = "snappy") -> tuple[DataFrame, str]:
     """A frame written as a table in the shared folder and read again, and its path. For loops: unlike a checkpoint, the table does not
     carry over the constraints of the plan before it, which would pile up on the driver from round to round, and it can be dropped."""

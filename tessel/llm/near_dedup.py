@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import cut, drop_path, raw_texts, release, slices, store, words
+from tessel.llm.common import cut, drop_path, raw_texts, slices, store, words
 from tessel.llm.components import connected_components
 from tessel.llm.simhash import SEED, link_edges, shingle_hashes, simhash
 
@@ -35,15 +35,32 @@ def _joined(texts: DataFrame, keys: DataFrame, how: str = "inner") -> DataFrame:
     return texts.join(F.broadcast(keys) if keys.count() <= BROADCAST else keys, "h", how)
 
 
+def _once(batches, seen: set[int]):
+    """Slices of (h, ..., text) rows in which a task meets each text once. So copies cost a look, however many there are; a text that
+    several tasks hold comes from each of them, and whoever gathers the rows drops what repeats."""
+    for batch in slices(batches):
+        keep = []
+        for k, h in enumerate(batch.column(0).to_pylist()):
+            if h not in seen:
+                seen.add(h)
+                keep.append(k)
+        yield batch.take(pa.array(keep, pa.int64())) if len(keep) < batch.num_rows else batch
+
+
+def _gathered(texts: DataFrame) -> DataFrame:
+    """Rows (h, ..., text) by text: all tasks' copies of one meet in one task."""
+    return texts.mapInArrow(lambda batches: _once(batches, set()), texts.schema).repartition("h")
+
+
 def _probe(texts: DataFrame, probe: int) -> DataFrame:
-    """(h, fp) for each row: text hash and fingerprint."""
+    """(h, fp) for each text: its hash and fingerprint."""
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in _once(batches, set()):
             found = np.array([simhash(t, probe) for t in raw_texts(batch.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["h", "fp"])
 
-    return texts.mapInArrow(run, "h long, fp long")
+    return texts.mapInArrow(run, "h long, fp long").distinct()
 
 
 def _sets(texts: DataFrame, width: int, rounds: int) -> DataFrame:
@@ -51,7 +68,7 @@ def _sets(texts: DataFrame, width: int, rounds: int) -> DataFrame:
 
     def run(batches):
         turns = np.random.default_rng(SEED).integers(0, 1 << 63, rounds, np.uint64) * np.uint64(2) + np.uint64(1)
-        for batch in slices(batches):
+        for batch in _once(batches, set()):
             found = [np.unique(shingle_hashes(words(t or b""), width)) for t in raw_texts(batch.column(2))]
             keys = [[int((s * turn).min()) >> 1 if len(s) else 0 for turn in turns] for s in found]
             shingles = pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))
@@ -86,7 +103,7 @@ def _common(texts: DataFrame, n: int, width: int) -> tuple[np.ndarray, np.ndarra
 
 
 def similar_pairs(texts: DataFrame, gone: DataFrame, n: int, width: int, similarity: float) -> tuple[DataFrame, str]:
-    """(a, b) as a stored table, and its path: hashes of all pairs of distinct texts (h, text), without those gone, that are as similar as asked.
+    """(a, b) as a stored table, and its path: hashes of all pairs of texts (h, text; copies do not matter), without those gone, that are as similar as asked.
 
     Each text's shingles are put in one order of all shingles, common ones last. A set of m shingles shares at least s * m with a set of
     similarity s, so that the two have a shingle in common among their first m - s * m + 1. At the first such shingle the rest of both
@@ -98,7 +115,7 @@ def similar_pairs(texts: DataFrame, gone: DataFrame, n: int, width: int, similar
 
     def prefixes(batches):
         late, times = common.value
-        for batch in slices(batches):
+        for batch in _once(batches, set()):
             keys, hs, ats, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
             for h, t in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1))):
                 found = np.unique(shingle_hashes(words(t or b""), width))
@@ -123,6 +140,8 @@ def similar_pairs(texts: DataFrame, gone: DataFrame, n: int, width: int, similar
             part = [np.asarray(batch.column(i)) for i in range(4)]
             if rest is not None:
                 part = [np.concatenate(x) for x in zip(rest, part)]
+            once = np.r_[True, (part[0][1:] != part[0][:-1]) | (part[1][1:] != part[1][:-1])]
+            part = [x[once] for x in part]
             change = np.flatnonzero(part[0][1:] != part[0][:-1]) + 1
             end = int(change[-1]) if len(change) else 0
             rest = [x[end:] for x in part]
@@ -167,16 +186,14 @@ def similar_pairs(texts: DataFrame, gone: DataFrame, n: int, width: int, similar
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
     left = _joined(texts, gone.select("h").distinct(), "left_anti").select("h", "text")
-    keyed = left.mapInArrow(prefixes, "key long, h long, at int, m int").repartition("key").sortWithinPartitions("key")
+    keyed = left.mapInArrow(prefixes, "key long, h long, at int, m int").repartition("key").sortWithinPartitions("key", "h")
     dealt_out = keyed.mapInArrow(blocks, "own boolean, h array<long>, at array<int>, m array<int>, h2 array<long>, at2 array<int>, m2 array<int>")
     items, items_path = store(dealt_out, "items")
-    release(spark)
     proposed, proposed_path = store(items.repartition(F.xxhash64("h", "h2")).mapInArrow(pairs, "a long, b long").distinct(), "proposed")
     drop_path(spark, items_path)
-    release(spark)
     ends = proposed.select(F.col("a").alias("h")).unionAll(proposed.select(F.col("b").alias("h"))).distinct()
     members = _joined(texts, ends, "left_semi")
-    sets, sets_path = store(_sets(members.select("h", F.lit(0).cast("long").alias("root"), "text"), width, 0).select("h", "shingles"), "sets")
+    sets, sets_path = store(_sets(_gathered(members.select("h", F.lit(0).cast("long").alias("root"), "text")), width, 0).select("h", "shingles"), "sets")
     judged = proposed.join(sets.select(F.col("h").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("h").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     total = F.size("x") + F.size("y") - shared
@@ -215,17 +232,14 @@ def near_duplicate_texts(docs: DataFrame, text_col: str, width: int, similarity:
     fingerprints and MinHashes, and of these texts all but a maximal set without a similar pair go.
     """
     spark = docs.sparkSession
-    once, once_path = store(docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).dropDuplicates(["h"]), "texts", "zstd")
-    release(spark)
+    once = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     fps = cut(_probe(once, probe))
-    release(spark)
     distinct = fps.select("fp").distinct()
     roots = connected_components(link_edges(distinct, radius, distinct.count()))
     named = fps.join(roots, fps.fp == roots.node, "left").select("h", F.coalesce("root", "fp").alias("root"))
     sizes = named.groupBy("root").count().where("count > 1").select("root")
     members = cut(named.join(sizes, "root", "left_semi"))
-    sets, sets_path = store(_sets(_joined(once, members).select("h", "root", "text"), width, rounds), "sets")
-    release(spark)
+    sets, sets_path = store(_sets(_gathered(_joined(once, members).select("h", "root", "text")), width, rounds), "sets")
     shingles = sets.select("h", "shingles")
     open_, open_path, out = sets.select("h", "root", "keys"), None, []
     for k in range(rounds):
@@ -237,7 +251,6 @@ def near_duplicate_texts(docs: DataFrame, text_col: str, width: int, similarity:
         total = F.size("shingles") + F.size("lead_shingles") - shared
         gone, gone_path = store(judged.where((total == 0) | (shared >= F.lit(similarity) * total)).select("h"), "gone")
         out.append(gone_path)
-        release(spark)
         if k + 1 < rounds:
             before = open_path
             open_, open_path = store(open_.join(gone, "h", "left_anti"), "open")
@@ -246,9 +259,7 @@ def near_duplicate_texts(docs: DataFrame, text_col: str, width: int, similarity:
     for path in (sets_path, open_path):
         if path:
             drop_path(spark, path)
-    release(spark)
     pairs, pairs_path = similar_pairs(once, spark.read.schema("h long").parquet(*out), fps.count(), width, similarity)
-    drop_path(spark, once_path)
     out += _surplus(pairs)
     drop_path(spark, pairs_path)
     return spark.read.schema("h long").parquet(*out)

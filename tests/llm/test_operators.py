@@ -107,7 +107,7 @@ def test_near_duplicates_keep_one_of_each_group(docs, texts):
     sets = {i: {b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in texts.items() for w in [t.encode().lower().split()]}
     for i in set(texts) - kept:
         assert any(len(sets[i] & sets[k]) >= 0.8 * len(sets[i] | sets[k]) for k in kept), i
-    left = [(a, b) for a in kept for b in kept if a < b and len(sets[a] & sets[b]) >= 0.9 * len(sets[a] | sets[b])]
+    left = [(a, b) for a in kept for b in kept if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     assert not left
 
 
@@ -166,6 +166,17 @@ def test_near_duplicates_in_a_crowd_of_one_template(spark):
     assert not left and len(kept) == len(rows) - 30
 
 
+def test_near_duplicates_among_copies_in_many_tasks(spark):
+    """Copies of a text in every task count once, and an empty table stays empty."""
+    rng = np.random.default_rng(8)
+    text = [f"w{x}" for x in rng.integers(0, 9000, 80)]
+    rows = [" ".join(text)] * 300 + [" ".join([*text, "end"])] * 50 + [" ".join(f"v{x}" for x in rng.integers(0, 9000, 60)), None, "", " "]
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(12)
+    kept = sorted(r.doc_id for r in near_dedup.drop_near_duplicates(frame).collect())
+    assert len(kept) == 3 and kept[0] in (0, 300) and kept[1] == 350 and kept[2] in (351, 352, 353)
+    assert near_dedup.drop_near_duplicates(frame.limit(0)).collect() == []
+
+
 # --- 2 ---
 
 
