@@ -13,14 +13,12 @@ from pyspark.sql import functions as F
 from tessel.llm.common import cut, drop_path, raw_texts, slices, store, words
 from tessel.llm.components import connected_components
 from tessel.llm.simhash import SEED, link_edges, shingle_hashes, simhash
+from tessel.llm.superminhash import dealt_out, item_sets, led, work_items
 
 WIDTH, SIMILARITY = 5, 0.8
 #: Fingerprints of pairs of words differ less than those of five words when a text is edited. How many pairs lie within 7 bits of 64
 #: depends on length and edit; those beyond are left to the search over prefixes.
 PROBE_WIDTH, RADIUS = 2, 7
-#: Rounds of comparison within a group. They save work and decide nothing for good: where other texts lead, a pair may get no comparison, and
-#: similar_pairs() then finds it.
-ROUNDS = 8
 #: Members of a shared shingle that one work item compares at once; more are dealt out as pairs of such chunks.
 BLOCK = 256
 #: Texts in the sample that tells common shingles, where they are at most 1 / LEAST_PART of all; otherwise one text in LEAST_PART.
@@ -53,28 +51,37 @@ def _gathered(texts: DataFrame) -> DataFrame:
 
 
 def _probe(texts: DataFrame, probe: int) -> DataFrame:
-    """(h, fp) for each text: its hash and fingerprint."""
+    """(h, fp, n) for each text: its hash, fingerprint and number of words."""
 
     def run(batches):
         for batch in _once(batches, set()):
-            found = np.array([simhash(t, probe) for t in raw_texts(batch.column(1))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["h", "fp"])
+            texts_ = raw_texts(batch.column(1))
+            found = np.array([simhash(t, probe) for t in texts_], np.uint64)
+            sizes = pa.array([len(words(t or b"")) for t in texts_], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), sizes], names=["h", "fp", "n"])
 
-    return texts.mapInArrow(run, "h long, fp long").distinct()
+    return texts.mapInArrow(run, "h long, fp long, n long").distinct()
 
 
-def _sets(texts: DataFrame, width: int, rounds: int) -> DataFrame:
-    """(h, root, keys, shingles): the distinct shingle hashes of each text, in order (none without words), and a MinHash for each round."""
+def _sets(texts: DataFrame, width: int) -> DataFrame:
+    """(h, shingles): the distinct shingle hashes of each text, in order (none without words)."""
 
     def run(batches):
-        turns = np.random.default_rng(SEED).integers(0, 1 << 63, rounds, np.uint64) * np.uint64(2) + np.uint64(1)
         for batch in _once(batches, set()):
-            found = [np.unique(shingle_hashes(words(t or b""), width)) for t in raw_texts(batch.column(2))]
-            keys = [[int((s * turn).min()) >> 1 if len(s) else 0 for turn in turns] for s in found]
-            shingles = pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64())), shingles], names=["h", "root", "keys", "shingles"])
+            found = [np.unique(shingle_hashes(words(t or b""), width)) for t in raw_texts(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["h", "shingles"])
+
+    return texts.mapInArrow(run, "h long, shingles array<long>")
+
+
+def _led(docs: DataFrame, text_col: str, members: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(h): texts of a group that are near an earlier one of their work item, which stays there."""
 
-    return texts.mapInArrow(run, "h long, root long, keys array<long>, shingles array<long>")
+    def run(batches):
+        for nodes, _, sets in item_sets(batches, width):
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(nodes, np.int64)[led(sets, 100 * similarity)])], names=["h"])
+
+    return work_items(docs, text_col, members).mapInArrow(run, "h long").distinct()
 
 
 def _common(texts: DataFrame, n: int, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -193,7 +200,7 @@ def similar_pairs(texts: DataFrame, gone: DataFrame, n: int, width: int, similar
     drop_path(spark, items_path)
     ends = proposed.select(F.col("a").alias("h")).unionAll(proposed.select(F.col("b").alias("h"))).distinct()
     members = _joined(texts, ends, "left_semi")
-    sets, sets_path = store(_sets(_gathered(members.select("h", F.lit(0).cast("long").alias("root"), "text")), width, 0).select("h", "shingles"), "sets")
+    sets, sets_path = store(_sets(_gathered(members.select("h", "text")), width), "sets")
     judged = proposed.join(sets.select(F.col("h").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("h").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     total = F.size("x") + F.size("y") - shared
@@ -222,50 +229,33 @@ def _surplus(pairs: DataFrame) -> list[str]:
     return out
 
 
-def near_duplicate_texts(docs: DataFrame, text_col: str, width: int, similarity: float, probe: int, radius: int, rounds: int) -> DataFrame:
+def near_duplicate_texts(docs: DataFrame, text_col: str, width: int, similarity: float, probe: int, radius: int) -> DataFrame:
     """(h): hashes of texts that go because a near duplicate of them stays, or went for another that stays.
 
-    First, texts whose fingerprints a chain of links connects make a group, which may hold many texts that are not alike. In each round the
-    texts of a group that agree on that round's MinHash are compared with one of them, which the round picks by a hash; those as similar as
-    asked go. So a round compares every text once at most, and a group of any size takes the same number of rounds. A
-    pair of similarity s agrees in a round with probability s. Then similar_pairs() finds all pairs among what is left, whatever their
-    fingerprints and MinHashes, and of these texts all but a maximal set without a similar pair go.
+    First, texts whose fingerprints a chain of links connects make a group, which may hold many texts that are not alike. A group is
+    dealt out to work items, in each of which every text is compared, shingle by shingle, with those before it that stay; what is as similar as
+    asked goes. Texts of a large group in different items, and texts of different groups, may still be alike. So
+    similar_pairs() finds all pairs among what is left, whatever their fingerprints, and of these texts all but a maximal set without
+    a similar pair go.
     """
     spark = docs.sparkSession
-    once = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    fps = cut(_probe(once, probe))
+    texts = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    fps = cut(_probe(texts, probe))
     distinct = fps.select("fp").distinct()
     roots = connected_components(link_edges(distinct, radius, distinct.count()))
-    named = fps.join(roots, fps.fp == roots.node, "left").select("h", F.coalesce("root", "fp").alias("root"))
+    named = fps.join(roots, fps.fp == roots.node, "left").select("h", "n", F.coalesce("root", "fp").alias("root"))
     sizes = named.groupBy("root").count().where("count > 1").select("root")
-    members = cut(named.join(sizes, "root", "left_semi"))
-    sets, sets_path = store(_sets(_gathered(_joined(once, members).select("h", "root", "text")), width, rounds), "sets")
-    shingles = sets.select("h", "shingles")
-    open_, open_path, out = sets.select("h", "root", "keys"), None, []
-    for k in range(rounds):
-        keyed = open_.select("h", "root", F.col("keys")[k].alias("key"))
-        leads = keyed.groupBy("root", "key").agg(F.min_by("h", F.xxhash64(F.lit(k), "h")).alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
-        pairs = keyed.join(leads, ["root", "key"]).where("h <> lead").select("h", "lead")
-        judged = pairs.join(shingles, "h").join(shingles.select(F.col("h").alias("lead"), F.col("shingles").alias("lead_shingles")), "lead")
-        shared = F.size(F.array_intersect("shingles", "lead_shingles"))
-        total = F.size("shingles") + F.size("lead_shingles") - shared
-        gone, gone_path = store(judged.where((total == 0) | (shared >= F.lit(similarity) * total)).select("h"), "gone")
-        out.append(gone_path)
-        if k + 1 < rounds:
-            before = open_path
-            open_, open_path = store(open_.join(gone, "h", "left_anti"), "open")
-            if before:
-                drop_path(spark, before)
-    for path in (sets_path, open_path):
-        if path:
-            drop_path(spark, path)
-    pairs, pairs_path = similar_pairs(once, spark.read.schema("h long").parquet(*out), fps.count(), width, similarity)
-    out += _surplus(pairs)
+    members = named.join(sizes, "root", "left_semi").select("h", "root", "n", *(F.col("h").alias(c) for c in ("t", "node", "label")))
+    items, items_path = store(dealt_out(cut(members), False), "dealt")
+    _, led_path = store(_led(docs, text_col, items, width, similarity), "gone")
+    drop_path(spark, items_path)
+    pairs, pairs_path = similar_pairs(texts, spark.read.schema("h long").parquet(led_path), fps.count(), width, similarity)
+    out = [led_path, *_surplus(pairs)]
     drop_path(spark, pairs_path)
     return spark.read.schema("h long").parquet(*out)
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY, probe: int = PROBE_WIDTH, radius: int = RADIUS, rounds: int = ROUNDS) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY, probe: int = PROBE_WIDTH, radius: int = RADIUS) -> DataFrame:
     """The rows of `docs`, all columns, without near duplicates: of equal texts the row with the smallest id stays, and of texts
     that a chain of near duplicates connects at least one: a text goes only for one that it was compared with, shingle by shingle.
     No two texts that stay are as similar as asked.
@@ -274,7 +264,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     document. Null ids stand after all others. Equal texts are told by 128 bits of hash; near duplicates by 64 bits: of 10^10 different
     texts, about three pairs share these, and one of a pair goes wrongly if the other has a near duplicate.
     """
-    gone = near_duplicate_texts(docs, text_col, width, similarity, probe, radius, rounds)
+    gone = near_duplicate_texts(docs, text_col, width, similarity, probe, radius)
     other = F.xxhash64(F.lit(1), text_col)
     keys = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_h"), other.alias("_o"))
     first = keys.groupBy("_h", "_o").agg(F.min("_id").alias("_id")).join(gone.select(F.col("h").alias("_h")), "_h", "left_anti")

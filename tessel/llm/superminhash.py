@@ -97,41 +97,61 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     return rows.mapInArrow(run, f"id {kind}, n long, s1 long, s2 long, t long, keys array<long>")
 
 
-def linked(sets: list[np.ndarray], label: np.ndarray, percent: int) -> np.ndarray:
-    """Labels after joining all sets of which two hold 100 * common >= percent * all elements. Sets that share a label need no comparison,
-    so that a dense group costs a few passes. Others are compared with all at once: positions of one set's elements are marked and counted in the others."""
-    label, k = label.copy(), len(sets)
-    sizes = np.array([len(x) for x in sets], np.int64)
-    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    starts = np.cumsum(sizes) - sizes
-    marked = np.zeros(int(flat.max()) + 1, bool)
-    for i in range(k - 1):
-        j = np.arange(i + 1, k)
-        j = j[(label[j] != label[i]) & (100 * np.minimum(sizes[j], sizes[i]) >= percent * np.maximum(sizes[j], sizes[i]))]
-        if not len(j):
-            continue
-        mine = flat[starts[i] : starts[i] + sizes[i]]
-        marked[mine] = True
-        ends = np.cumsum(sizes[j])
-        at = np.arange(ends[-1]) + np.repeat(starts[j] - (ends - sizes[j]), sizes[j])
-        common = np.add.reduceat(marked[flat[at]], ends - sizes[j], dtype=np.int64)
-        marked[mine] = False
-        near = np.unique(label[j[100 * common >= percent * (sizes[j] + sizes[i] - common)]])
+class Overlaps:
+    """Sets of one work item. One is compared with many at once: its elements are marked and counted in the others."""
+
+    def __init__(self, sets: list[np.ndarray], percent: float):
+        self.percent, self.sizes = percent, np.array([len(x) for x in sets], np.int64)
+        _, self.flat = np.unique(np.concatenate(sets), return_inverse=True)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.marked = np.zeros(len(self.flat) and int(self.flat.max()) + 1, bool)
+
+    def near(self, i: int, j: np.ndarray) -> np.ndarray:
+        """Of the sets j, those with 100 * common >= percent * all elements of both; none if either is empty."""
+        size, sizes = self.sizes[i], self.sizes[j]
+        fits = (sizes > 0) & (100 * np.minimum(sizes, size) >= self.percent * np.maximum(sizes, size))
+        j, sizes = j[fits], sizes[fits]
+        if not len(j) or not size:
+            return j[:0]
+        mine = self.flat[self.starts[i] : self.starts[i] + size]
+        self.marked[mine] = True
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1]) + np.repeat(self.starts[j] - (ends - sizes), sizes)
+        common = np.add.reduceat(self.marked[self.flat[at]], ends - sizes, dtype=np.int64)
+        self.marked[mine] = False
+        return j[100 * common >= self.percent * (sizes + size - common)]
+
+
+def linked(sets: list[np.ndarray], label: np.ndarray, percent: float) -> np.ndarray:
+    """Labels after joining all sets that are near each other. Sets that share a label need no comparison, so that a dense group costs a
+    few passes."""
+    label, own = label.copy(), Overlaps(sets, percent)
+    for i in range(len(sets) - 1):
+        j = np.arange(i + 1, len(sets))
+        near = np.unique(label[own.near(i, j[label[j] != label[i]])])
         if len(near):
             label[np.isin(label, near)] = label[i]
     return label
 
 
+def led(sets: list[np.ndarray], percent: float) -> np.ndarray:
+    """Which sets are near an earlier one that is not led itself."""
+    out, own = np.zeros(len(sets), bool), Overlaps(sets, percent)
+    for i in range(len(sets) - 1):
+        if not out[i]:
+            j = np.arange(i + 1, len(sets))
+            out[own.near(i, j[~out[j]])] = True
+    return out
+
+
 def _small(frame: DataFrame) -> DataFrame:
     """A stored table of few bytes a row, broadcast if its size allows."""
     return F.broadcast(frame) if frame.count() <= BROADCAST else frame
 
 
-def _link_items(docs: DataFrame, text_col: str, members: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) among the members (t, node, label, items) of each work item that connect them just as all links between them do.
-
-    Texts go to the items by the hash of the text; a task sends each node once, however many copies of its text it reads.
-    """
+def work_items(docs: DataFrame, text_col: str, members: DataFrame) -> DataFrame:
+    """(item, node, label, text) by item, in order, for members (t, node, label, items): texts go to the items by the hash t of the text.
+    A task sends each node once, however many copies of its text it reads."""
 
     def once(batches):
         seen: set[int] = set()
@@ -143,12 +163,34 @@ def _link_items(docs: DataFrame, text_col: str, members: DataFrame, width: int,
                     keep.append(k)
             yield batch.take(pa.array(keep, pa.int64()))
 
-    def run(batches):
-        item, nodes, labels, sets = None, [], [], []
+    texts = docs.select(F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
+    held = texts.join(_small(members), "t").select("node", "label", "items", "text")
+    sent = held.mapInArrow(once, "node long, label long, items array<string>, text string")
+    return sent.select(F.explode("items").alias("item"), "node", "label", "text").repartition("item").sortWithinPartitions("item", "node")
+
 
-        def done():
-            if len(nodes) < 2:
-                return
+def item_sets(batches, width: int):
+    """(nodes, labels, sets of shingles) of each work item with two members at least."""
+    item, nodes, labels, sets = None, [], [], []
+    for batch in slices(batches):
+        for at, node, label, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), raw_texts(batch.column(3))):
+            if at != item:
+                if len(nodes) > 1:
+                    yield nodes, labels, sets
+                item, nodes, labels, sets = at, [], [], []
+            if not nodes or node != nodes[-1]:
+                nodes.append(node)
+                labels.append(label)
+                sets.append(np.unique(shingle_hashes(words(raw or b""), width)))
+    if len(nodes) > 1:
+        yield nodes, labels, sets
+
+
+def _link_items(docs: DataFrame, text_col: str, members: DataFrame, width: int, percent: float) -> DataFrame:
+    """Links (a, b) among the members of each work item that connect them just as all links between them do."""
+
+    def run(batches):
+        for nodes, labels, sets in item_sets(batches, width):
             first: dict[int, int] = {}
             start = np.array([first.setdefault(x, k) for k, x in enumerate(labels)])
             end = linked(sets, start, percent)
@@ -156,25 +198,10 @@ def _link_items(docs: DataFrame, text_col: str, members: DataFrame, width: int,
             if other:
                 yield pa.RecordBatch.from_arrays([pa.array([nodes[k] for k in other], pa.int64()), pa.array([nodes[end[k]] for k in other], pa.int64())], names=["a", "b"])
 
-        for batch in slices(batches):
-            for at, node, label, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), raw_texts(batch.column(3))):
-                if at != item:
-                    yield from done()
-                    item, nodes, labels, sets = at, [], [], []
-                if not nodes or node != nodes[-1]:
-                    nodes.append(node)
-                    labels.append(label)
-                    sets.append(np.unique(shingle_hashes(words(raw or b""), width)))
-        yield from done()
-
-    texts = docs.select(F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
-    held = texts.join(_small(members), "t").select("node", "label", "items", "text")
-    sent = held.mapInArrow(once, "node long, label long, items array<string>, text string")
-    dealt = sent.select(F.explode("items").alias("item"), "node", "label", "text")
-    return dealt.repartition("item").sortWithinPartitions("item", "node").mapInArrow(run, "a long, b long")
+    return work_items(docs, text_col, members).mapInArrow(run, "a long, b long")
 
 
-def _dealt(members: DataFrame, pairs: bool) -> DataFrame:
+def dealt_out(members: DataFrame, pairs: bool) -> DataFrame:
     """Members (t, n, node, root, label) with the work items of each and the parts of its group. A group is cut into parts by a hash: an item is
     a part with some pivots of the whole group, so that what all parts are like is joined across them, or a pair of parts."""
     sizes = members.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("n"))
@@ -218,7 +245,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     groups = connected_components(stars)
     grouped = classes.join(_small(groups), "node").select("node", "root", "t", "n", "keys", F.col("node").alias("label"))
     members, members_path = store(grouped, "members")
-    dealt, dealt_path = store(_dealt(members, False), "dealt")
+    dealt, dealt_path = store(dealt_out(members, False), "dealt")
     links, links_path = store(_link_items(docs, text_col, dealt, width, percent), "links")
     paths = [classes_path, members_path, dealt_path, links_path]
     large = dealt.where("parts > 1").select("node")
@@ -236,7 +263,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         mixed_keys, mixed_path = store(named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"), "mixed")
         open_nodes = named.join(_small(mixed_keys), "key", "left_semi").select("node", "label").distinct().join(apart, "node", "left_semi")
         left, left_path = store(members.drop("label", "keys").join(open_nodes, "node"), "members")
-        paired, paired_path = store(_dealt(left, True), "dealt")
+        paired, paired_path = store(dealt_out(left, True), "dealt")
         more, more_path = store(_link_items(docs, text_col, paired, width, percent), "links")
         paths += [named_path, mixed_path, left_path, paired_path, more_path]
         roots = whole.unionAll(found if more.isEmpty() else connected_components(across.unionAll(more)))
