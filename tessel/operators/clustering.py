@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessel.operators.propagation import collapse, named_by_least, propagate
 from tessel.session import Rounds, materialise
 
 #: Most uids of a device, devices of a preliminary household, devices of a match, matches of a household.
@@ -222,19 +223,72 @@ def named(label: dict) -> dict:
     return {n: least[c] for n, c in label.items()}
 
 
+def _matches(edges: DataFrame) -> DataFrame:
+    """(n, label): match of each device by greedy modularity within its preliminary household. edges (rough, a, b, w, conflict) lie inside one,
+    which holds 50 devices at most, so that each is a small problem of its own."""
+    kind = edges.schema["a"].dataType
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        ends = frame.sort_values(["x", "y"])
+        own = {(x, y): (w, bool(c)) for x, y, w, c in zip(ends["x"], ends["y"], ends["w"], ends["conflict"])}
+        found = named(modularity_communities(own))
+        return pd.DataFrame({"geo": frame["geo"].iloc[0], "x": list(found), "y": list(found.values())}, columns=["geo", "x", "y"])
+
+    flat = edges.select("rough", F.col("a.geo").alias("geo"), F.col("a.uid").alias("x"), F.col("b.uid").alias("y"), "w", "conflict")
+    found = flat.groupBy("rough").applyInPandas(run, "geo string, x long, y long")
+    node = lambda c: F.struct("geo", F.col(c).alias("uid")).cast(kind)
+    return found.select(node("x").alias("n"), node("y").alias("label"))
+
+
+def cluster_large(edges: DataFrame) -> DataFrame:
+    """G17, X10 for components of any size: (geo, uid, device_id, match_id, household_id) of edges (geo, uid1, uid2, weight, same, diff), none null.
+
+    Devices, preliminary and final households are communities of bulk rounds (propagation.py), matches are found within
+    preliminary households. The same limits and conflicts hold as in cluster(), and the same rules decide a move; but all nodes move at once, where
+    cluster() moves one after the other, so that another labelling of equal standing may come out.
+    """
+    end = lambda k: F.struct(F.col("geo").cast("string").alias("geo"), F.col(f"uid{k}").alias("uid"))
+    both = edges.select(end(1).alias("x"), end(2).alias("y"), F.col("weight").alias("w"), "same", F.col("diff").alias("conflict"))
+    ordered = both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "w", "same", "conflict")
+    known = materialise(ordered.groupBy("a", "b").agg(F.sum("w").alias("w"), F.sum(F.when(F.col("same"), F.col("w"))).alias("same_w"), F.max("conflict").alias("conflict")))
+    uids = known.select(F.col("a").alias("n")).unionAll(known.select(F.col("b").alias("n"))).distinct()
+    of_same = named_by_least(propagate(known.where("same_w IS NOT NULL").select("a", "b", F.col("same_w").alias("w")), DEVICE))
+    device = materialise(uids.join(of_same, "n", "left").select("n", F.coalesce("label", "n").alias("label")))
+    devices = materialise(collapse(known, device, SELF_WEIGHT, True))
+    rough = materialise(propagate(devices, PRELIMINARY))
+    home = lambda k: rough.select(F.col("n").alias(k), F.col("label").alias(f"{k}_home"))
+    inside = devices.join(home("a"), "a").join(home("b"), "b").where("a_home = b_home").select(F.col("a_home").alias("rough"), "a", "b", "w", "conflict")
+    match = materialise(rough.select("n").join(_matches(inside), "n", "left").select("n", F.coalesce("label", "n").alias("label")))
+    matches = materialise(collapse(devices, match, SELF_WEIGHT, False))
+    start = match.join(rough.withColumnRenamed("label", "home"), "n").groupBy("label").agg(F.max("home").alias("home")).select(F.col("label").alias("n"), F.col("home").alias("label"))
+    house = named_by_least(propagate(matches, HOUSEHOLD, start))
+    sizes = lambda frame, name: frame.groupBy("label").agg(F.count("*").alias(name))
+    of_device = sizes(device, "uids").withColumnRenamed("label", "device")
+    of_match = match.join(sizes(match, "devices"), "label").select(F.col("n").alias("device"), F.col("label").alias("match"), "devices")
+    of_house = house.join(sizes(house, "matches"), "label").select(F.col("n").alias("match"), F.col("label").alias("house"), "matches")
+    rows = device.withColumnRenamed("label", "device").join(of_device, "device").join(of_match, "device").join(of_house, "match")
+    return rows.select(
+        "n.geo", "n.uid", F.col("device.uid").alias("device_id"),
+        F.when((F.col("devices") == 1) & (F.col("uids") == 1), F.lit(0)).otherwise(F.col("match.uid")).cast("long").alias("match_id"),
+        F.when(F.col("matches") == 1, F.lit(0)).otherwise(F.col("house.uid")).cast("long").alias("household_id"))
+
+
 def cluster_geos(edges: DataFrame, edges_per_task: int = EDGES_PER_TASK) -> DataFrame:
     """(geo, uid, device_id, match_id, household_id) for every uid of edges (geo, uid1, uid2, weight, same, diff); uids are long.
 
     No step looks beyond a connected component, so that a geo is dealt out by components, about `edges_per_task` edges to a task, and the
-    result is that of the whole geo; a component is never split. Null flags are false. Edges with a null uid or weight hold no evidence.
+    result is that of the whole geo. Components of more edges than that are clustered by cluster_large(). Null flags are false. Edges
+    with a null uid or weight hold no evidence.
     """
     flags = [F.coalesce(c, F.lit(False)).alias(c) for c in ("same", "diff")]
     known = materialise(edges.where("uid1 IS NOT NULL AND uid2 IS NOT NULL AND weight IS NOT NULL").select("geo", "uid1", "uid2", F.col("weight").cast("double").alias("weight"), *flags))
     end = lambda k: F.struct("geo", F.col(f"uid{k}").alias("uid"))
     roots = components(known.select(end(1).alias("a"), end(2).alias("b"))).select(F.col("node.geo").alias("geo"), F.col("node.uid").alias("uid1"), F.col("root.uid").alias("root"))
     tasks = max(1, math.ceil(known.count() / edges_per_task))
-    bucket = F.pmod(F.xxhash64("geo", F.coalesce("root", "uid1")), F.lit(tasks))
-    dealt = known.alias("e").join(roots.alias("r"), F.expr("e.geo <=> r.geo AND e.uid1 = r.uid1"), "left").select("e.*", "root").withColumn("bucket", bucket)
+    rooted = materialise(known.alias("e").join(roots.alias("r"), F.expr("e.geo <=> r.geo AND e.uid1 = r.uid1"), "left").select("e.*", F.coalesce("root", "e.uid1").alias("root")))
+    large = materialise(rooted.groupBy("geo", "root").count().where(F.col("count") > edges_per_task).select("geo", "root"))
+    apart = F.expr("e.geo <=> l.geo AND e.root = l.root")
+    dealt = rooted.alias("e").join(large.alias("l"), apart, "left_anti").withColumn("bucket", F.pmod(F.xxhash64("geo", "root"), F.lit(tasks)))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         rows = frame.sort_values(["uid1", "uid2", "weight"])[["uid1", "uid2", "weight", "same", "diff"]].itertuples(index=False, name=None)
@@ -242,4 +296,7 @@ def cluster_geos(edges: DataFrame, edges_per_task: int = EDGES_PER_TASK) -> Data
         out.insert(0, "geo", frame["geo"].iloc[0])
         return out
 
-    return dealt.groupBy("geo", "bucket").applyInPandas(run, "geo string, uid long, device_id long, match_id long, household_id long")
+    out = dealt.groupBy("geo", "bucket").applyInPandas(run, "geo string, uid long, device_id long, match_id long, household_id long")
+    if large.isEmpty():
+        return out
+    return out.unionAll(cluster_large(rooted.alias("e").join(large.alias("l"), apart, "left_semi").drop("root")))

@@ -201,6 +201,29 @@ def g17_clusters(spark, sf):
     return N.cluster_geos(edges.withColumn("same", same).withColumn("diff", ~same & (F.pmod(F.col("uid1").bitwiseXOR(F.col("uid2")), F.lit(5)) == 0)))
 
 
+RULES = ["repeated uids", "devices over 5", "households over 100", "devices in two matches", "matches in two households", "foes in one match"]
+
+
+@query(f"""WITH edges AS (SELECT o_orderpriority AS geo, o_custkey AS uid1, 1000000000 + cast(floor(o_orderkey / 7.0) AS bigint) AS uid2 FROM orders)
+SELECT 'uids' AS rule, count(*) AS n FROM (SELECT geo, uid1 FROM edges UNION SELECT geo, uid2 FROM edges) UNION ALL SELECT * FROM (VALUES {', '.join(f"('{r}', 0)" for r in RULES)}) v""")
+def g17_limits(spark, sf):
+    """What must hold for clusters of components that no single task holds: every uid once, groups nested and within their limits, conflicts apart."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    uid2 = 1_000_000_000 + F.floor(F.col("o_orderkey") / 7)
+    edges = orders.select(
+        F.col("o_orderpriority").alias("geo"), F.col("o_custkey").alias("uid1"), uid2.alias("uid2"), (1 + F.pmod("o_orderkey", F.lit(9))).cast("double").alias("weight"),
+        (F.pmod("o_orderkey", F.lit(3)) == 0).alias("same"), (F.pmod("o_orderkey", F.lit(5)) == 1).alias("diff"))
+    found = materialise(N.cluster_geos(edges, 1_000))
+    devices = found.groupBy("geo", "device_id").agg(F.count("*").alias("uids"), F.countDistinct("match_id", "household_id").alias("groups"), F.max("match_id").alias("match_id"), F.max("household_id").alias("household_id"))
+    matches = devices.withColumn("match", F.when(F.col("match_id") == 0, -F.col("device_id")).otherwise(F.col("match_id"))).groupBy("geo", "match").agg(F.countDistinct("household_id").alias("houses"), F.max("household_id").alias("household_id"))
+    houses = matches.where("household_id <> 0").groupBy("geo", "household_id").count()
+    of = lambda k: found.select("geo", F.col("uid").alias(f"uid{k}"), F.col("device_id").alias(f"d{k}"), F.col("match_id").alias(f"m{k}"))
+    foes = edges.where("diff").join(of(1), ["geo", "uid1"]).join(of(2), ["geo", "uid2"]).where("d1 <> d2 AND m1 = m2 AND m1 <> 0")
+    breaks = [found.groupBy("geo", "uid").count().where("count > 1"), devices.where("uids > 5"), houses.where("count > 100"), devices.where("groups > 1"), matches.where("houses > 1"), foes]
+    counts = [found.select("geo", "uid").distinct().agg(F.lit("uids").alias("rule"), F.count("*").alias("n")), *(b.agg(F.lit(r).alias("rule"), F.count("*").alias("n")) for r, b in zip(RULES, breaks))]
+    return R.union_all(counts)
+
+
 PUBLISHED = FLOW + """, published AS (SELECT uid, CASE WHEN stable THEN 'S_' ELSE '' END || cast(group_id AS string) AS group_id, CASE WHEN household_id = 0 THEN '' ELSE CASE WHEN stable THEN 'S_' ELSE '' END || cast(household_id AS string) END AS household_id, reason
 FROM (SELECT * FROM aligned UNION ALL SELECT * FROM spread1 UNION ALL SELECT * FROM spread2) WHERE group_id <> 0 AND NOT (starts_with(uid, 'A_') AND reason = 'SP') AND NOT regexp_full_match(uid, '[01_!*-]*'))"""
 
