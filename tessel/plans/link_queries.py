@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessel.functions import text as T
+from tessel.operators import agreement as B
 from tessel.operators import links as L
 from tessel.operators import location as W
 from tessel.operators import names as A
@@ -160,6 +161,13 @@ def l10_peer_names(spark, sf):
     return L.conflict_peers(_conflicts(spark, sf), names, A.any_alike).select("source", "email", "npi", "peers", "shares")
 
 
+@query(PEERS + """ SELECT p.source, p.email, p.npi, CASE WHEN count(*) FILTER (s.shares) > 0 THEN true WHEN count(*) FILTER (s.shares IS NULL) > 0 THEN NULL ELSE false END AS shares
+FROM peers p LEFT JOIN shared_names s ON p.source = s.source AND p.email = s.email AND p.npi = s.npi AND p.peer = s.peer GROUP BY ALL""")
+def l10_name_shares(spark, sf):
+    names = A.link_name_metrics(_compared(spark, sf)).select(*L.KEY, F.col("source_name_values").alias("vals"))
+    return B.conflict_name_shares(_conflicts(spark, sf), names)
+
+
 @query(NAMES + """ SELECT source, email, npi, upper(sha256(source || chr(0) || email || chr(0) || npi)) AS link_id, fa AS first_name, la AS last_name, fb AS registry_first_name, lb AS registry_last_name, cls AS match_class, sm AS source_match, rm AS registry_match FROM cmp""")
 def l29_debug_rows(spark, sf):
     return A.debug_rows(_links(spark, sf), _compared(spark, sf)).drop("first_kind", "last_kind", "vendor_match", "debug_id")

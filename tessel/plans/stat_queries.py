@@ -129,7 +129,7 @@ DIMENSIONS = {"name": "l10_peer_names", "state": "l10_peer_states", "facility":
 count(*) FILTER (has_conflict_linkage AND shares IS NULL) AS unknown, count(*) FILTER (NOT has_conflict_linkage) AS not_applicable, count(*) FILTER (has_conflict_linkage IS NULL) AS unknown_timing, '{d}' AS dimension, round(100.0::double * count(*) FILTER (shares) / nullif(count(*) FILTER (has_conflict_linkage), 0), 6) AS shared_pct
 FROM c LEFT JOIN {sub(q)} s ON s.source = c.source AND s.email = c.email AND s.npi = c.npi GROUP BY c.source""" for d, q in DIMENSIONS.items()))
 def q13_shared_values(spark, sf):
-    found = {"name": Q.l10_peer_names(spark, sf), "state": l10_state_shares(spark, sf), "facility": _shares(spark, sf, Q._facility_npis(spark, sf)), "taxonomy": l10_taxonomy_shares(spark, sf)}
+    found = {"name": Q.l10_name_shares(spark, sf), "state": l10_state_shares(spark, sf), "facility": _shares(spark, sf, Q._facility_npis(spark, sf)), "taxonomy": l10_taxonomy_shares(spark, sf)}
     return rounded(S.shared_values(_conflicts(spark, sf), found), "shared_pct")
 
 
