@@ -177,7 +177,7 @@ def similar_pairs(texts: DataFrame, gone: DataFrame, n: int, width: int, similar
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=["own", "h", "at", "m", "h2", "at2", "m2"])
 
     def pairs(batches):
-        for batch in batches:
+        for batch in slices(batches, BLOCK):
             columns = [[np.asarray(v.values) for v in batch.column(i)] for i in range(1, 7)]
             found = [np.zeros((0, 2), np.int64)]
             for own, h, at, m, h2, at2, m2 in zip(batch.column(0).to_pylist(), *columns):
