@@ -259,13 +259,12 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         found = connected_components(across)
         label = F.coalesce("root", "node").alias("label")
         named = members.drop("label", "root").join(found, "node", "left").select("node", label, F.explode("keys").alias("key"))
-        named, named_path = store(named, "named")
-        mixed_keys, mixed_path = store(named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"), "mixed")
-        open_nodes = named.join(_small(mixed_keys), "key", "left_semi").select("node", "label").distinct().join(apart, "node", "left_semi")
+        mixed_keys = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+        open_nodes = named.join(mixed_keys, "key", "left_semi").select("node", "label").distinct().join(apart, "node", "left_semi")
         left, left_path = store(members.drop("label", "keys").join(open_nodes, "node"), "members")
         paired, paired_path = store(dealt_out(left, True), "dealt")
         more, more_path = store(_link_items(docs, text_col, paired, width, percent), "links")
-        paths += [named_path, mixed_path, left_path, paired_path, more_path]
+        paths += [left_path, paired_path, more_path]
         roots = whole.unionAll(found if more.isEmpty() else connected_components(across.unionAll(more)))
     rooted = classes.select("s1", "s2", "node", "least").join(roots, "node", "left")
     least = rooted.where("root is not null").groupBy("root").agg(F.min("least").alias("group_least"))
