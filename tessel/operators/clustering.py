@@ -21,6 +21,8 @@ SELF_WEIGHT, THRESHOLD, PASSES = 1e-5, 1e-6, 100
 EDGES_PER_TASK = 250_000
 #: Nodes that a task's forest holds before it is sent on.
 FOREST = 1 << 19
+#: Edges of a round of components that one task takes at least, where there are more tasks than LEAST_TASKS.
+LINKS_PER_TASK, LEAST_TASKS = 1 << 16, 12
 
 Edges = dict[tuple, tuple[float, bool]]
 
@@ -59,23 +61,28 @@ def components(edges: DataFrame) -> DataFrame:
     Each task first keeps a forest of its edges only (nodes that are structs go as they are). Then, in each round, neighbours greater than a node
     move to its smallest neighbour, and each node points to its smallest, until every node points straight to its root. Rounds grow with
     the logarithm of the longest path. Smallest neighbours are combined before they are shuffled and meet the edges in joins,
-    which adaptive execution can split where one node has very many neighbours. Self edges, repeated edges and nulls do not matter.
+    which adaptive execution can split where one node has very many neighbours. Rounds of few edges take few tasks: partitions of a shuffle
+    are read together, by the number of edges, which no round raises. Self edges, repeated edges and nulls do not matter.
     """
     rounds = Rounds(edges.sparkSession)
     links = edges.where("a <> b").select("a", "b")
     if not isinstance(links.schema["a"].dataType, T.StructType):
         links = links.mapInArrow(_forest, links.schema)
     links = rounds.keep(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges_left = links.count()
     while True:
+        tasks = max(LEAST_TASKS, -(-edges_left // LINKS_PER_TASK))
         ends = F.inline(F.array(F.struct(F.col("a").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down"))))
-        if not links.select(ends).groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up + down > 1").count():
+        counted = links.select(ends).groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).coalesce(tasks)
+        edges_left, open_nodes = counted.agg(F.coalesce(F.sum("up"), F.lit(0)), F.count_if(F.expr("up > 1 OR up + down > 1"))).first()
+        if not open_nodes:
             break  # whatever points somewhere points to one node, which points nowhere
         ends = links.select(F.inline(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))))
         least = ends.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        moved = ends.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        moved = ends.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).coalesce(tasks)
         low = moved.groupBy("a").agg(F.min("b").alias("m"))
         pulled = moved.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        links = rounds.keep(pulled.unionAll(low.select("a", F.col("m").alias("b"))).distinct())
+        links = rounds.keep(pulled.coalesce(tasks).unionAll(low.select("a", F.col("m").alias("b")).coalesce(tasks)).distinct().coalesce(tasks))
     return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
