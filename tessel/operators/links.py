@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -213,7 +213,17 @@ def core_union(parts: list[DataFrame]) -> DataFrame:
     return union_all(parts)
 
 
+#: An e-mail as it is looked up.
+LOOKUP_KEY = "email_key"
+
+
+def normalised_email(email: Column) -> Column:
+    return F.lower(F.trim(email))
+
+
 def lookup(published: DataFrame, email: str, columns: list[str]) -> DataFrame:
-    """The rows of one e-mail, newest first within source and npi."""
-    hit = published.where(F.lower(F.trim("email")) == F.lower(F.trim(F.lit(email))))
+    """The rows of one e-mail, newest first within source and npi. A table with a stored key (see tessel.sources.keyed) is read where
+    that key may be; any other is read whole."""
+    own = F.col(LOOKUP_KEY) if LOOKUP_KEY in published.columns else normalised_email(F.col("email"))
+    hit = published.where(own == normalised_email(F.lit(email)))
     return hit.select(columns).orderBy("source", "npi", F.desc_nulls_last("last_seen_day"), "link_id")

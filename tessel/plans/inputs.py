@@ -63,6 +63,8 @@ INPUTS = {
         CASE c_nationkey % 4 WHEN 0 THEN '0000000000' WHEN 1 THEN 'bad' ELSE '2' || lpad(cast({whole('c_custkey / 40.0')} AS string), 9, '0') END || '|3' || lpad(cast(c_nationkey AS string), 9, '0') AS facility_npis,
         CASE WHEN c_acctbal > 0 THEN {whole('c_acctbal / 50')} END AS claims, CASE c_nationkey % 5 WHEN 0 THEN 'Claims, Web' WHEN 1 THEN ' Web' WHEN 2 THEN '' ELSE 'Claims' END AS sources,
         {pick('c_nationkey % 8', STATES)} AS state, CASE WHEN c_nationkey = 7 THEN ' ' ELSE 'loc' || cast(c_nationkey AS string) END AS location FROM customer"""),
+    "nicknames": ("part", f"""SELECT upper(split_part(p_name, ' ', 2)) || cast({whole('p_partkey / 10.0')} AS string) AS nickname,
+        upper(split_part(p_name, ' ', 1)) || '|' || p_type || cast(p_size % 5 AS string) AS canonical FROM part"""),
     "taxonomy": ("part", "SELECT DISTINCT upper(replace(p_brand, '#', '')) || '00X' AS code FROM part WHERE length(p_brand) = 8"),
     "provider_codes": ("customer", f"""SELECT '1' || lpad(cast({whole('c_custkey / 10.0')} * 6 + c_custkey % 6 AS string), 9, '0') AS npi, 'Brand' || cast(10 + c_nationkey AS string) || '00x' AS code_1,
         CASE WHEN c_acctbal < 0 THEN 'BRAND' || cast(11 + c_custkey % 9 AS string) || '00X' END AS code_2, 'none' AS code_3 FROM customer"""),

@@ -86,9 +86,10 @@ def _variants(spark):
     return A.nickname_variants(spark.createDataFrame(I.NICKNAMES, "nickname string, canonical string"))
 
 
-@query("WITH " + VARIANTS + " SELECT token AS first_name, array_to_string(vs, '|') AS variants FROM variants")
+@query(with_inputs("nicknames") + """, pairs AS (SELECT nickname, unnest(string_split(canonical, '|')) AS canonical FROM nicknames)
+SELECT a AS first_name, array_to_string(list_sort(list(DISTINCT b)), '|') AS variants FROM (SELECT nickname AS a, canonical AS b FROM pairs UNION SELECT canonical, nickname FROM pairs) GROUP BY a""")
 def l08_variants(spark, sf):
-    return _variants(spark).select("first_name", joined("variants"))
+    return A.nickname_variants(load(spark, sf, "nicknames")).select("first_name", joined("variants"))
 
 
 @query(with_inputs("names") + ", " + VARIANTS + f""", n AS (SELECT id, {d_norm("first_name")} AS fa, {d_norm("last_name")} AS la, {d_norm("other_first")} AS fb, {d_norm("other_last")} AS lb,
