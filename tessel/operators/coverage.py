@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessel.functions.text import crc_bucket, sample_bucket
-from tessel.operators.relational import fingerprint, mode
+from tessel.operators.relational import fingerprint, mode, running_sums
 from tessel.session import materialise
 
 
@@ -34,17 +34,6 @@ def star_sample(claims: DataFrame, share: float) -> DataFrame:
     return claims.where(sample_bucket(F.col("group_id")) < int(share * 16**6))
 
 
-def running_sums(values: DataFrame, value: str, weights: list[str]) -> DataFrame:
-    """Rows of distinct values with running sums of their weights, in the values' order. Values are dealt out by ranges; each range adds the
-    totals of those before it, so that no task sees them all."""
-    ranged = materialise(values.repartitionByRange(value).withColumn("_p", F.spark_partition_id()))
-    totals = ranged.groupBy("_p").agg(*[F.sum(w).alias(f"_{w}") for w in weights])  # a row for each range
-    before = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
-    starts = totals.select("_p", *[F.coalesce(F.sum(f"_{w}").over(before), F.lit(0)).alias(f"_{w}") for w in weights])
-    own = W.partitionBy("_p").orderBy(value)
-    return ranged.join(F.broadcast(starts), "_p").select(value, *[(F.sum(w).over(own) + F.col(f"_{w}")).alias(w) for w in weights])
-
-
 def weighted_ecdf(values: DataFrame, value: str, weight: str) -> DataFrame:
     """Cumulative share of weight at each distinct value."""
     sums = values.groupBy(value).agg(F.sum(weight).alias("w"))

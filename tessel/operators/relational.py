@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessel.session import materialise
+
 
 def mutual_best(counts: DataFrame, left: str, right: str, n: str) -> DataFrame:
     """Pairs that are each other's best by count; a pair that shares its best with another is rejected, not chosen."""
@@ -35,12 +37,34 @@ def fingerprint(frame: DataFrame, by: list[str] = ()) -> DataFrame:
     return frame.groupBy(*by).agg(F.count("*").alias("rows"), F.sum(F.xxhash64(*marked).cast("decimal(38,0)")).alias("fingerprint"))
 
 
+def _beside(frame: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:
+    """Rows with the totals of their key, null being a key like any other. Totals have a row for each key, one in all without a key."""
+    named = totals.withColumnsRenamed({c: f"_of_{c}" for c in by})
+    if not by:
+        return frame.crossJoin(F.broadcast(named))
+    return frame.join(named, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by])).drop(*[f"_of_{c}" for c in by])
+
+
+def running_sums(values: DataFrame, value: str, weights: list[str], by: list[str] = ()) -> DataFrame:
+    """Rows of distinct values (of each key) with running sums of their weights, in the values' order. Values are dealt out by ranges; each range
+    adds the totals of those before it, so that no task sees all values of a key."""
+    by = list(by)
+    ranged = materialise(values.repartitionByRange(*by, value).withColumn("_p", F.spark_partition_id()))
+    totals = ranged.groupBy("_p", *by).agg(*[F.sum(w).alias(f"_{w}") for w in weights])  # a row for each range and key in it
+    before = W.partitionBy(*by).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    starts = totals.select("_p", *by, *[F.coalesce(F.sum(f"_{w}").over(before), F.lit(0)).alias(f"_{w}") for w in weights])
+    own = W.partitionBy("_p", *by).orderBy(value)
+    joined = _beside(ranged, starts, ["_p", *by]) if by else ranged.join(F.broadcast(starts), "_p")
+    return joined.select(*by, value, *[(F.sum(w).over(own) + F.col(f"_{w}")).alias(w) for w in weights])
+
+
 def exact_percentiles(frame: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """Nearest-rank percentiles from value counts and a running sum, so only distinct values are sorted."""
+    """Nearest-rank percentiles from value counts and running sums, so only distinct values are sorted, in ranges."""
     counts = frame.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
-    w = W.partitionBy(*by)
-    run = counts.withColumn("_r", F.sum("_c").over(w.orderBy(value))).withColumn("_t", F.sum("_c").over(w))
-    return run.groupBy(*by).agg(*[F.min(F.when(F.col("_r") >= F.ceil(F.col("_t") * s), F.col(value))).alias(name) for name, s in shares.items()])
+    run = running_sums(counts, value, ["_c"], by)
+    whole = run.groupBy(*by).agg(F.max("_c").alias("_t"))
+    at = lambda s: F.min(F.when(F.col("_c") >= F.ceil(F.col("_t") * s), F.col(value)))
+    return _beside(run, whole, by).groupBy(*by).agg(*[at(s).alias(name) for name, s in shares.items()])
 
 
 def mode(frame: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -76,6 +100,14 @@ def members_by_label(frame: DataFrame, label: str, member: str) -> DataFrame:
     return frame.select(label, member).distinct().join(groups, label).select(member, "members")
 
 
+def groups_of_members(frame: DataFrame, label: str, member: str) -> DataFrame:
+    """Each member with the size and 128 bits of hash of its group's members, which no renaming of labels changes. Sums are combined before
+    they are shuffled, and no group is held as a list."""
+    rows = frame.select(label, member).distinct()
+    sums = [F.sum(F.xxhash64(F.lit(k), member).cast("decimal(38,0)")).alias(f"members_{k}") for k in (1, 2)]
+    return rows.join(rows.groupBy(label).agg(F.count("*").alias("size"), *sums), label).select(member, "size", "members_1", "members_2")
+
+
 def compare_clusterings(left: DataFrame, right: DataFrame, label: str = "group_id", member: str = "uid") -> DataFrame:
     """How many rows differ, as they are (strict), and with labels replaced by the groups' members (structural, which no renaming changes)."""
 
@@ -84,7 +116,7 @@ def compare_clusterings(left: DataFrame, right: DataFrame, label: str = "group_i
         return difference.agg(F.count("*").alias("differing"), F.coalesce(up, F.lit(0)).alias("left_only"), F.coalesce(down, F.lit(0)).alias("right_only")).select(F.lit(kind).alias("kind"), "*")
 
     named = [f.select(member, label) for f in (left, right)]
-    sets = [members_by_label(f, label, member).distinct() for f in named]
+    sets = [groups_of_members(f, label, member).distinct() for f in named]
     return counted("strict", multiset_difference(*named)).unionAll(counted("structural", multiset_difference(*sets)))
 
 

@@ -5,6 +5,8 @@ Their SQL reads other oracles as subqueries, so that each number is worked out i
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessel.functions import text as T
@@ -17,7 +19,8 @@ from tessel.operators import statistics as S
 from tessel.plans import link_queries as Q
 from tessel.plans.inputs import load, with_inputs
 from tessel.plans.queries import LINKS, ORACLE_SQL, _claims, _conflicts, _links, g20_publish, joined, query, rounded
-from tessel.session import materialise
+from tessel.session import materialise, shared_folder
+from tessel.sources.keyed import write_keyed
 
 
 def sub(name: str) -> str:
@@ -286,6 +289,13 @@ def l30_lookup(spark, sf):
     return L.lookup(_chain(spark, sf), " JSmith1@clinic.example ", [*L.KEY, "link_id", "observation_count", "email_matches_source_name", "has_conflict_linkage", "last_seen_day"]).drop("last_seen_day")
 
 
+@query(f"SELECT source, email, npi, link_id, observation_count, last_seen_day FROM {sub('l03_links')} WHERE lower(trim(email)) = 'jsmith1@clinic.example'")
+def l30_keyed_lookup(spark, sf):
+    """All links are laid out by e-mail; the lookup then reads the row groups that may hold one."""
+    links = write_keyed(_links(spark, sf), f"{shared_folder(spark)}/keyed-{uuid.uuid4().hex}")
+    return L.lookup(links, " JSmith1@clinic.example ", [*L.KEY, "link_id", "observation_count", "last_seen_day"])
+
+
 # --- invariants -----------------------------------------------------------------------------------------------------------------------
 
 #: What is tampered with, as SQL over the tables: how many rows break the rule then.
