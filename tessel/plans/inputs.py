@@ -1,4 +1,4 @@
-"""Logical inputs over the driver's tables, all rows of them. One text for each input, in SQL that Spark and DuckDB both read; {json} is the one
+"""Logical inputs over the driver's tables, which are read whole; claims and registry names know a share of the customers only. One text for each input, in SQL that Spark and DuckDB both read; {json} is the one
 difference. Keys grow with the tables: users meet within blocks of 25, groups hold about 15 customers, an e-mail has up to six npis."""
 
 from __future__ import annotations
