@@ -78,11 +78,11 @@ def seeds(members: DataFrame, edges: DataFrame) -> DataFrame:
     return members.join(ends, "uid", "left_semi").withColumn("reason", F.lit("SEED"))
 
 
-def propagate(assigned: DataFrame, edges: DataFrame, cap: int = CAP, cap_first: bool = False) -> DataFrame:
+def propagate(assigned: DataFrame, edges: DataFrame, cap: int = CAP, cap_first: bool = False, both_ways: bool = False) -> DataFrame:
     """Give neighbours of members the group with the greatest summed weight (double if stable), then keep `cap` uids of each
-    group, the heaviest. A uid that loses at the cap gets no other group; `cap_first` caps before choosing."""
+    group, the heaviest. A uid that loses at the cap gets no other group; `cap_first` caps before choosing. `both_ways`: the edges are doubled already."""
     own = assigned.select(F.col("uid").alias("uid2"), "group_id", "household_id", "stable")
-    sums = doubled(edges).join(own, "uid2").groupBy(F.col("uid1").alias("uid"), "group_id", "household_id", "stable").agg(F.sum("weight").alias("w"))
+    sums = (edges if both_ways else doubled(edges)).join(own, "uid2").groupBy(F.col("uid1").alias("uid"), "group_id", "household_id", "stable").agg(F.sum("weight").alias("w"))
     open_ = sums.withColumn("w", F.when(F.col("stable"), F.col("w") * 2).otherwise(F.col("w"))).join(assigned.select("uid").distinct(), "uid", "left_anti")
     steps = [(["uid"], [F.desc("w"), F.desc("group_id")], 1), (["group_id"], [F.desc("w"), F.desc("uid")], cap)]
     for by, order, k in reversed(steps) if cap_first else steps:
@@ -92,9 +92,9 @@ def propagate(assigned: DataFrame, edges: DataFrame, cap: int = CAP, cap_first:
 
 def remainder(edges: DataFrame, assigned: DataFrame, geo: DataFrame) -> DataFrame:
     """Edges whose ends are both unassigned and in one geo."""
-    done = assigned.select("uid").distinct()
+    open_ = geo.select("uid", "geo").join(assigned.select("uid").distinct(), "uid", "left_anti")
     for end in ("uid1", "uid2"):
-        edges = edges.join(done.withColumnRenamed("uid", end), end, "left_anti").join(geo.select(F.col("uid").alias(end), F.col("geo").alias(f"g_{end}")), end)
+        edges = edges.join(open_.select(F.col("uid").alias(end), F.col("geo").alias(f"g_{end}")), end)
     return edges.where("g_uid1 = g_uid2").select("uid1", "uid2", "weight", F.col("g_uid1").alias("geo"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessel.functions import text as T
@@ -13,7 +15,9 @@ from tessel.operators import lookups as K
 from tessel.operators import relational as R
 from tessel.operators import statistics as S
 from tessel.plans.inputs import load, with_inputs
-from tessel.session import materialise
+from tessel.session import materialise, shared_folder
+from tessel.sources.bucketed import store_lookups
+from tessel.sources.ledger import Run
 
 DAY = "2024-01-30"
 QUERIES: dict = {}
@@ -247,6 +251,31 @@ def g26_lookups(spark, sf):
     return K.match_lookup(rows).unionAll(K.household_lookup(rows)).select("graphid", joined("uids"))
 
 
+@query(PUBLISHED + """, m AS (SELECT 'NS_' || group_id AS graphid, count(DISTINCT uid) AS uids FROM published WHERE group_id <> '' GROUP BY group_id HAVING count(*) BETWEEN 2 AND 49
+UNION ALL SELECT 'NSH_' || household_id, count(DISTINCT uid) FROM published WHERE household_id <> '' GROUP BY household_id HAVING count(*) < 50),
+g AS (SELECT DISTINCT uid, 'NS_' || group_id AS graphid FROM published UNION SELECT uid, 'NSH_' || household_id FROM published) SELECT uid, graphid, uids FROM g JOIN m USING (graphid) WHERE length(graphid) > 7""")
+def g26_stored_lookups(spark, sf):
+    """Every uid with its graph ids and their sizes, from the bucketed tables."""
+    name = uuid.uuid4().hex
+    stored = store_lookups(materialise(g20_publish(spark, sf)), f"lookup_{name}", f"{shared_folder(spark)}/lookup-{name}", 7)
+    sizes = stored.match.unionAll(stored.household).select("graphid", F.size("uids").cast("long").alias("uids"))
+    return stored.uid.select("uid", F.explode("graphids").alias("graphid")).join(sizes, "graphid").select("uid", "graphid", "uids")
+
+
+@query(PUBLISHED + " SELECT uid, group_id, household_id, reason FROM published")
+def s08_run(spark, sf):
+    """The published rows by a ledger of steps: a run that ended after its first step is opened again and goes on; nothing is written twice."""
+    inputs = {"tables": sf}
+    path = f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}"
+    Run(spark, path, "flow", inputs).table("published", g20_publish(spark, sf))
+    run = Run(spark, path, "flow", inputs)
+    bucket, values = F.pmod(F.xxhash64("uid"), F.lit(4)).cast("int"), list(range(4))
+    run.load("buckets", run.read("published"), values, bucket)
+    if run.load("buckets", run.read("published"), values, bucket)["loaded"]:
+        raise ValueError("a committed bucket was loaded again")
+    return run.loaded("buckets", values).select("uid", "group_id", "household_id", "reason")
+
+
 @query(PUBLISHED + """, g AS (SELECT uid, 'NS_' || group_id AS graphid FROM published UNION ALL SELECT uid, 'NSH_' || household_id FROM published)
 SELECT uid, array_to_string(list_sort(list(DISTINCT graphid)), '|') AS graphids FROM g WHERE length(graphid) > 7 GROUP BY uid""")
 def g26_uid_lookup(spark, sf):
