@@ -18,6 +18,7 @@ from tessel.plans.inputs import load, with_inputs
 from tessel.session import materialise, shared_folder
 from tessel.sources.bucketed import store_lookups
 from tessel.sources.ledger import Run
+from tessel.streaming.lookbacks import Lookback
 
 DAY = "2024-01-30"
 QUERIES: dict = {}
@@ -76,6 +77,17 @@ def g07_lookback(spark, sf):
     return G.lookback(_pairs(spark, sf), DAY).withColumn("weight", F.round("weight", 6))
 
 
+@query(with_inputs("activity") + OBS + "SELECT uid1, uid2, round(weight, 6) AS weight FROM recent")
+def g07_moved_lookback(spark, sf):
+    """The window of two days before, moved on by two days."""
+    pairs = materialise(_pairs(spark, sf))
+    window = Lookback(Run(spark, f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}", "lookback", {"tables": sf}), "days15", 15)
+    window.start(pairs, "2024-01-28")
+    for day in ("2024-01-29", DAY):
+        window.add(day, pairs.where(F.col("day") == F.lit(day).cast("date")))
+    return window.weights(DAY).withColumn("weight", F.round("weight", 6))
+
+
 @query(with_inputs("activity") + OBS + "SELECT * FROM often")
 def g08_lookback_count(spark, sf):
     return G.lookback_count(_pairs(spark, sf), DAY)

@@ -107,6 +107,12 @@ class Run:
     def committed(self, step: str) -> dict | None:
         return self._get(f"{step}/commit.json")
 
+    def steps(self, below: str) -> list[str]:
+        """Names of the committed steps right below a path, in order."""
+        target, fs = _fs(self.spark, f"{self.path}/{below}")
+        names = sorted(s.getPath().getName() for s in fs.listStatus(target)) if fs.exists(target) else []
+        return [n for n in names if self.committed(f"{below}/{n}")]
+
     def attempts(self, step: str) -> list[dict]:
         """Entries of all attempts, oldest first."""
         found = []
