@@ -3,6 +3,7 @@
 import random
 from collections import Counter, defaultdict
 
+from tessel.operators import clustering
 from tessel.operators.clustering import cluster, cluster_geos, cluster_large, components
 
 # The one published answer of this algorithm, whose program is not public; edges and answer must stay as they are.
@@ -101,3 +102,24 @@ def test_components(spark):
     rows = [(k, k + 1) for k in range(50)] + [(100, 200), (200, 300), (7, 7)]
     found = {tuple(r) for r in components(spark.createDataFrame(rows, "a long, b long")).collect()}
     assert found == {(k, 0) for k in range(51)} | {(100, 100), (200, 100), (300, 100)}
+
+
+def test_rounds_see_whole_numbers_in_the_order_of_geos_and_uids(spark, monkeypatch):
+    """Structs of geo and uid are numbered once, before components and rounds; no round shuffles or sorts them."""
+    kinds = []
+
+    def noted(edges, *_):
+        kinds.append(edges.schema["a"].dataType.simpleString())
+        return edges.selectExpr("inline(array(struct(a AS n), struct(b AS n)))").distinct().selectExpr("n", "n AS label")
+
+    real = clustering.components
+    monkeypatch.setattr(clustering, "components", lambda edges: kinds.append(edges.schema["a"].dataType.simpleString()) or real(edges))
+    monkeypatch.setattr(clustering, "propagate", noted)
+    rows = [("b", 3, 9, 1.0, True, False), ("b", 9, 4, 1.0, False, False), ("a", 7, 5, 1.0, False, True), (None, 0, 9, 1.0, False, False)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    found = cluster_geos(frame, 1)
+    assert kinds == ["bigint"] * 4
+    assert {tuple(r)[:3] for r in found.collect()} == {("b", 3, 3), ("b", 9, 9), ("b", 4, 4), ("a", 7, 7), ("a", 5, 5), (None, 0, 0), (None, 9, 9)}
+    _, ids = clustering._numbered(frame)
+    order = [(r.geo, r.uid) for r in ids.orderBy("id").collect()]
+    assert order == sorted(order, key=lambda n: (n[0] is not None, n[0] or "", n[1])) and len(order) == 7
