@@ -13,7 +13,7 @@ from tessel.operators import relational as R
 from tessel.plans import inputs as I
 from tessel.plans.inputs import load, with_inputs
 from tessel.plans.link_queries import AS_OF, LOCATION, WINDOW, _location_inputs, _raw
-from tessel.plans.queries import FLOW, JOB2, OBS, PUBLISHED, _aligned, _claims, _edges, _flow, _job1, g20_publish, joined, query
+from tessel.plans.queries import FLOW, JOB2, OBS, PUBLISHED, _aligned, _claims, _edges, _flow, _job1, _stored_flow, joined, query
 from tessel.session import materialise
 from tessel.sources import catalog as K
 from tessel.streaming.hourly import hourly_counts
@@ -175,15 +175,21 @@ def m01_source_counts(spark, sf):
 STAGES_SQL = ", staged AS (SELECT 'aligned' AS stage, * FROM aligned UNION ALL SELECT 'spread1', * FROM spread1 UNION ALL SELECT 'spread2', * FROM spread2)"
 
 
-def _staged(spark, sf):
-    aligned, _, _, one, two = _flow(spark, sf)
-    return materialise(R.union_all([f.withColumn("stage", F.lit(n)) for f, n in ((aligned, "aligned"), (one, "spread1"), (two, "spread2"))]))
+def _staged(flow):
+    aligned, _, _, one, two = flow
+    return R.union_all([f.withColumn("stage", F.lit(n)) for f, n in ((aligned, "aligned"), (one, "spread1"), (two, "spread2"))])
+
+
+def _staged_and_published(spark, sf):
+    """The stages' rows and what is published of them, from one run of the flow; its parts are stored."""
+    flow = _stored_flow(spark, sf)
+    return _staged(flow), G.publish([flow[0], *flow[3:]])
 
 
 @query(PUBLISHED + STAGES_SQL + """, n AS (SELECT DISTINCT uid, CASE WHEN stable THEN 'S_' ELSE '' END || cast(group_id AS string) AS group_id, stage FROM staged), f AS (SELECT DISTINCT uid, group_id FROM published)
 SELECT stage, f.uid IS NOT NULL AS published, count(DISTINCT n.group_id) AS group_ids, count(*) AS assignments FROM n LEFT JOIN f ON f.uid = n.uid AND f.group_id = n.group_id GROUP BY ALL""")
 def m07_stage_publication(spark, sf):
-    return C.stage_publication(_staged(spark, sf), g20_publish(spark, sf))
+    return C.stage_publication(*_staged_and_published(spark, sf))
 
 
 @query(PUBLISHED + STAGES_SQL + """, c AS (SELECT 1 AS p, 'sources' AS checkpoint, (SELECT count(DISTINCT group_id) FROM claims_a) + (SELECT count(DISTINCT group_id) FROM claims_b) + (SELECT count(DISTINCT group_id) FROM claims_c) AS group_ids, (SELECT count(*) FROM claims_a) + (SELECT count(*) FROM claims_b) + (SELECT count(*) FROM claims_c) AS rows
@@ -191,7 +197,7 @@ def m07_stage_publication(spark, sf):
 SELECT checkpoint, group_ids, rows, group_ids - lag(group_ids) OVER (ORDER BY p) AS change, round(group_ids::double / first(group_ids) OVER (ORDER BY p), 6) AS retained FROM c""")
 def m10_flow_table(spark, sf):
     total = C.source_counts(dict(zip("abc", _claims(spark, sf)))).agg(F.sum("group_ids").alias("group_ids"), F.sum("rows").alias("rows")).withColumn("checkpoint", F.lit("sources"))
-    staged, final = _staged(spark, sf), g20_publish(spark, sf)
+    staged, final = _staged_and_published(spark, sf)
     count = lambda f, name: f.agg(F.countDistinct("group_id").alias("group_ids"), F.count("*").alias("rows")).withColumn("checkpoint", F.lit(name))
     rows = R.union_all([total, count(staged.where("stage = 'aligned'"), "aligned"), count(staged, "spread"), count(final, "final")])
     return C.flow_table(rows, ["sources", "aligned", "spread", "final"]).withColumn("retained", F.round("retained", 6))
@@ -199,7 +205,7 @@ def m10_flow_table(spark, sf):
 
 @query(PUBLISHED + STAGES_SQL + " SELECT uid, count(DISTINCT stage) AS stages, count(DISTINCT group_id) AS group_ids, count(DISTINCT reason) AS reasons, count(*) AS rows FROM staged GROUP BY uid")
 def g21_multiplicity(spark, sf):
-    return G.multiplicity(_staged(spark, sf))
+    return G.multiplicity(_staged(_flow(spark, sf)))
 
 
 @query(JOB2 + """, g1 AS (SELECT group_id, string_agg(uid, '|' ORDER BY uid) AS members FROM (SELECT DISTINCT group_id, uid FROM job1) GROUP BY group_id), g2 AS (SELECT group_id, string_agg(uid, '|' ORDER BY uid) AS members FROM (SELECT DISTINCT group_id, uid FROM aligned) GROUP BY group_id),
