@@ -18,7 +18,7 @@ from tessel.operators import relational as R
 from tessel.operators import statistics as S
 from tessel.plans import link_queries as Q
 from tessel.plans.inputs import load, with_inputs
-from tessel.plans.queries import LINKS, ORACLE_SQL, _claims, _conflicts, _links, g20_publish, joined, query, rounded
+from tessel.plans.queries import LINKS, ORACLE_SQL, _claims, _conflicts, _links, g20_publish, joined, query, rounded, shared_steps
 from tessel.session import materialise, shared_folder
 from tessel.sources.keyed import write_keyed
 
@@ -132,8 +132,9 @@ DIMENSIONS = {"name": "l10_peer_names", "state": "l10_peer_states", "facility":
 count(*) FILTER (has_conflict_linkage AND shares IS NULL) AS unknown, count(*) FILTER (NOT has_conflict_linkage) AS not_applicable, count(*) FILTER (has_conflict_linkage IS NULL) AS unknown_timing, '{d}' AS dimension, round(100.0::double * count(*) FILTER (shares) / nullif(count(*) FILTER (has_conflict_linkage), 0), 6) AS shared_pct
 FROM c LEFT JOIN {sub(q)} s ON s.source = c.source AND s.email = c.email AND s.npi = c.npi GROUP BY c.source""" for d, q in DIMENSIONS.items()))
 def q13_shared_values(spark, sf):
-    found = {"name": Q.l10_name_shares(spark, sf), "state": l10_state_shares(spark, sf), "facility": _shares(spark, sf, Q._facility_npis(spark, sf)), "taxonomy": l10_taxonomy_shares(spark, sf)}
-    return rounded(S.shared_values(_conflicts(spark, sf), found), "shared_pct")
+    with shared_steps():
+        found = {"name": Q.l10_name_shares(spark, sf), "state": l10_state_shares(spark, sf), "facility": _shares(spark, sf, Q._facility_npis(spark, sf)), "taxonomy": l10_taxonomy_shares(spark, sf)}
+        return rounded(S.shared_values(_conflicts(spark, sf), found), "shared_pct")
 
 
 @query(f"""WITH c AS {sub('l06_conflicts')}, s AS {sub('l19_labels')} SELECT c.source, dimension, count(*) AS links, count(*) FILTER (has_conflict_linkage) AS conflict_links, count(DISTINCT c.email) FILTER (has_conflict_linkage) AS conflict_emails, count(*) FILTER (shares) AS shared, count(*) FILTER (NOT shares) AS different,
@@ -261,11 +262,14 @@ CHAIN_SQL = "SELECT b.source, b.email, b.npi, b.link_id, b.observation_count, "
     f"LEFT JOIN {sub(n)} {n} ON {n}.source = b.source AND {n}.email = b.email" + ("" if n == "l20_sequence" else f" AND {n}.npi = b.npi") for n in CHAIN)
 
 
-def _chain(spark, sf):
+def _chain(spark, sf, asked=None):
+    """All evidence of all links, or of those that `asked` is true of; the steps share what they have in common."""
     from tessel.plans.queries import QUERIES
 
-    steps = [(n, QUERIES[n](spark, sf).select(*[c for c in L.KEY if n != "l20_sequence" or c != "npi"], *cs)) for n, cs in CHAIN.items()]
-    return L.enrich(_links(spark, sf).select(*L.KEY, "link_id", "observation_count", "last_seen_day"), steps, ("l13_registry_links", "l19_labels"))
+    with shared_steps():
+        steps = [(n, QUERIES[n](spark, sf).select(*[c for c in L.KEY if n != "l20_sequence" or c != "npi"], *cs)) for n, cs in CHAIN.items()]
+        base = _links(spark, sf).select(*L.KEY, "link_id", "observation_count", "last_seen_day")
+        return L.enrich(base if asked is None else base.where(asked), steps, ("l13_registry_links", "l19_labels"))
 
 
 @query(CHAIN_SQL)
@@ -286,7 +290,9 @@ def l28_union(spark, sf):
 
 @query(f"SELECT source, email, npi, link_id, observation_count, email_matches_source_name, has_conflict_linkage FROM ({CHAIN_SQL}) WHERE email = 'jsmith1@clinic.example'")
 def l30_lookup(spark, sf):
-    return L.lookup(_chain(spark, sf), " JSmith1@clinic.example ", [*L.KEY, "link_id", "observation_count", "email_matches_source_name", "has_conflict_linkage", "last_seen_day"]).drop("last_seen_day")
+    """The e-mail is looked for among the links, before they meet their evidence."""
+    asked = " JSmith1@clinic.example "
+    return L.lookup(_chain(spark, sf, L.normalised_email(F.col("email")) == L.normalised_email(F.lit(asked))), asked, [*L.KEY, "link_id", "observation_count", "email_matches_source_name", "has_conflict_linkage", "last_seen_day"]).drop("last_seen_day")
 
 
 @query(f"SELECT source, email, npi, link_id, observation_count, last_seen_day FROM {sub('l03_links')} WHERE lower(trim(email)) = 'jsmith1@clinic.example'")
