@@ -79,9 +79,10 @@ class Encoder:
         if not found:
             return self.whole(text)
         tail = found[2]
-        if tail and tail not in self.cores:
-            self.cores[tail] = self.whole(tail)
-        return self.core(found[1].lower()) + (self.cores[tail] if tail else b"")
+        closing = self.cores.get(tail) if tail else b""
+        if closing is None:
+            closing = self.cores[tail] = self.whole(tail)
+        return self.core(found[1].lower()) + closing  # core() may empty the store, so the tail's ids are in hand before
 
     def encode(self, raw: bytes) -> bytes:
         if not self.by_piece:

@@ -487,6 +487,13 @@ def test_encoder_is_the_tokenizer(text):
     assert np.frombuffer(coder.encode(text.encode()), coder.dtype).tolist() == Tokenizer.from_file(queries.tokenizer_path()).encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_keeps_a_tail_when_its_store_is_emptied(monkeypatch):
+    monkeypatch.setattr(token_store, "REMEMBERED", 2)
+    coder = token_store.Encoder(queries.tokenizer_path())
+    for word in ("one.", "two.", "three,", "four.", "five,", "six.", "seven,"):
+        assert coder.encode(word.encode()) == coder.whole(word)
+
+
 def test_perfect_hash():
     keys = np.unique(np.random.default_rng(1).integers(0, 2**63, 20_000, dtype=np.uint64))
     table = token_store.PerfectHash.build(keys)
