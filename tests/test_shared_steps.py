@@ -31,3 +31,10 @@ def test_links_are_built_once(spark, monkeypatch):
     links = counted(monkeypatch, Q.L, "links")
     assert QUERIES["q13_shared_values"](spark, SF).collect() and len(links) == 1
     assert not P._SHARED
+
+
+def test_invariants_build_evidence_once(spark, monkeypatch):
+    calls = [counted(monkeypatch, m, f) for m, f in ((Q.L, "links"), (Q.R, "record_versions"), (Q.R, "link_records"))]
+    rows = QUERIES["i00_invariants"](spark, SF).collect()
+    assert {r.sound for r in rows if r.invariant != "membership"} == {0}
+    assert [len(c) for c in calls] == [1, 1, 1] and not P._SHARED
