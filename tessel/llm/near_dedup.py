@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessel.llm.common import cut, drop_path, raw_texts, slices, store, words
-from tessel.llm.components import connected_components
-from tessel.llm.simhash import SEED, link_edges, shingle_hashes, simhash
+from tessel.llm.simhash import SEED, linked, shingle_hashes, simhash
 from tessel.llm.superminhash import dealt_out, item_sets, led, work_items
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -242,7 +241,7 @@ def near_duplicate_texts(docs: DataFrame, text_col: str, width: int, similarity:
     texts = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     fps = cut(_probe(texts, probe))
     distinct = fps.select("fp").distinct()
-    roots = connected_components(link_edges(distinct, radius, distinct.count()))
+    roots = linked(distinct, radius)
     named = fps.join(roots, fps.fp == roots.node, "left").select("h", "n", F.coalesce("root", "fp").alias("root"))
     sizes = named.groupBy("root").count().where("count > 1").select("root")
     members = named.join(sizes, "root", "left_semi").select("h", "root", "n", *(F.col("h").alias(c) for c in ("t", "node", "label")))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessel.llm.common import cut, raw_texts, slices, words
 from tessel.llm.components import connected_components
+from tessel.operators.clustering import forest
 
 SEED = 42
 #: Largest number of members of a bucket that one work item compares at once; larger buckets are dealt out as pairs of such chunks.
@@ -187,7 +188,7 @@ def signed(x: int) -> int:
 
 
 def link_edges(distinct: DataFrame, radius: int, n: int, chunk: int = CHUNK) -> DataFrame:
-    """Edges (a, b) that connect the distinct fingerprints `fp` exactly as all links within the radius do."""
+    """Edges (a, b) that connect the distinct fingerprints `fp` exactly as all links within the radius do; of each task's, a forest."""
     # the masks are one folded literal, so that the plan and its code stay small for any number of them
     masks = F.split(F.lit(",".join(str(signed(m)) for m in block_masks(radius, n))), ",").cast("array<bigint>")
     keyed = distinct.select("fp", F.posexplode(masks).alias("k", "mask")).select("fp", F.col("k").cast("short").alias("k"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
@@ -226,7 +227,12 @@ def link_edges(distinct: DataFrame, radius: int, n: int, chunk: int = CHUNK) ->
         if len(other):
             yield pa.RecordBatch.from_arrays([pa.array(fp[other]), pa.array(fp[label[other]])], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(lambda batches: forest(run(batches)), "a long, b long")
+
+
+def linked(distinct: DataFrame, radius: int) -> DataFrame:
+    """(node, root) of the distinct fingerprints `fp` that have another within the radius."""
+    return connected_components(link_edges(distinct, radius, distinct.count()), thinned=True)
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
@@ -242,7 +248,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     fps = cut(fingerprints(docs, id_col, text_col, width))
     distinct = cut(fps.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = connected_components(link_edges(distinct.select("fp"), radius, distinct.count()))
+    roots = linked(distinct.select("fp"), radius)
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", "root")
     group = rooted.where("root is not null").groupBy("root").agg(F.min("least").alias("group_least"))
     named = rooted.join(group, "root", "left").select("fp", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("group_least")).alias("component_id"))

@@ -16,13 +16,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm.common import cut, new_path, raw_texts
+from tessel.llm.common import cut, new_path, raw_texts, slices
 
 MAGIC = b"TSLIDS01"
 HEAD = "<8sBxxxIQ"  # magic, bytes per id, shard, zero: 24 bytes
 HEAD_BYTES = 24
-#: Words whose ids a worker remembers; the store is emptied beyond it, which only costs time.
-REMEMBERED = 400_000
+#: Words whose ids a worker remembers; the store is emptied beyond it, which only costs time. Words of more bytes are not remembered.
+REMEMBERED, REMEMBERED_BYTES = 400_000, 64
 
 
 def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
@@ -70,7 +70,9 @@ class Encoder:
             if len(self.cores) > REMEMBERED:
                 self.cores.clear()
             letters = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
-            out = self.cores[word] = self.packed([t.id for t in self.model.tokenize(letters)])
+            out = self.packed([t.id for t in self.model.tokenize(letters)])
+            if len(letters) <= REMEMBERED_BYTES:
+                self.cores[word] = out
         return out
 
     def piece(self, raw: bytes) -> bytes:
@@ -81,22 +83,25 @@ class Encoder:
         tail = found[2]
         closing = self.cores.get(tail) if tail else b""
         if closing is None:
-            closing = self.cores[tail] = self.whole(tail)
+            closing = self.whole(tail)
+            if len(tail) <= REMEMBERED_BYTES:
+                self.cores[tail] = closing
         return self.core(found[1].lower()) + closing  # core() may empty the store, so the tail's ids are in hand before
 
     def encode(self, raw: bytes) -> bytes:
         if not self.by_piece:
             return self.whole(raw.decode("utf-8", "replace"))
-        parts, known = raw.split(), self.pieces
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            if len(known) > REMEMBERED:
-                known.clear()
-            for p in parts:
-                if p not in known:
-                    known[p] = self.piece(p)
-            return b"".join([known[p] for p in parts])
+        known, out = self.pieces, []
+        if len(known) > REMEMBERED:
+            known.clear()
+        for p in raw.split():
+            ids = known.get(p)
+            if ids is None:
+                ids = self.piece(p)
+                if len(p) <= REMEMBERED_BYTES:
+                    known[p] = ids
+            out.append(ids)
+        return b"".join(out)
 
 
 @lru_cache(2)
@@ -236,7 +241,7 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         home, base = open_fs(path)
         name, attempt = f"{base}/shard-{number:06d}", TaskContext.get().taskAttemptId()
         try:
-            for batch in batches:
+            for batch in slices(batches):
                 mine = batch.column(0).to_pylist()
                 if mine and out is None:
                     home.create_dir(base, recursive=True)

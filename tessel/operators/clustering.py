@@ -27,7 +27,7 @@ LINKS_PER_TASK, LEAST_TASKS = 1 << 16, 12
 Edges = dict[tuple, tuple[float, bool]]
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of the edges that a task holds, as few as connect the same nodes: each node with the least that it reaches through them."""
     top: dict = {}
 
@@ -55,10 +55,11 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, thinned: bool = False) -> DataFrame:
     """(node, root) of edges (a, b): root is the smallest node that links reach. Nodes are of any type with an order.
 
-    Each task first keeps a forest of its edges only (nodes that are structs go as they are). Then, in each round, neighbours greater than a node
+    Each task first keeps a forest of its edges only (nodes that are structs go as they are, and so do edges that are `thinned`: that went
+    through forest() in the Python operator that made them, as a task of two such operators takes two workers). Then, in each round, neighbours greater than a node
     move to its smallest neighbour, and each node points to its smallest, until every node points straight to its root. Rounds grow with
     the logarithm of the longest path. Smallest neighbours are combined before they are shuffled and meet the edges in joins,
     which adaptive execution can split where one node has very many neighbours. Rounds of few edges take few tasks: partitions of a shuffle
@@ -66,8 +67,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     rounds = Rounds(edges.sparkSession)
     links = edges.where("a <> b").select("a", "b")
-    if not isinstance(links.schema["a"].dataType, T.StructType):
-        links = links.mapInArrow(_forest, links.schema)
+    if not thinned and not isinstance(links.schema["a"].dataType, T.StructType):
+        links = links.mapInArrow(forest, links.schema)
     links = rounds.keep(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     edges_left = links.count()
     while True:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessel.llm import decontaminate, language_id, line_dedup, media, mixing, near_dedup, ppm, quality, queries, simhash, token_store, url_filter
+from tessel.operators import clustering
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, fp string, h string, size string, copies string, rows string, leaf string, held_out string"
@@ -102,6 +103,15 @@ def test_links_of_dense_groups(spark, chunk):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_linked_fingerprints_take_one_worker_a_task(spark, monkeypatch):
+    """A task of two Python operators takes two workers, which its executor keeps for all later stages."""
+    kept, keep = [], clustering.Rounds.keep
+    monkeypatch.setattr(clustering.Rounds, "keep", lambda self, frame: kept.append(frame) or keep(self, frame))
+    roots = simhash.linked(spark.createDataFrame([(0,), (1,), (3,), (-1,)], "fp long"), 4)
+    assert {r.node: r.root for r in roots.collect()} == {0: 0, 1: 0, 3: 0}
+    assert all(f._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") <= 1 for f in kept)
+
+
 def test_near_duplicates_keep_one_of_each_group(docs, texts):
     kept = {r.doc_id for r in near_dedup.drop_near_duplicates(docs).select("doc_id").collect()}
     sets = {i: {b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in texts.items() for w in [t.encode().lower().split()]}
@@ -494,6 +504,14 @@ def test_encoder_keeps_a_tail_when_its_store_is_emptied(monkeypatch):
         assert coder.encode(word.encode()) == coder.whole(word)
 
 
+def test_encoder_remembers_no_long_words():
+    """Words have no bound of their own: a store of as many long ones would take gigabytes."""
+    coder = token_store.Encoder(queries.tokenizer_path())
+    for word in ("x" * 5000, "Y" * 5000 + ".", "a" + "!" * 5000, "%" * 5000, "one."):
+        assert coder.encode(word.encode()) == coder.whole(word)
+    assert max(map(len, [*coder.pieces, *coder.cores])) <= token_store.REMEMBERED_BYTES and b"one." in coder.pieces
+
+
 def test_perfect_hash():
     keys = np.unique(np.random.default_rng(1).integers(0, 2**63, 20_000, dtype=np.uint64))
     table = token_store.PerfectHash.build(keys)
