@@ -73,6 +73,50 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(run, "h long, shingles array<long>")
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """Words of 64 bits, one or two bits an element in all: whether an odd number of elements falls on each bit. Two sets differ by as many elements, at
+    least, as their bits do; the upper half of the words XOR the lower one are the words of half the size."""
+    bits = max(64, 1 << max(0, len(found) - 1).bit_length())
+    odd = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def least_difference(x: np.ndarray, y: np.ndarray) -> int:
+    """How many elements two sets of these parities() differ by at least."""
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _parities(texts: DataFrame, width: int) -> DataFrame:
+    """(h, m, bits): number of shingles of each text and their parities()."""
+
+    def run(batches):
+        for batch in _once(batches, set()):
+            found = [np.unique(shingle_hashes(words(t or b""), width)) for t in raw_texts(batch.column(1))]
+            columns = [batch.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array([parities(f).tobytes() for f in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["h", "m", "bits"])
+
+    return texts.mapInArrow(run, "h long, m long, bits binary").dropDuplicates(["h"])
+
+
+def _near_enough(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+    """Of `pairs` (a, b) those that may be as similar as asked by the parities (h, m, bits) of both."""
+
+    def run(batches):
+        for batch in batches:
+            sizes = np.asarray(batch.column(2)) + np.asarray(batch.column(3))
+            apart = [least_difference(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(*(batch.column(k).to_pylist() for k in (4, 5)))]
+            near = (sizes - np.array(apart, np.int64)) * (1 + similarity) + 1e-6 >= 2 * similarity * sizes
+            yield batch.select(["a", "b"]).filter(pa.array(near))
+
+    of = lambda end, m, bits: marks.select(F.col("h").alias(end), F.col("m").alias(m), F.col("bits").alias(bits))
+    joined = pairs.join(of("a", "m", "x"), "a").join(of("b", "m2", "y"), "b").select("a", "b", "m", "m2", "x", "y")
+    return joined.mapInArrow(run, "a long, b long")
+
+
 def _led(docs: DataFrame, text_col: str, members: DataFrame, width: int, similarity: float) -> DataFrame:
     """(h): texts of a group that are near an earlier one of their work item, which stays there."""
 
@@ -113,7 +157,10 @@ def similar_pairs(texts: DataFrame, gone: DataFrame, n: int, width: int, similar
 
     Each text's shingles are put in one order of all shingles, common ones last. A set of m shingles shares at least s * m with a set of
     similarity s, so that the two have a shingle in common among their first m - s * m + 1. At the first such shingle the rest of both
-    sets must still suffice; a pair that is similar passes there. This finds every pair; what it proposes is compared shingle by shingle.
+    sets must still suffice; a pair that is similar passes there. And what two sets share beyond their first shingles is, at most, all the rest of
+    the one whose first shingles end earlier; so these must have the remainder in common, which is about a tenth of a set. Pairs that meet by
+    chance, whose number grows with the square of the texts, share few, and go before any whole set is read for them. Most others go by the parities
+    of both sets, which are some fiftieth of these. Neither loses a pair that is similar; what is left is compared shingle by shingle.
     """
     spark = texts.sparkSession
     common = spark.sparkContext.broadcast(_common(texts, n, width))
@@ -176,35 +223,50 @@ def similar_pairs(texts: DataFrame, gone: DataFrame, n: int, width: int, similar
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=["own", "h", "at", "m", "h2", "at2", "m2"])
 
     def pairs(batches):
+        """Matches of each pair by slice: how many, how many it needs, and whether one could be its first."""
         for batch in slices(batches, BLOCK):
             columns = [[np.asarray(v.values) for v in batch.column(i)] for i in range(1, 7)]
-            found = [np.zeros((0, 2), np.int64)]
+            found, need, first = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
             for own, h, at, m, h2, at2, m2 in zip(batch.column(0).to_pylist(), *columns):
-                most = np.minimum(np.minimum((m - at)[:, None], (m2 - at2)[None, :]), np.minimum(m[:, None], m2[None, :]))
-                ok = most * (1 + similarity) >= similarity * (m[:, None].astype(np.int64) + m2[None, :]) - slack
-                ok &= h[:, None] != h2[None, :]
+                m, at, m2, at2 = (x.astype(np.int64) for x in (m, at, m2, at2))
+                least = similarity / (1 + similarity) * (m[:, None] + m2[None, :]) - slack
+                rest = np.minimum((m - at)[:, None], (m2 - at2)[None, :])
+                ok = (np.minimum(m[:, None], m2[None, :]) >= least) & (np.minimum(at[:, None], at2[None, :]) + rest >= least) & (h[:, None] != h2[None, :])
                 if own:
                     ok = np.triu(ok, 1)
                 i, j = np.nonzero(ok)
                 if len(i):
                     found.append(np.stack([np.minimum(h[i], h2[j]), np.maximum(h[i], h2[j])], 1))
-            found = np.unique(np.concatenate(found), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+                    beyond = np.ceil(similarity * np.maximum(m[i], m2[j]) - slack).astype(np.int64) - 1
+                    need.append(np.ceil(least[i, j]).astype(np.int64) - beyond)
+                    first.append((rest >= least)[i, j])
+            found, one, of, times = np.unique(np.concatenate(found), axis=0, return_index=True, return_inverse=True, return_counts=True)
+            able = np.bincount(of.ravel(), np.concatenate(first), len(found)) > 0
+            columns = [found[:, 0], found[:, 1], times.astype(np.int64), np.concatenate(need)[one], able]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["a", "b", "n", "need", "first"])
 
     left = _joined(texts, gone.select("h").distinct(), "left_anti").select("h", "text")
     keyed = left.mapInArrow(prefixes, "key long, h long, at int, m int").repartition("key").sortWithinPartitions("key", "h")
     dealt_out = keyed.mapInArrow(blocks, "own boolean, h array<long>, at array<int>, m array<int>, h2 array<long>, at2 array<int>, m2 array<int>")
     items, items_path = store(dealt_out, "items")
-    proposed, proposed_path = store(items.repartition(F.xxhash64("h", "h2")).mapInArrow(pairs, "a long, b long").distinct(), "proposed")
+    matches = items.repartition(F.xxhash64("h", "h2")).mapInArrow(pairs, "a long, b long, n long, need long, first boolean")
+    enough = matches.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need"), F.max("first").alias("first")).where("first AND n >= need")
+    proposed, proposed_path = store(enough.select("a", "b"), "proposed")
     drop_path(spark, items_path)
-    ends = proposed.select(F.col("a").alias("h")).unionAll(proposed.select(F.col("b").alias("h"))).distinct()
-    members = _joined(texts, ends, "left_semi")
+    ends_of = lambda found: found.select(F.col("a").alias("h")).unionAll(found.select(F.col("b").alias("h"))).distinct()
+    marked, marked_path = store(ends_of(proposed), "ends")
+    read = texts.join(F.broadcast(marked), "h", "left_semi") if marked.count() <= BROADCAST else texts  # of all texts, the marks take less than a shuffle of texts
+    marks, marks_path = store(_parities(read.select("h", "text"), width), "marks")
+    likely, likely_path = store(_near_enough(proposed, marks, similarity), "likely")
+    for done in (proposed_path, marked_path, marks_path):
+        drop_path(spark, done)
+    members = _joined(texts, ends_of(likely), "left_semi")
     sets, sets_path = store(_sets(_gathered(members.select("h", "text")), width), "sets")
-    judged = proposed.join(sets.select(F.col("h").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("h").alias("b"), F.col("shingles").alias("y")), "b")
+    judged = likely.join(sets.select(F.col("h").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("h").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     total = F.size("x") + F.size("y") - shared
     out, path = store(judged.where((total == 0) | (shared >= F.lit(similarity) * total)).select("a", "b"), "similar")
-    for done in (proposed_path, sets_path):
+    for done in (likely_path, sets_path):
         drop_path(spark, done)
     return out, path
 

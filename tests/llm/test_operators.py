@@ -176,6 +176,37 @@ def test_near_duplicates_in_a_crowd_of_one_template(spark):
     assert not left and len(kept) == len(rows) - 30
 
 
+def test_similar_pairs_read_no_sets_of_texts_that_meet_by_chance(spark, monkeypatch):
+    """Neighbours share a passage of 5 of their 96 shingles; 40 pairs lie around the similarity, of equal and of unequal lengths. All pairs that are
+    similar are found, and whole sets are read for few texts beyond those."""
+    rng, rows, read, sets_of = np.random.default_rng(9), [], [], near_dedup._sets
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    for _ in range(150):
+        both = word(9)
+        rows += [" ".join(word(45) + both + word(46)) for _ in range(2)]
+    for k in range(40):
+        text, n = word(100), 15 + k % 8
+        rows += [" ".join(text), " ".join(text[:-n] + word(n // 4 if k % 2 else 0)) if k % 4 else " ".join(text + word(n + 2))]
+    sets = [shingle_set(t) for t in rows]
+    true = {(a, a + 1) for a in range(0, len(rows), 2) if similar(sets[a], sets[a + 1])}
+    assert 10 < len(true) < 40
+    texts = spark.createDataFrame(list(enumerate(rows)), "h long, text string")
+    monkeypatch.setattr(near_dedup, "_sets", lambda texts, width: read.append(texts.count()) or sets_of(texts, width))
+    found, _ = near_dedup.similar_pairs(texts, texts.limit(0), len(rows), 5, 0.8)
+    assert {(r.a, r.b) for r in found.collect()} == true
+    assert read and sum(read) <= 80
+
+
+def test_parities_never_tell_too_large_a_difference():
+    rng = np.random.default_rng(10)
+    for n, other, common in [(0, 0, 0), (0, 3, 0), (1, 1, 1), (64, 65, 60), (500, 600, 480), (1000, 1030, 0), (700, 2, 1)]:
+        shared, a, b = (rng.integers(0, 1 << 63, k, np.uint64) for k in (common, n - common, other - common))
+        x, y = near_dedup.parities(np.r_[shared, a]), near_dedup.parities(np.r_[shared, b])
+        least = near_dedup.least_difference(x, y)
+        assert least == near_dedup.least_difference(y, x) <= n + other - 2 * common
+        assert least > (n + other) / 5 or common or not n
+
+
 def test_near_duplicates_among_copies_in_many_tasks(spark):
     """Copies of a text in every task count once, and an empty table stays empty."""
     rng = np.random.default_rng(8)
