@@ -157,10 +157,9 @@ def similar_pairs(texts: DataFrame, gone: DataFrame, n: int, width: int, similar
 
     Each text's shingles are put in one order of all shingles, common ones last. A set of m shingles shares at least s * m with a set of
     similarity s, so that the two have a shingle in common among their first m - s * m + 1. At the first such shingle the rest of both
-    sets must still suffice; a pair that is similar passes there. And what two sets share beyond their first shingles is, at most, all the rest of
-    the one whose first shingles end earlier; so these must have the remainder in common, which is about a tenth of a set. Pairs that meet by
-    chance, whose number grows with the square of the texts, share few, and go before any whole set is read for them. Most others go by the parities
-    of both sets, which are some fiftieth of these. Neither loses a pair that is similar; what is left is compared shingle by shingle.
+    sets must still suffice; a pair that is similar passes there. This finds every pair. Most that it proposes meet by chance, and their number grows
+    with the square of the texts: they go by the parities of both sets, which are some fiftieth of these, before whole sets are shuffled. No
+    similar pair goes; what is left is compared shingle by shingle.
     """
     spark = texts.sparkSession
     common = spark.sparkContext.broadcast(_common(texts, n, width))
@@ -223,35 +222,26 @@ def similar_pairs(texts: DataFrame, gone: DataFrame, n: int, width: int, similar
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=["own", "h", "at", "m", "h2", "at2", "m2"])
 
     def pairs(batches):
-        """Matches of each pair by slice: how many, how many it needs, and whether one could be its first."""
         for batch in slices(batches, BLOCK):
             columns = [[np.asarray(v.values) for v in batch.column(i)] for i in range(1, 7)]
-            found, need, first = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+            found = [np.zeros((0, 2), np.int64)]
             for own, h, at, m, h2, at2, m2 in zip(batch.column(0).to_pylist(), *columns):
-                m, at, m2, at2 = (x.astype(np.int64) for x in (m, at, m2, at2))
-                least = similarity / (1 + similarity) * (m[:, None] + m2[None, :]) - slack
-                rest = np.minimum((m - at)[:, None], (m2 - at2)[None, :])
-                ok = (np.minimum(m[:, None], m2[None, :]) >= least) & (np.minimum(at[:, None], at2[None, :]) + rest >= least) & (h[:, None] != h2[None, :])
+                most = np.minimum(np.minimum((m - at)[:, None], (m2 - at2)[None, :]), np.minimum(m[:, None], m2[None, :]))
+                ok = most * (1 + similarity) >= similarity * (m[:, None].astype(np.int64) + m2[None, :]) - slack
+                ok &= h[:, None] != h2[None, :]
                 if own:
                     ok = np.triu(ok, 1)
                 i, j = np.nonzero(ok)
                 if len(i):
                     found.append(np.stack([np.minimum(h[i], h2[j]), np.maximum(h[i], h2[j])], 1))
-                    beyond = np.ceil(similarity * np.maximum(m[i], m2[j]) - slack).astype(np.int64) - 1
-                    need.append(np.ceil(least[i, j]).astype(np.int64) - beyond)
-                    first.append((rest >= least)[i, j])
-            found, one, of, times = np.unique(np.concatenate(found), axis=0, return_index=True, return_inverse=True, return_counts=True)
-            able = np.bincount(of.ravel(), np.concatenate(first), len(found)) > 0
-            columns = [found[:, 0], found[:, 1], times.astype(np.int64), np.concatenate(need)[one], able]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["a", "b", "n", "need", "first"])
+            found = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
     left = _joined(texts, gone.select("h").distinct(), "left_anti").select("h", "text")
     keyed = left.mapInArrow(prefixes, "key long, h long, at int, m int").repartition("key").sortWithinPartitions("key", "h")
     dealt_out = keyed.mapInArrow(blocks, "own boolean, h array<long>, at array<int>, m array<int>, h2 array<long>, at2 array<int>, m2 array<int>")
     items, items_path = store(dealt_out, "items")
-    matches = items.repartition(F.xxhash64("h", "h2")).mapInArrow(pairs, "a long, b long, n long, need long, first boolean")
-    enough = matches.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need"), F.max("first").alias("first")).where("first AND n >= need")
-    proposed, proposed_path = store(enough.select("a", "b"), "proposed")
+    proposed, proposed_path = store(items.repartition(F.xxhash64("h", "h2")).mapInArrow(pairs, "a long, b long").distinct(), "proposed")
     drop_path(spark, items_path)
     ends_of = lambda found: found.select(F.col("a").alias("h")).unionAll(found.select(F.col("b").alias("h"))).distinct()
     marked, marked_path = store(ends_of(proposed), "ends")

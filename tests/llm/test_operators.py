@@ -176,7 +176,8 @@ def test_near_duplicates_in_a_crowd_of_one_template(spark):
     assert not left and len(kept) == len(rows) - 30
 
 
-def test_similar_pairs_read_no_sets_of_texts_that_meet_by_chance(spark, monkeypatch):
+@pytest.mark.parametrize("broadcast", [near_dedup.BROADCAST, 0])
+def test_similar_pairs_read_no_sets_of_texts_that_meet_by_chance(spark, monkeypatch, broadcast):
     """Neighbours share a passage of 5 of their 96 shingles; 40 pairs lie around the similarity, of equal and of unequal lengths. All pairs that are
     similar are found, and whole sets are read for few texts beyond those."""
     rng, rows, read, sets_of = np.random.default_rng(9), [], [], near_dedup._sets
@@ -191,6 +192,7 @@ def test_similar_pairs_read_no_sets_of_texts_that_meet_by_chance(spark, monkeypa
     true = {(a, a + 1) for a in range(0, len(rows), 2) if similar(sets[a], sets[a + 1])}
     assert 10 < len(true) < 40
     texts = spark.createDataFrame(list(enumerate(rows)), "h long, text string")
+    monkeypatch.setattr(near_dedup, "BROADCAST", broadcast)
     monkeypatch.setattr(near_dedup, "_sets", lambda texts, width: read.append(texts.count()) or sets_of(texts, width))
     found, _ = near_dedup.similar_pairs(texts, texts.limit(0), len(rows), 5, 0.8)
     assert {(r.a, r.b) for r in found.collect()} == true
